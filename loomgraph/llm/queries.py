@@ -8,12 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, quality_rules, sharding, token_counts, url_trust
+from . import bpe_transducer, language_mix, quality_rules, sharding, token_counts, toxicity, url_trust
 from .common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
+def _remainder(n: int):
+    """crc32(doc_id as text) mod n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op2_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_mix.fit(spark, docs, _remainder(4) != 2)
+    out = language_mix.predict(spark, docs, model)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "langs")
+
+
 def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -27,6 +39,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"), _remainder(3) != 1)
+    out = toxicity.score(spark, docs, model)
+    return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_transducer.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -276,39 +276,56 @@ def _product(table: pa.Table, crowd: int, slack: int) -> pa.Table:
 _STEPS = 64
 
 
-def block_product(texts: DataFrame, crowded, n_blocks: int, width: int, percent: int, crowd: int) -> DataFrame:
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, n = crowded.value, [], 0
+class BlockWriter:
+    """Collects (column, name, size) entries and gives them as batches with a row for each block."""
 
-        def flush() -> pa.RecordBatch:
-            columns = np.concatenate([h[0] for h in held])
-            many = np.array([len(h[0]) for h in held])
-            names = np.repeat(np.array([h[1] for h in held], np.int64), many)
-            sizes = np.repeat(np.array([h[2] for h in held], np.uint16), many)
-            order = np.argsort(columns >> _U(32), kind="stable")
-            columns, names, sizes = columns[order], names[order], sizes[order]
-            cut = np.searchsorted(columns >> _U(32), np.arange(n_blocks + 1, dtype=np.uint64))
-            full, low = np.flatnonzero(np.diff(cut)), columns.astype(np.uint32)
-            each = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), each(low), each(names), each(sizes)], ["block", "columns", "names", "sizes"])
+    def __init__(self, n_blocks: int, entries: int = 2_000_000):
+        self.n_blocks, self.entries, self.held, self.n = n_blocks, entries, [], 0
+
+    def add(self, columns: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((columns, names, sizes))
+        self.n += len(columns)
+        if self.n >= self.entries:
+            yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        columns, names, sizes = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.n = [], 0
+        block = columns >> _U(32)
+        order = np.argsort(block, kind="stable")
+        columns, names, sizes, block = columns[order], names[order], sizes[order], block[order]
+        cut = np.searchsorted(block, np.arange(self.n_blocks + 1, dtype=np.uint64))
+        full, low = np.flatnonzero(np.diff(cut)), columns.astype(np.uint32)
+        each = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), each(low), each(names), each(sizes.astype(np.uint16))], ["block", "columns", "names", "sizes"])
+
+
+def block_count(n_bytes: int) -> int:
+    return 1 << int(np.ceil(np.log2(min(MOST_BLOCKS, max(LEAST_BLOCKS, n_bytes / BYTES_A_BLOCK)))))
+
+
+def _slack(percent: int) -> int:
+    """Steps of size that two sets of this similarity may differ by."""
+    return int(-_STEPS * np.log2(percent / 100)) + 1
 
+
+def block_product(texts: DataFrame, crowded, n_blocks: int, width: int, percent: int, crowd: int) -> DataFrame:
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, writer = crowded.value, BlockWriter(n_blocks)
         for name, found in _distinct_sets(batches, width):
             columns = _split(found, n_blocks)
             late = last.has(columns)
             if late.any():
                 columns = np.concatenate((columns[~late], columns[late]))
             columns = columns[: _leading(len(found), percent)]
-            held.append((columns, name, int(_STEPS * np.log2(len(found)))))
-            n += len(columns)
-            if n >= 2_000_000:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
+            size = int(_STEPS * np.log2(len(found)))
+            yield from writer.add(columns, np.full(len(columns), name, np.int64), np.full(len(columns), size, np.uint16))
+        yield from writer.close()
 
-    slack = int(-_STEPS * np.log2(percent / 100)) + 1
     led = texts.mapInArrow(lead, "block int, columns binary, names binary, sizes binary")
-    return led.groupBy("block").applyInArrow(lambda t: _product(t, crowd, slack), _PAIRS)
+    return led.groupBy("block").applyInArrow(lambda t: _product(t, crowd, _slack(percent)), _PAIRS)
 
 
 def _bit_map(names: DataFrame, column: str) -> np.ndarray:
@@ -354,6 +371,39 @@ def _union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both[np.concatenate(([True], both[1:] != both[:-1]))]
 
 
+def resolve(spark: SparkSession, scratch: Scratch, pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, pivots: int, slack: int) -> DataFrame:
+    """node, comp: components of the links among candidate pairs (a, b) and among the rows of crowded columns
+    (members: k, name, q). sets: name, found."""
+    links = _verified(pairs, sets, scratch, "pairs", percent)
+    comps = scratch.save(components(links, scratch, "links"), "comps")
+    done = tested = None
+    turn = 0
+    while True:
+        # Rows of crowded columns outside the component that most rows of the column are in.
+        placed = members.join(comps, members["name"] == comps["node"], "left").select("k", "name", "q", F.coalesce("comp", "name").alias("comp"))
+        per = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
+        main = per.groupBy("k").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+        open_ = placed.join(main, "k").where("comp <> main").select("k", "name", "q", "comp")
+        if done is not None:
+            open_ = open_.join(done, ["k", "name"], "left_anti")
+        picked = open_.withColumn("r", F.expr("row_number() OVER (PARTITION BY k ORDER BY name)")).where(F.col("r") <= pivots).drop("r")
+        picked = scratch.save(picked, f"picked-{turn}")
+        if picked.isEmpty():
+            return comps
+        other = placed.select("k", F.col("name").alias("o"), F.col("q").alias("oq"), F.col("comp").alias("oc"))
+        more = picked.join(other, "k").where((F.col("comp") != F.col("oc")) & (F.abs(F.col("q") - F.col("oq")) <= slack))
+        more = more.select(F.least("name", "o").alias("a"), F.greatest("name", "o").alias("b")).distinct()
+        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if tested is None else tested
+        more = scratch.save(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
+        done = picked.select("k", "name") if done is None else done.unionByName(picked.select("k", "name"))
+        tested = tested.unionByName(more)
+        new = _verified(more, sets, scratch, f"more-{turn}", percent)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comps = scratch.save(components(links, scratch, f"links-{turn}"), f"comps-{turn}")
+        turn += 1
+
+
 def jaccard_components(
     spark: SparkSession,
     docs: DataFrame,
@@ -369,7 +419,7 @@ def jaccard_components(
     scratch = Scratch(spark, "near-duplicates")
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
     texts = rows.select("__text")
-    n_blocks = 1 << int(np.ceil(np.log2(min(MOST_BLOCKS, max(LEAST_BLOCKS, text_bytes(texts, "__text") / BYTES_A_BLOCK)))))
+    n_blocks = block_count(text_bytes(texts, "__text"))
     crowded = spark.sparkContext.broadcast(_Crowded(crowded_columns(texts, scratch, n_blocks, width, crowd, most_crowded)))
     found = scratch.save(block_product(texts, crowded, n_blocks, width, percent, crowd), "found")
 
@@ -385,36 +435,7 @@ def jaccard_components(
     sets_table = scratch.save(_with_sets(rows, wanted, width), "sets")
     sets = scratch.save(sets_table.where("found IS NOT NULL").select("name", "found").dropDuplicates(["name"]), "named")
 
-    links = _verified(pairs, sets, scratch, "pairs", percent)
-    comps = scratch.save(components(links, scratch, "links"), "comps")
-    members = scratch.save(members, "members")
-    done = tested = None
-    slack = int(-_STEPS * np.log2(t)) + 1
-    turn = 0
-    while True:
-        # Rows of crowded columns outside the component that most rows of the column are in.
-        placed = members.join(comps, members["name"] == comps["node"], "left").select("k", "name", "q", F.coalesce("comp", "name").alias("comp"))
-        per = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
-        main = per.groupBy("k").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = placed.join(main, "k").where("comp <> main").select("k", "name", "q", "comp")
-        if done is not None:
-            open_ = open_.join(done, ["k", "name"], "left_anti")
-        picked = open_.withColumn("r", F.expr("row_number() OVER (PARTITION BY k ORDER BY name)")).where(F.col("r") <= pivots).drop("r")
-        picked = scratch.save(picked, f"picked-{turn}")
-        if picked.isEmpty():
-            break
-        other = placed.select("k", F.col("name").alias("o"), F.col("q").alias("oq"), F.col("comp").alias("oc"))
-        more = picked.join(other, "k").where((F.col("comp") != F.col("oc")) & (F.abs(F.col("q") - F.col("oq")) <= slack))
-        more = more.select(F.least("name", "o").alias("a"), F.greatest("name", "o").alias("b")).distinct()
-        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if tested is None else tested
-        more = scratch.save(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
-        done = picked.select("k", "name") if done is None else done.unionByName(picked.select("k", "name"))
-        tested = tested.unionByName(more)
-        new = _verified(more, sets, scratch, f"more-{turn}", percent)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = scratch.save(components(links, scratch, f"links-{turn}"), f"comps-{turn}")
-        turn += 1
+    comps = resolve(spark, scratch, pairs, scratch.save(members, "members"), sets, percent, pivots, _slack(percent))
 
     least = sets_table.where("size > 0").groupBy("name").agg(F.min("__key").alias("least"))
     placed = scratch.save(least.join(comps, least["name"] == comps["node"], "left").select("name", "least", F.coalesce("comp", "name").alias("comp")), "placed")

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from .common import blocks
 from .token_counts import Memo, cuts
 
-#: Cuts in a generation of the memo; states kept before the machine is built anew.
-MEMO = 200_000
+#: Pieces in a generation of the memo; states kept before the machine is built anew.
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,8 +185,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.letters = r"| ?\p{L}+|" in pattern  # a space and letters are one piece
         self.pieces = Memo(self._piece, memo)
-        self.first = Memo(self._plain, memo // 10)
-        self.rest = Memo(self._cut, memo)
+        self.first = Memo(self._plain, memo // 20)
+        self.rest = Memo(self._cut, memo // 2)
 
     def encode(self, text: str) -> list[int]:
         encode = self.machine.encode
@@ -218,7 +218,14 @@ class Codec:
         return sum(counts), ",".join(ids), b"".join(decoded)
 
     def _cut(self, cut: str) -> tuple[int, str, bytes]:
-        return self.pieces[f" {cut}"] if self.letters and cut.isalpha() else self._plain(f" {cut}")
+        if self.letters:
+            if cut.isalpha():
+                return self.pieces[f" {cut}"]
+            if cut[-1] in ".,;:!?" and cut[:-1].isalpha():  # letters, then one piece of one mark
+                n, ids, decoded = self.pieces[f" {cut[:-1]}"]
+                m, mark, end = self.pieces[cut[-1]]
+                return n + m, f"{ids},{mark}", decoded + end
+        return self._plain(f" {cut}")
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Ids, and the SHA-256 of the ids joined by commas and of the decoded bytes, cut by cut."""

@@ -9,11 +9,11 @@ task each, and the overlap counts of pairs are added up over the blocks.
   counts over all documents), so what many documents share, such as a passage, doesn't lead.
 * Pairs are discarded when their sizes or their overlap so far bound the similarity below t: what the leading columns
   share, plus all that follow them, has to reach t / (1 + t) of both sizes.
-* A column of more than `crowd` rows isn't multiplied out: its rows are paired with its first row only. Afterwards,
-  rows of such a column that are still in other components than most of its rows are paired with the others, a few
-  rows of each column at a time, until none is left: no link between components is lost, and a group of many near
-  copies doesn't give all its pairs.
-* What is left is verified on whole sets. Sets are sent to groups of at most some dozen rows of a candidate
+* A column of more than `crowd` rows isn't multiplied out. Rows tied by such columns are a crowd; it is cut into parts
+  of some hundred rows, each part is multiplied with itself, and rows that are then not in the crowd's main component
+  with every part. Tasks give only links that join components: none between components is lost, and a group of many
+  near copies doesn't give all its pairs.
+* Other candidate pairs are verified on whole sets. Sets are sent to groups of at most some dozen rows of a candidate
   component, so a component of any size is dealt to many tasks.
 
 Equal sets are one row, whatever number of documents has them. Components of the verified links are found by
@@ -46,8 +46,6 @@ BYTES_A_BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4_000_000, 256, 1 << 20
 CROWD = 32
 #: Crowded columns that are put last at most (the most crowded of them).
 MOST_CROWDED = 4_000_000
-#: Rows of a column that are paired with all others in one round.
-PIVOTS = 32
 #: Rows of a candidate component that are verified together, about.
 CHUNK = 48
 
@@ -225,12 +223,14 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(ordered)))
 
 
-_PAIRS = "kind int, k long, a long, b long, n int, qa int, qb int"
+_PAIRS = "kind int, a long, b long, n int, qa int, qb int, part int, names binary"
+#: Rows of a crowded column that are sent on together.
+_PART = 4096
 
 
 def _product(table: pa.Table, crowd: int, slack: int) -> pa.Table:
-    """Of one block: pairs with overlap counts (kind 0), pairs with a crowded column's first row (kind 1, not counted
-    in full), and the rows of crowded columns (kind 2, k: which rows they are)."""
+    """Of one block: pairs with overlap counts (kind 0), and the rows of crowded columns (kind 1) in parts, with the
+    column's first row as a."""
     join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     columns, names, sizes = join("columns", np.uint32), join("names", np.int64), join("sizes", np.uint16)
     order = np.lexsort((names, columns))
@@ -254,22 +254,23 @@ def _product(table: pa.Table, crowd: int, slack: int) -> pa.Table:
         if len(i):
             new = np.flatnonzero(np.concatenate(([True], (names[i][1:] != names[i][:-1]) | (names[j][1:] != names[j][:-1]))))
             n = np.diff(np.append(new, len(i)))
-            out.append((0, np.zeros(len(new), np.int64), names[i[new]], names[j[new]], n, sizes[i[new]], sizes[j[new]]))
-    crowds, seen = np.flatnonzero(run > crowd), set()
-    for c in crowds.tolist():
+            out.append((np.zeros(len(new), np.int64), names[i[new]], names[j[new]], n, sizes[i[new]], sizes[j[new]]))
+    flat = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
+    first_rows, parts, blobs = [], [], []
+    for c in np.flatnonzero(run > crowd).tolist():
         rows = names[first[c] : first[c] + run[c]]
-        own = int(_mix(_mix(rows.astype(np.uint64)).sum(keepdims=True, dtype=np.uint64)).astype(np.int64)[0])
-        if own in seen:
-            continue
-        seen.add(own)
-        q = sizes[first[c] : first[c] + run[c]]
-        near = np.flatnonzero(np.abs(q - q[0]) <= slack)[1:]
-        same = lambda v, k: np.full(len(k), v)
-        out.append((1, same(0, near), same(rows[0], near), rows[near], same(0, near), same(q[0], near), q[near]))
-        out.append((2, same(own, rows), rows, rows, same(0, rows), q, q))
-    parts = list(zip(*[(np.full(len(o[1]), o[0]), *o[1:]) for o in out])) or [[np.empty(0, np.int64)]] * 7
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.table([pa.array(np.concatenate(p).astype(k.to_pandas_dtype()), k) for p, k in zip(parts, kinds)], ["kind", "k", "a", "b", "n", "qa", "qb"])
+        part = _mix(rows.astype(np.uint64)) % _U(-(-len(rows) // _PART))
+        for k in range(int(part.max()) + 1):
+            first_rows.append(rows[0])
+            parts.append(k)
+            blobs.append(rows[part == k].tobytes())
+    m, n = len(flat[0]), len(blobs)
+    none = lambda k, kind: pa.nulls(k, kind)
+    long, int_ = pa.int64(), pa.int32()
+    pairs = [pa.array(flat[0], int_), pa.array(flat[1], long), pa.array(flat[2], long), *[pa.array(x, int_) for x in flat[3:]], none(m, int_), none(m, pa.binary())]
+    crowds = [pa.array([1] * n, int_), pa.array(first_rows, long), none(n, long), none(n, int_), none(n, int_), none(n, int_), pa.array(parts, int_), pa.array(blobs, pa.binary())]
+    columns = ["kind", "a", "b", "n", "qa", "qb", "part", "names"]
+    return pa.concat_tables([pa.table(pairs, columns), pa.table(crowds, columns)])
 
 
 #: Steps of a size's logarithm: sizes are compared by them before they are known exactly.
@@ -371,37 +372,125 @@ def _union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both[np.concatenate(([True], both[1:] != both[:-1]))]
 
 
-def resolve(spark: SparkSession, scratch: Scratch, pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, pivots: int, slack: int) -> DataFrame:
-    """node, comp: components of the links among candidate pairs (a, b) and among the rows of crowded columns
-    (members: k, name, q). sets: name, found."""
+def crowd_edges(found: DataFrame) -> DataFrame:
+    """a, b: the first row of each crowded column with each other row, once."""
+
+    def once(table: pa.Table) -> pa.Table:
+        names = np.unique(np.frombuffer(b"".join(table["names"].to_pylist()), np.int64))
+        return pa.table({"a": pa.array(np.full(len(names), table["a"][0].as_py()), pa.int64()), "b": pa.array(names, pa.int64())})
+
+    return found.where("kind = 1").select("a", "part", "names").groupBy("a", "part").applyInArrow(once, "a long, b long").where("a <> b")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of two lists of sets: a matrix product, block of columns by block of columns."""
+    sets = [*x, *y]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
+    shared = np.bincount(column) > 1
+    column, row = (np.cumsum(shared) - 1)[column][shared[column]], row[shared[column]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, int(shared.sum()), 2048):
+        here = slice(*np.searchsorted(column, [low, low + 2048]))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[here], column[here] - low] = 1
+        out += part[: len(x)] @ part[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    shared = _overlaps(x, y)
+    both = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - shared
+    return 100 * shared >= percent * both
+
+
+def _sets_of(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    return table["name"].to_pylist(), [np.frombuffer(f, np.uint64) for f in table["found"].to_pylist()]
+
+
+#: Rows, and members of their sets, that a part of a crowd holds, about.
+_CROWD_ROWS, _CROWD_SHINGLES = 512, 1_500_000
+
+
+def _crowd_links(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links that join what is linked within crowds (components of `edges`).
+
+    Each part of a crowd is multiplied with itself and with a few rows that all parts get; what is then not in the
+    crowd's main component is multiplied with every part. So each pair of rows in different components has been
+    looked at, and only links that join components are given."""
+    crowd = scratch.save(components(edges, scratch, "crowd-edges"), "crowd-nodes")
+    sized = crowd.join(sets.select(F.col("name").alias("node"), (F.octet_length("found") / 8).alias("size")), "node")
+    parts = sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / float(_CROWD_ROWS), F.sum("size") / float(_CROWD_SHINGLES))).alias("parts"))
+    dealt = crowd.join(parts, "comp").select("node", "comp", "parts", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).alias("part"))
+    dealt = scratch.save(dealt, "crowd-dealt")
+    common = dealt.where("parts > 1").groupBy("comp", "parts", F.pmod(F.xxhash64("node", F.lit("common")), F.lit(8)).alias("k")).agg(F.min("node").alias("node"))
+    common = common.select("node", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    sent = dealt.select("node", "comp", "part").unionByName(common).distinct().join(sets, F.col("node") == F.col("name")).select("comp", "part", "name", "found")
+
+    def within(table: pa.Table) -> pa.Table:
+        names, own = _sets_of(table)
+        near = _linked(own, own, percent)
+        label = np.arange(len(own))
+        while True:
+            new = np.where(near, label, len(own)).min(1)
+            new = np.minimum(new, label)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        joined = np.flatnonzero(label != np.arange(len(own)))
+        names = np.array(names, np.int64)
+        return pa.table({"a": pa.array(names[joined]), "b": pa.array(names[label[joined]])})
+
+    first = scratch.save(sent.groupBy("comp", "part").applyInArrow(within, "a long, b long").unionByName(links), "crowd-first")
+    known = scratch.save(components(first, scratch, "crowd-known"), "crowd-comps").select("node", F.col("comp").alias("label"))
+    placed = scratch.save(dealt.where("parts > 1").join(known, "node", "left").select("node", "comp", "part", "parts", F.coalesce("label", "node").alias("label")), "crowd-placed")
+    main = placed.groupBy("comp", "label").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    rest = placed.join(main.select("comp", "main"), "comp").where("label <> main").drop("main")
+    turns = rest.groupBy("comp").agg(F.ceil(F.count("*") / float(_CROWD_ROWS)).alias("turns"))
+    rest = rest.join(turns, "comp").withColumn("turn", F.pmod(F.xxhash64("node", F.lit("turn")), F.col("turns")))
+    keys = ["comp", "turn", "part"]
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rest.select("node", "label", "comp", "turn", each("parts").alias("part"))
+    right = placed.join(turns, "comp").select("node", "label", "comp", "part", each("turns").alias("turn"))
+    with_sets = lambda x, y: x.join(sets, F.col("node") == F.col("name")).select(*[F.col(k).alias(f"{y}{k}") for k in keys], F.col("name").alias("name"), "label", F.col("found").alias("found"))
+
+    def across(x_: pa.Table, y_: pa.Table) -> pa.Table:
+        (xn, x), (yn, y) = _sets_of(x_), _sets_of(y_)
+        out: list[tuple[int, int]] = []
+        if x and y:
+            a, b = x_["label"].to_numpy(), y_["label"].to_numpy()
+            i, j = np.nonzero(_linked(x, y, percent) & (a[:, None] != b))
+            _, one = np.unique(np.stack((a[i], b[j])), axis=1, return_index=True)
+            out = [(xn[i[k]], yn[j[k]]) for k in one.tolist()]
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    left = scratch.save(left, "crowd-left")
+    right = scratch.save(right, "crowd-right")
+    grouped = lambda x, y: with_sets(x, y).groupBy(*[f"{y}{k}" for k in keys])
+    second = grouped(left, "x_").cogroup(grouped(right, "y_")).applyInArrow(across, "a long, b long")
+    return first.unionByName(scratch.save(second, "crowd-second"))
+
+
+def ends(*edges: DataFrame) -> DataFrame:
+    """name: all that the edges (a, b) have."""
+    out = None
+    for e in edges:
+        both = e.select(F.col("a").alias("name")).unionByName(e.select(F.col("b").alias("name")))
+        out = both if out is None else out.unionByName(both)
+    return out.distinct()
+
+
+def resolve(pairs: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """node, comp: components of the links among candidate pairs (a, b) and within crowds (edges a, b).
+    sets: name, found."""
     links = _verified(pairs, sets, scratch, "pairs", percent)
-    comps = scratch.save(components(links, scratch, "links"), "comps")
-    done = tested = None
-    turn = 0
-    while True:
-        # Rows of crowded columns outside the component that most rows of the column are in.
-        placed = members.join(comps, members["name"] == comps["node"], "left").select("k", "name", "q", F.coalesce("comp", "name").alias("comp"))
-        per = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
-        main = per.groupBy("k").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = placed.join(main, "k").where("comp <> main").select("k", "name", "q", "comp")
-        if done is not None:
-            open_ = open_.join(done, ["k", "name"], "left_anti")
-        picked = open_.withColumn("r", F.expr("row_number() OVER (PARTITION BY k ORDER BY name)")).where(F.col("r") <= pivots).drop("r")
-        picked = scratch.save(picked, f"picked-{turn}")
-        if picked.isEmpty():
-            return comps
-        other = placed.select("k", F.col("name").alias("o"), F.col("q").alias("oq"), F.col("comp").alias("oc"))
-        more = picked.join(other, "k").where((F.col("comp") != F.col("oc")) & (F.abs(F.col("q") - F.col("oq")) <= slack))
-        more = more.select(F.least("name", "o").alias("a"), F.greatest("name", "o").alias("b")).distinct()
-        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if tested is None else tested
-        more = scratch.save(more.join(tested, ["a", "b"], "left_anti"), f"more-{turn}")
-        done = picked.select("k", "name") if done is None else done.unionByName(picked.select("k", "name"))
-        tested = tested.unionByName(more)
-        new = _verified(more, sets, scratch, f"more-{turn}", percent)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = scratch.save(components(links, scratch, f"links-{turn}"), f"comps-{turn}")
-        turn += 1
+    if not edges.isEmpty():
+        links = _crowd_links(edges, sets, links, scratch, percent)
+    return scratch.save(components(links, scratch, "links"), "comps")
 
 
 def jaccard_components(
@@ -413,7 +502,6 @@ def jaccard_components(
     percent: int = 75,
     crowd: int = CROWD,
     most_crowded: int = MOST_CROWDED,
-    pivots: int = PIVOTS,
 ) -> DataFrame:
     """key, n_shingles, component_id: the least key reachable by links of `percent` percent Jaccard similarity."""
     scratch = Scratch(spark, "near-duplicates")
@@ -428,14 +516,12 @@ def jaccard_components(
     t = percent / 100
     bound = F.col("n") + t * F.greatest(high("qa"), high("qb")) >= t / (1 + t) * (low("qa") + low("qb")) - 1e-6
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("qa").alias("qa"), F.first("qb").alias("qb")).where(bound)
-    pairs = scratch.save(counted.select("a", "b").unionByName(found.where("kind = 1").select("a", "b")).distinct(), "pairs")
-    members = found.where("kind = 2").select("k", F.col("a").alias("name"), F.col("qa").alias("q")).distinct()
-    nodes = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).unionByName(members.select("name")).distinct()
-    wanted = spark.sparkContext.broadcast((_bit_map(nodes, "name"),))
+    pairs = scratch.save(counted.select("a", "b"), "pairs")
+    edges = scratch.save(crowd_edges(found), "edges")
+    wanted = spark.sparkContext.broadcast((_bit_map(ends(pairs, edges), "name"),))
     sets_table = scratch.save(_with_sets(rows, wanted, width), "sets")
     sets = scratch.save(sets_table.where("found IS NOT NULL").select("name", "found").dropDuplicates(["name"]), "named")
-
-    comps = resolve(spark, scratch, pairs, scratch.save(members, "members"), sets, percent, pivots, _slack(percent))
+    comps = resolve(pairs, edges, sets, scratch, percent)
 
     least = sets_table.where("size > 0").groupBy("name").agg(F.min("__key").alias("least"))
     placed = scratch.save(least.join(comps, least["name"] == comps["node"], "left").select("name", "least", F.coalesce("comp", "name").alias("comp")), "placed")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import cells
 from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, occurrence, reconcile
-from .operators import edits, graph, metrics, stats, style, transforms, traverse
+from .operators import arrange, community, edits, graph, metrics, scripts, stats, style, transforms, traverse
 from .operators.chain import Condition, Step, apply_chain
 from .sources.datasource import DataSource, Selection
 
@@ -308,7 +308,7 @@ def _peels(base: str, k: int, rounds: int) -> str:
     return ", ".join(out)
 
 
-@query(f"WITH {FG}, {_peels('fs', 2, 40)} SELECT s, t, n_rows FROM fl WHERE s IN (SELECT a FROM k40) AND t IN (SELECT a FROM k40)")
+@query(f"WITH {FG}, {_peels('fs', 2, 90)} SELECT s, t, n_rows FROM fl WHERE s IN (SELECT a FROM k90) AND t IN (SELECT a FROM k90)")
 def filter_kcore(spark, d):
     return _links(apply_chain(fg(spark, d), [Step("kcore", k=2)]))
 
@@ -726,3 +726,44 @@ def cell_ids(spark, d):
     e = _table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").alias("k"))
     x = e.select(cells.cell_id(e, "user_id").alias("s"), cells.cell_id(e, "k").alias("t"))
     return x.agg(F.count(F.when(~F.coalesce(F.col("s") != F.col("t"), F.lit(False)), 1)).alias("loops"), F.count_distinct("s").alias("sources"))
+
+
+# ---- what SQL can't express: tests hold these against other versions
+
+
+@query()
+def metric_louvain(spark, d):
+    nodes, links = _uug(spark, d, "w")
+    return community.communities(nodes, links).select("id", "community", r6("modularity"), "method")
+
+
+@query()
+def metric_louvain_stability(spark, d):
+    g = graph.base_graph(fg(spark, d))
+    return community.communities(g.nodes.select("id", "pos"), graph.weighted_links(g), stable=True).select("id", "community", "stability")
+
+
+@query()
+def layout_circlepack(spark, d):
+    c = _customers(spark, d)
+    return arrange.layout(c.select("id", "group", (F.lit(4.0) + F.col("degree") / 3).alias("radius")), "circlepack")
+
+
+@query()
+def layout_force(spark, d):
+    nodes, links = _uug(spark, d)
+    return arrange.layout(nodes.select("id", F.lit(None).cast("string").alias("group"), F.lit(6.0).alias("radius")), "force", links)
+
+
+@query()
+def layout_layers(spark, d):
+    g = graph.base_graph(cn(spark, d))
+    roots = g.nodes.where("in_degree = 0")
+    depth = traverse.reach(g.links, roots, None, "out").join(g.nodes.select("id", "pos"), "id")
+    return style.layout_layers(depth)
+
+
+@query()
+def script_node_values(spark, d):
+    g = graph.base_graph(uu(spark, d))
+    return scripts.script_values(spark, "def run(graph):\n    return {k: len(set(v)) for k, v in graph['neighbors'].items()}", g.nodes, g.links)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark) -> str:
     """What spark.checkpoint.dir names; a folder of our own only where it is unset."""
@@ -22,5 +24,11 @@ def shared_dir(spark) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a written table: a lost executor costs a read, not the loop so far."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")  # shuffle files of the write go with it
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import cells
 from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, occurrence, reconcile
-from .operators import arrange, community, edits, graph, metrics, scripts, stats, style, transforms, traverse
+from .operators import arrange, community, details, edits, graph, metrics, scripts, stats, style, transforms, traverse
 from .operators.chain import Condition, Step, apply_chain
 from .sources.datasource import DataSource, Selection
 
@@ -728,6 +728,31 @@ def cell_ids(spark, d):
     return x.agg(F.count(F.when(~F.coalesce(F.col("s") != F.col("t"), F.lit(False)), 1)).alias("loops"), F.count_distinct("s").alias("sources"))
 
 
+@query(f"WITH {UU} SELECT s, t, pos, CASE WHEN s IN ('3', '5') AND coalesce(t IN ('3', '5'), false) THEN 'both' WHEN s IN ('3', '5') THEN 'out' ELSE 'in' END AS side FROM uu WHERE s IN ('3', '5') OR t IN ('3', '5')")
+def incident_rows(spark, d):
+    rows = details.incident_rows(graph.with_ends(uu(spark, d)), ["3", "5"])
+    return rows.select("s", "t", F.col(POS).alias("pos"), "side")
+
+
+@query(f"WITH {UU} SELECT pos FROM uu WHERE (s = '3' AND t = '5') OR (s = '5' AND t = '3')")
+def pair_rows(spark, d):
+    return details.pair_rows(graph.with_ends(uu(spark, d)), [("3", "5"), ("5", "3")]).select(F.col(POS).alias("pos"))
+
+
+@query(f"""WITH {CN}, l AS (SELECT DISTINCT s, t FROM cn), o AS (SELECT s AS id, count(*) AS o FROM l GROUP BY s), i AS (SELECT t AS id, count(*) AS i FROM l GROUP BY t)
+SELECT 'C' || c_custkey AS id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM customer LEFT JOIN o ON o.id = 'C' || c_custkey LEFT JOIN i ON i.id = 'C' || c_custkey""")
+def recipe_replay(spark, d):
+    new = details.replay(cn(spark, d), [details.Recipe("degree"), details.Recipe("degree")])
+    return new.nodes.select("id", "in_degree", "out_degree")
+
+
+@query(f"""WITH {CN} SELECT 'C' || c_custkey AS id, 0 AS depth FROM customer UNION ALL SELECT DISTINCT t, 1 FROM cn WHERE t LIKE 'N%' UNION ALL SELECT DISTINCT 'N' || n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)
+UNION ALL SELECT 'R' || n_regionkey, min(CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 2 ELSE 1 END) FROM nation GROUP BY n_regionkey""")
+def node_depths(spark, d):
+    g = graph.base_graph(cn(spark, d))
+    return details.node_depths(g.nodes, g.links)
+
+
 # ---- what SQL can't express: tests hold these against other versions
 
 

@@ -47,6 +47,9 @@ class Parsed:
 def read_table(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A table by its extension, with positions; cells of text formats stay text."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
+    if not kind and os.path.isfile(path):
+        with open(path, "rb") as f:
+            kind = ".parquet" if f.read(4) == b"PAR1" else kind
     if kind == ".parquet":
         df = spark.read.parquet(path)
         if len(df.columns) < 2:
@@ -67,6 +70,32 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return df if limit is None else df.orderBy(POS).limit(limit)
 
 
+def create_view(df: DataFrame, name: str) -> None:
+    """Lets SQL read the table by name."""
+    df.drop(POS).createOrReplaceTempView(name)
+
+
+def from_records(spark: SparkSession, rows: Any) -> DataFrame:
+    """A table of a pandas frame, dicts (ragged ones are squared off), pairs or triples (the third is a weight), or a
+    network object with edges(data=True)."""
+    if hasattr(rows, "edges") and callable(rows.edges):
+        rows = [{"source": a, "target": b, **d} for a, b, d in rows.edges(data=True)]
+    if hasattr(rows, "to_dict"):
+        rows = rows.to_dict("records")
+    rows = list(rows)
+    if rows and isinstance(rows[0], (tuple, list)):
+        rows = [dict(zip(("source", "target", "weight"), r)) for r in rows]
+    if not rows:
+        raise ValueError("no rows")
+    return to_doc(spark, Parsed(_records([dict(r) for r in rows]))).edges
+
+
+def gist_id(text: str) -> str | None:
+    """The id in an address or a bare id."""
+    m = re.search(r"(?:^|/)([0-9a-f]{20,32})(?:$|[/?#])", text.strip())
+    return m[1] if m else None
+
+
 def probe(path: str, sample: int = 65536) -> tuple[int, bool]:
     """Rows of a local file, and whether that is exact: a parquet footer, else line breaks of the first part."""
     if path.endswith(".parquet"):

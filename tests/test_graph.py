@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.model import POS, Mapping, build_doc, guess_mapping, reconcile, unique_name
-from loomgraph.operators import arrange, community, edits, graph, metrics, scripts, stats, style, transforms, traverse
+from loomgraph.operators import arrange, community, details, edits, graph, metrics, scripts, stats, style, transforms, traverse
 from loomgraph.operators.chain import Condition, Step, apply_chain, describe, expand_center, playback, retarget, split_seed_list, step_counts, toggle_value, validate
 from loomgraph.sources.datasource import DataSource, Selection
 
@@ -199,3 +199,16 @@ def test_statistics(doc):
     assert stats.infer_types(doc.edges, ["w", "kind"]) == {"w": "number", "kind": "text"}
     assert {r["value"]: r["n"] for r in stats.value_counts(doc.nodes, "hue").collect()} == {"red": 2, "": 1, "blue": 1}
     assert stats.search_first(doc.edges, ["kind"], "Z").first()["hit"]
+
+
+def test_details(doc):
+    g = graph.base_graph(doc)
+    assert details.incident_rows(g.ends, ["d"]).count() == 2 and details.pair_rows(g.ends, [("a", "b")]).count() == 2
+    assert details.forward_steps(g.links, ["a", "c", "d"]) == [False, True]
+    new = details.replay(doc, [details.Recipe("pagerank"), details.Recipe("coreness"), details.Recipe("disparity", "w")])
+    assert {"pagerank", "coreness"} <= set(new.nodes.columns) and "alpha" in new.edges.columns and new.edges.count() == 9
+    assert details.without_computed(new).nodes.columns == doc.nodes.columns
+    assert {r["id"]: r["depth"] for r in details.node_depths(g.nodes, g.links).collect()} == {"z": 0, "e": 0, "f": 1, "b": 0, "a": 1, "c": 1, "d": 2}
+    assert details.guess_style(doc)["width"] == "w"
+    assert ids(details.centrality(g.nodes.select("id", "pos"), graph.weighted_links(g), "degree")) == set("abcdefz")
+    assert details.in_view(doc.edges, g.rows, False).count() == 2

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy block holds at most, but for a single longer text.
 BLOCK_BYTES = 2_000_000
+#: While scratch tables are written: shuffle files go afterwards, and batches to Python are small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,16 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """The rows from the written table. Shuffle files that the write needed go with it."""
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in _WRITING}
+        try:
+            for k, v in _WRITING.items():
+                conf.set(k, v)
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
@@ -50,6 +61,14 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
+def small_batches(df: DataFrame) -> None:
+    """Batches to Python of 1000 rows, unless the session asks for other than the default: texts are long, and a batch
+    is held by the executor and by its Python worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have `limit` bytes together at most, but for a single longer text."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, small_batches
 
 #: Characters of a q-gram.
 Q = 8
@@ -194,6 +194,7 @@ def find_leaks(
     broadcast_chars: int = BROADCAST_CHARS,
 ) -> DataFrame:
     """key, item, edits, start, end: places in the normalised text of the document."""
+    small_batches(docs)
     kind, item_kind = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, start int, end int"
     rows, out = docs.selectExpr(f"`{key}` AS __key", f"`{text}` AS __text"), None
@@ -218,6 +219,7 @@ def _arrow(kind: str) -> pa.Schema:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", budget: float = BUDGET, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """The rows, with all their columns, in which no item occurs."""
+    small_batches(docs)
     out = docs
     for block in _item_blocks(spark, items, item_key, item_text, broadcast_chars):
         shared = spark.sparkContext.broadcast(ItemIndex(block, budget))

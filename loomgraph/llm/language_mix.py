@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, small_batches
 
 SLOTS = 1 << 16
 #: Texts that are learned from, for each language.
@@ -109,6 +109,7 @@ class LanguageModel:
 
 def fit(spark: SparkSession, docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, penalty: float = 1.0) -> LanguageModel:
     """Learns from the rows for which `usable` holds and text and lang are there."""
+    small_batches(docs)
     rows = docs.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     sizes = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -136,6 +137,7 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column, key: str = "doc_id
 
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score, langs."""
+    small_batches(docs)
     kind, shared = dict(docs.dtypes)[key], spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

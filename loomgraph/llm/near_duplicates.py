@@ -46,8 +46,8 @@ BYTES_A_BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4_000_000, 256, 1 << 20
 CROWD = 32
 #: Crowded columns that are put last at most (the most crowded of them).
 MOST_CROWDED = 4_000_000
-#: Rows of a candidate component that are verified together, about.
-CHUNK = 48
+#: Candidate pairs that are verified together, about.
+GROUP_PAIRS = 2000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -79,7 +79,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, ends: np.ndarray, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased) of texts laid end to end, and where each text's words start."""
     space = _SPACE[data]
     first = ~space
@@ -166,7 +166,7 @@ class _Crowded:
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int, forget: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
     seen: set[int] = set()
-    for block in blocks(batches, "__text"):
+    for block in blocks(batches, "__text", 1_000_000):
         for found in shingle_sets(block.column("__text"), width):
             if len(found):
                 name = set_name(found)
@@ -195,7 +195,7 @@ def crowded_columns(texts: DataFrame, scratch: Scratch, n_blocks: int, width: in
         for _, found in _distinct_sets(batches, width):
             held.append(_split(found, n_blocks))
             n += len(found)
-            if n >= 4_000_000:
+            if n >= 2_000_000:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -280,7 +280,7 @@ _STEPS = 64
 class BlockWriter:
     """Collects (column, name, size) entries and gives them as batches with a row for each block."""
 
-    def __init__(self, n_blocks: int, entries: int = 2_000_000):
+    def __init__(self, n_blocks: int, entries: int = 1_000_000):
         self.n_blocks, self.entries, self.held, self.n = n_blocks, entries, [], 0
 
     def add(self, columns: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -341,20 +341,30 @@ def _bit_map(names: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+def unpacked(found: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(f, np.uint64) for f in found]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int, unpack=unpacked) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    parts = scratch.save(components(pairs, scratch, f"{name}-candidates"), f"{name}-parts")
-    chunks = parts.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(float(CHUNK))).alias("c"))
-    where = parts.join(chunks, "comp").select("node", "comp", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("c")).alias("chunk"))
-    at = lambda side: where.select(F.col("node").alias(side), F.col("chunk").alias(f"chunk_{side}"), *([F.col("comp")] if side == "a" else []))
-    dealt = pairs.join(at("a"), "a").join(at("b"), "b")
-    dealt = dealt.select("a", "b", F.xxhash64("comp", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b")).alias("g"))
-    dealt = scratch.save(dealt, f"{name}-dealt")
+    # Pairs meet by the least neighbour of either end: those of a clique meet at once. A key with few pairs shares its
+    # group with others; one with many is cut into a square of groups.
+    total = pairs.count()
+    least = ends(pairs, both=True).groupBy("name").agg(F.min(F.least("name", "other")).alias("key"))
+    least = scratch.save(least, f"{name}-keys")
+    at = lambda c: least.select(F.col("name").alias(c), F.col("key").alias(f"key_{c}"))
+    keyed = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("key_a", "key_b").alias("key"))
+    keyed = scratch.save(keyed, f"{name}-keyed")
+    sides = keyed.groupBy("key").agg(F.ceil(F.sqrt(F.count("*") / float(GROUP_PAIRS))).alias("side"))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit("part")), F.col("side"))
+    shared = F.xxhash64(F.pmod(F.xxhash64("key", F.lit("group")), F.lit(1 + total // GROUP_PAIRS)))
+    group = F.when(F.col("side") > 1, F.xxhash64("key", part("a"), part("b"))).otherwise(shared)
+    dealt = scratch.save(keyed.join(sides, "key").select("a", "b", group.alias("g")), f"{name}-dealt")
     side = lambda c: dealt.select(F.col("g").alias("h"), F.col(c).alias("name"))
     sent = side("a").unionByName(side("b")).distinct().join(sets, "name").select("h", "name", "found")
 
     def verify(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
-        known = {n: np.frombuffer(f, np.uint64) for n, f in zip(sets_["name"].to_pylist(), sets_["found"].to_pylist())}
+        known = dict(zip(sets_["name"].to_pylist(), unpack(sets_["found"].to_pylist())))
         kept = []
         for a, b in zip(pairs_["a"].to_pylist(), pairs_["b"].to_pylist()):
             x, y = known[a], known[b]
@@ -407,16 +417,16 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarra
     return 100 * shared >= percent * both
 
 
-def _sets_of(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-    return table["name"].to_pylist(), [np.frombuffer(f, np.uint64) for f in table["found"].to_pylist()]
+def _sets_of(table: pa.Table, unpack) -> tuple[list[int], list[np.ndarray]]:
+    return table["name"].to_pylist(), unpack(table["found"].to_pylist())
 
 
 #: Rows, and members of their sets, that a part of a crowd holds, about.
 _CROWD_ROWS, _CROWD_SHINGLES = 512, 1_500_000
 
 
-def _crowd_links(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links that join what is linked within crowds (components of `edges`).
+def _crowd_components(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int, unpack=unpacked) -> DataFrame:
+    """Components of the links and of what is linked within crowds (components of `edges`).
 
     Each part of a crowd is multiplied with itself and with a few rows that all parts get; what is then not in the
     crowd's main component is multiplied with every part. So each pair of rows in different components has been
@@ -431,7 +441,7 @@ def _crowd_links(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: S
     sent = dealt.select("node", "comp", "part").unionByName(common).distinct().join(sets, F.col("node") == F.col("name")).select("comp", "part", "name", "found")
 
     def within(table: pa.Table) -> pa.Table:
-        names, own = _sets_of(table)
+        names, own = _sets_of(table, unpack)
         near = _linked(own, own, percent)
         label = np.arange(len(own))
         while True:
@@ -459,7 +469,7 @@ def _crowd_links(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: S
     with_sets = lambda x, y: x.join(sets, F.col("node") == F.col("name")).select(*[F.col(k).alias(f"{y}{k}") for k in keys], F.col("name").alias("name"), "label", F.col("found").alias("found"))
 
     def across(x_: pa.Table, y_: pa.Table) -> pa.Table:
-        (xn, x), (yn, y) = _sets_of(x_), _sets_of(y_)
+        (xn, x), (yn, y) = _sets_of(x_, unpack), _sets_of(y_, unpack)
         out: list[tuple[int, int]] = []
         if x and y:
             a, b = x_["label"].to_numpy(), y_["label"].to_numpy()
@@ -472,25 +482,29 @@ def _crowd_links(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: S
     right = scratch.save(right, "crowd-right")
     grouped = lambda x, y: with_sets(x, y).groupBy(*[f"{y}{k}" for k in keys])
     second = grouped(left, "x_").cogroup(grouped(right, "y_")).applyInArrow(across, "a long, b long")
-    return first.unionByName(scratch.save(second, "crowd-second"))
+    second = scratch.save(second, "crowd-second")
+    if second.isEmpty():
+        return scratch.spark.read.parquet(f"{scratch.root}/crowd-comps")
+    return components(first.unionByName(second), scratch, "links")
 
 
-def ends(*edges: DataFrame) -> DataFrame:
-    """name: all that the edges (a, b) have."""
+def ends(*edges: DataFrame, both: bool = False) -> DataFrame:
+    """name: all that the edges (a, b) have; with `both`, name and other, in both directions."""
     out = None
     for e in edges:
-        both = e.select(F.col("a").alias("name")).unionByName(e.select(F.col("b").alias("name")))
-        out = both if out is None else out.unionByName(both)
-    return out.distinct()
+        one, two = (e.select(F.col(x).alias("name"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a")))
+        out = one.unionByName(two) if out is None else out.unionByName(one).unionByName(two)
+    return out if both else out.select("name").distinct()
 
 
-def resolve(pairs: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def resolve(pairs: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, unpack=unpacked) -> DataFrame:
     """node, comp: components of the links among candidate pairs (a, b) and within crowds (edges a, b).
-    sets: name, found."""
-    links = _verified(pairs, sets, scratch, "pairs", percent)
-    if not edges.isEmpty():
-        links = _crowd_links(edges, sets, links, scratch, percent)
-    return scratch.save(components(links, scratch, "links"), "comps")
+    sets: name, found; `unpack` makes sets of a list of what is found. A name may have several equal rows, one of
+    which is taken as its rows meet for the joins."""
+    sets = sets.dropDuplicates(["name"])
+    links = _verified(pairs, sets, scratch, "pairs", percent, unpack)
+    found = components(links, scratch, "links") if edges.isEmpty() else _crowd_components(edges, sets, links, scratch, percent, unpack)
+    return scratch.save(found, "comps")
 
 
 def jaccard_components(
@@ -518,9 +532,10 @@ def jaccard_components(
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("qa").alias("qa"), F.first("qb").alias("qb")).where(bound)
     pairs = scratch.save(counted.select("a", "b"), "pairs")
     edges = scratch.save(crowd_edges(found), "edges")
+    scratch.drop("found")
     wanted = spark.sparkContext.broadcast((_bit_map(ends(pairs, edges), "name"),))
     sets_table = scratch.save(_with_sets(rows, wanted, width), "sets")
-    sets = scratch.save(sets_table.where("found IS NOT NULL").select("name", "found").dropDuplicates(["name"]), "named")
+    sets = sets_table.where("found IS NOT NULL").select("name", "found")
     comps = resolve(pairs, edges, sets, scratch, percent)
 
     least = sets_table.where("size > 0").groupBy("name").agg(F.min("__key").alias("least"))
@@ -537,7 +552,7 @@ def _with_sets(rows: DataFrame, wanted, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value[0], set()
         power = len(bits).bit_length() - 1 + 6
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, "__text", 1_000_000):
             sets = shingle_sets(block.column("__text"), width)
             names = np.array([set_name(s) if len(s) else 0 for s in sets], np.int64)
             place = (names.astype(np.uint64) >> _U(64 - power)).astype(np.int64)

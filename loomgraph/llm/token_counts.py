@@ -26,7 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, small_batches
 
 # Fixed value: the pattern that a byte-level pre-tokenizer cuts by.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -142,6 +142,7 @@ def cuts(text: str) -> list[str]:
 def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit. `vocabulary`: a path that executors can open, or a file's name that was
     given to SparkContext.addFile."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, small_batches
 from .token_counts import Memo
 
 # Identity terms by kind; a term is swapped for the others of its line.
@@ -80,7 +80,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         if self._known is None:
-            self._known = Memo(lambda w: tuple(f for f in word_features(w) if f in self.weights), 300_000, 60)
+            self._known = Memo(lambda w: tuple(f for f in word_features(w) if f in self.weights), 100_000, 60)
         found = {f for hit in map(self._known.__getitem__, words_of(text)) if hit for f in hit}
         z = self.bias + sum(self.weights[f] for f in sorted(found))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))
@@ -167,6 +167,7 @@ def fit(
 ) -> ToxicityModel:
     """Learns from the labels for which `usable` holds. What reaches the driver are hashed features of
     2 * rows_per_class texts."""
+    small_batches(docs)
     known = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
     first = [known.where(F.col("__label") == c).orderBy(F.xxhash64("__key"), "__key").limit(rows_per_class) for c in (0, 1)]
     few = first[0].unionByName(first[1])
@@ -196,6 +197,7 @@ def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
 
 def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """key, score, predicted."""
+    small_batches(docs)
     kind, shared = dict(docs.dtypes)[key], spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +210,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, key: str =
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows, with all their columns, that the model does not reject."""
+    small_batches(docs)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

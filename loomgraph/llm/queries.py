@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, decontamination, language_mix, line_dedup, near_duplicates, quality_rules, sharding, token_counts, toxicity, url_trust
+from . import bpe_transducer, decontamination, language_mix, line_dedup, near_duplicates, oracles, quality_rules, sharding, token_counts, toxicity, url_trust
 from .common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -31,7 +31,8 @@ def op2_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES)
+    out = url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, tolerance=0.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("host_trust", "host_distrust")})
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +94,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": QUALITY_SQL}
+    return {
+        "op3_url_trust": oracles.url_trust(URL_RULES, damping=0.85, rounds=20, block_at=0.5),
+        "op5_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op10_quality_rules": QUALITY_SQL,
+    }

@@ -109,7 +109,7 @@ def filter_urls(
     distrust = propagate(spark, stats.select("host", (F.col("blocked") / F.col("n")).alias("seed")), back, scratch, "distrust", damping, rounds, tolerance)
     scale = 1.0 / (1 - damping)
     hosts = trust.select("host", (F.col("score") * scale).alias("host_trust")).join(distrust.select("host", (F.col("score") * scale).alias("host_distrust")), "host")
-    blocked = (F.col("host_distrust") >= block_at) & (F.col("host_distrust") > F.col("host_trust"))
+    blocked = (F.round("host_distrust", 9) >= block_at) & (F.col("host_distrust") > F.col("host_trust"))
     hosts = scratch.save(hosts.withColumn("__host_verdict", F.when(blocked, "block").otherwise("allow")), "hosts")
     if hosts.count() <= broadcast_hosts:
         joined = judged.join(F.broadcast(hosts), "host", "left")

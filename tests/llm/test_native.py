@@ -100,3 +100,22 @@ def test_urls(spark):
     salted = U.filter_urls(spark, df, rules, tolerance=0.0, rounds=60, broadcast_hosts=0)
     assert sorted(map(str, salted.collect())) == sorted(map(str, out))
     assert U.filter_urls(spark, df.limit(0), rules).count() == 0
+
+
+def test_registered_sql(spark, tmp_path):
+    import random
+
+    d, rng = "/root/testdata/sf0.001", random.Random(2)
+    pages = [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
+    hosts = sorted({p[1].split("/")[2] for p in pages})
+    linked = [(p[0], p[1], p[2] + "".join(f'<a href="//{rng.choice(hosts)}/x">y</a>' for _ in range(rng.randint(0, 3)))) for p in pages]
+    spark.createDataFrame(linked, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name, where in (("op3_url_trust", str(tmp_path)), ("op5_near_duplicates", d)):
+        want = con.execute(queries.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        df = queries.queries()[name](spark, where)
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))

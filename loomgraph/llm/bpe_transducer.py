@@ -27,11 +27,11 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, claim, small_batches
 from .token_counts import Memo, cuts
 
-#: Pieces in a generation of the memo; states kept before the machine is built anew.
-MEMO = 300_000
+#: Cuts in a generation of the memo; states kept before the machine is built anew.
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,10 +135,12 @@ class Transducer:
                 if (end := self.ends[node]) >= 0 and self.follows(before, end):
                     live.append((0, end, (*held, end)))
         common, first = 0, live[0][2]
-        while common < len(first) and all(len(x[2]) > common and x[2][common] == first[common] for x in live):
-            common += 1
-        new = self._state(tuple(sorted((node, before, held[common:]) for node, before, held in live)))
-        out = state[b] = new, first[:common]
+        if first and all(x[2] for x in live):
+            while common < len(first) and all(len(x[2]) > common and x[2][common] == first[common] for x in live):
+                common += 1
+            if common:
+                live = [(node, before, held[common:]) for node, before, held in live]
+        out = state[b] = self._state(tuple(live)), first[:common]
         return out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -184,17 +186,30 @@ class Codec:
         self.machine = Transducer(read_ranks(path), memo)
         self.pattern = regex.compile(pattern)
         self.letters = r"| ?\p{L}+|" in pattern  # a space and letters are one piece
-        self.pieces = Memo(self._piece, memo)
-        self.first = Memo(self._plain, memo // 20)
-        self.rest = Memo(self._cut, memo // 2)
+        self.pieces = Memo(lambda piece: tuple(self.machine.encode(piece.encode("utf-8"))), memo // 10)
+        self.rest = Memo(self._cut, memo)
+        self.decimal = {i: str(i) for i in self.machine.token}
+
+    def _cut(self, cut: str) -> tuple[int, ...]:
+        """Ids of a space and what follows it up to the next cut."""
+        if self.letters:
+            if cut.isalpha():
+                return tuple(self.machine.encode(f" {cut}".encode()))
+            if cut[-1] in ".,;:!?" and cut[:-1].isalpha():  # letters, then one piece of one mark
+                return self.rest[cut[:-1]] + self.pieces[cut[-1]]
+        return tuple(self._plain(f" {cut}"))
+
+    def _plain(self, text: str) -> Iterator[int]:
+        return chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        encode = self.machine.encode
-        return list(chain.from_iterable(encode(piece.encode("utf-8")) for piece in self.pattern.findall(text)))
+        if not text:
+            return []
+        first, *rest = cuts(text)
+        return [*self._plain(first), *chain.from_iterable(map(self.rest.__getitem__, rest))]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        token = self.machine.token
-        return b"".join([token[i] for i in ids])
+        return b"".join(map(self.machine.token.__getitem__, ids))
 
     def characters(self, ids: Iterable[int]) -> Iterator[str]:
         """Streaming decoding: the characters that each id completes."""
@@ -205,52 +220,36 @@ class Codec:
         if said := stream.close():
             yield said
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
-        """Ids of a piece: how many, as decimals, and decoded again."""
-        ids = self.machine.encode(piece.encode("utf-8"))
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
-
-    def _plain(self, text: str) -> tuple[int, str, bytes]:
-        pieces = self.pattern.findall(text)
-        if len(pieces) == 1:
-            return self.pieces[pieces[0]]
-        counts, ids, decoded = zip(*map(self.pieces.__getitem__, pieces))
-        return sum(counts), ",".join(ids), b"".join(decoded)
-
-    def _cut(self, cut: str) -> tuple[int, str, bytes]:
-        if self.letters:
-            if cut.isalpha():
-                return self.pieces[f" {cut}"]
-            if cut[-1] in ".,;:!?" and cut[:-1].isalpha():  # letters, then one piece of one mark
-                n, ids, decoded = self.pieces[f" {cut[:-1]}"]
-                m, mark, end = self.pieces[cut[-1]]
-                return n + m, f"{ids},{mark}", decoded + end
-        return self._plain(f" {cut}")
-
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Ids, and the SHA-256 of the ids joined by commas and of the decoded bytes, cut by cut."""
+        """How many ids, and the SHA-256 of the ids joined by commas and of the bytes that they decode to."""
         if not text:
             return 0, _EMPTY, _EMPTY
-        first, *rest = cuts(text)
-        known = [self.first[first], *map(self.rest.__getitem__, rest)] if first else [*map(self.rest.__getitem__, rest)]
-        counts, joined, decoded = zip(*known)
-        return sum(counts), hashlib.sha256(",".join(joined).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+        ids = self.encode(text)
+        joined = ",".join(map(self.decimal.__getitem__, ids))
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
+def _forget() -> None:
+    _codecs.clear()
+    gc.enable()
+
+
 def codec(vocabulary: str, pattern: str) -> Codec:
     """One for each Python worker, vocabulary and pattern."""
+    claim("bpe", _forget)
     if (vocabulary, pattern) not in _codecs:
-        gc.set_threshold(500_000, 20, 20)  # what is kept has no cycles to look for
+        gc.disable()  # what is kept has no cycles, and looking for them takes a seventh of the time
         _codecs[vocabulary, pattern] = Codec(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), pattern)
     return _codecs[vocabulary, pattern]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids: the token ids of every text."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +263,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, text: the characters of every list of ids, by the incremental state machine."""
+    small_batches(encoded)
     kind = dict(encoded.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +277,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, key: str
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches
+from .common import blocks, claim, small_batches
 
 #: Characters of a q-gram.
 Q = 8
@@ -202,6 +202,7 @@ def find_leaks(
         shared = spark.sparkContext.broadcast(ItemIndex(block, budget))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("leaks")
             for part in blocks(batches, "__text"):
                 keys, found = part.column("__key"), [(row, *m) for row, t in enumerate(part.column("__text").to_pylist()) if t for m in shared.value.matches(normalised(t))]
                 row, *columns = [list(c) for c in zip(*found)] or [[], [], [], [], []]
@@ -225,6 +226,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str
         shared = spark.sparkContext.broadcast(ItemIndex(block, budget))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("leaks")
             for part in blocks(batches, text):
                 yield part.filter(pa.array([not (t and shared.value.matches(normalised(t))) for t in part.column(text).to_pylist()], pa.bool_()))
 

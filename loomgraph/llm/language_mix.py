@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches
+from .common import blocks, claim, small_batches
 
 SLOTS = 1 << 16
 #: Texts that are learned from, for each language.
@@ -122,6 +122,7 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column, key: str = "doc_id
     picked = rows.where((F.pmod(F.xxhash64("__key", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)) < rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         sums = np.zeros((len(names), SLOTS), np.int64)
         for block in blocks(batches, "__text"):
             for body, name in zip(block.column("__text").to_pylist(), block.column("__lang").to_pylist()):
@@ -141,6 +142,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, key: str
     kind, shared = dict(docs.dtypes)[key], spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         for block in blocks(batches, "__text"):
             found = [shared.value.predict(t) for t in block.column("__text").to_pylist()]
             columns = list(zip(*found)) if found else [(), (), ()]

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, text_bytes
+from .common import Scratch, blocks, claim, text_bytes
 from .graph_parts import components
 
 #: Bytes of text for each block of columns; blocks at least and at most.
@@ -165,6 +165,7 @@ class _Crowded:
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int, forget: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
+    claim("near duplicates")
     seen: set[int] = set()
     for block in blocks(batches, "__text", 1_000_000):
         for found in shingle_sets(block.column("__text"), width):

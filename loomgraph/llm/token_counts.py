@@ -26,7 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import blocks, small_batches
+from .common import blocks, claim, small_batches
 
 # Fixed value: the pattern that a byte-level pre-tokenizer cuts by.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -162,6 +162,7 @@ _counters: dict[str, MergeCounter] = {}
 
 def _counter(vocabulary: str) -> MergeCounter:
     """One for each Python worker and vocabulary."""
+    claim("counts", _counters.clear)
     if vocabulary not in _counters:
         _counters[vocabulary] = MergeCounter(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary))
     return _counters[vocabulary]

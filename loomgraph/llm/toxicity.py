@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches
+from .common import blocks, claim, small_batches
 from .token_counts import Memo
 
 # Identity terms by kind; a term is swapped for the others of its line.
@@ -174,6 +174,7 @@ def fit(
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(few), "__key").select("__text", "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for block in blocks(batches, "__text"):
             words = [words_of(t) for t in block.column("__text").to_pylist()]
             found = pa.array([sorted(text_features(w)) for w in words], pa.list_(pa.int64()))
@@ -201,6 +202,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, key: str =
     kind, shared = dict(docs.dtypes)[key], spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for block in blocks(batches, "__text"):
             scores = np.array([shared.value.score(t) for t in block.column("__text").to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([block.column("__key"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [key, "score", "predicted"])
@@ -214,6 +216,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for block in blocks(batches, text):
             yield block.filter(pa.array([shared.value.score(t) < threshold for t in block.column(text).to_pylist()], pa.bool_()))
 

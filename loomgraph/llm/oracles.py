@@ -19,8 +19,8 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM d
 """
 
 
-def url_trust(rules, damping: float, rounds: int, block_at: float) -> str:
-    """Rules by CASE, links by regular expressions, and every round of both propagations as a table."""
+def url_trust(rules, damping: float, rounds: int, block_at: float, relative: bool = False) -> str:
+    """Rules by CASE, links by regular expressions, and every round of the propagations as a table."""
     fits = []
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
         name, slash, rest = rule.partition("/")
@@ -41,6 +41,14 @@ def url_trust(rules, damping: float, rounds: int, block_at: float) -> str:
             out.append(f"{name}{k} AS MATERIALIZED (SELECT x.host, seed, {1 - damping} * seed + {damping} * coalesce(got, 0) AS score FROM {name}{k - 1} x LEFT JOIN (SELECT w.t AS host, sum(w.w * y.score) AS got FROM {name}w w JOIN {name}{k - 1} y ON y.host = w.s GROUP BY w.t) z ON z.host = x.host)")
     scale = 1.0 / (1 - damping)
     out.append(f"v AS (SELECT a.host, a.score * {scale} AS trust, b.score * {scale} AS distrust FROM t{rounds} a JOIN d{rounds} b ON a.host = b.host)")
+    blocked, more = f"round(distrust, 9) >= {block_at} AND distrust > trust", ""
+    if relative:
+        out.append("m0 AS (SELECT host, bad AS seed, bad AS met, 0.0 AS got FROM h)")
+        for k in range(1, rounds + 1):
+            led = f"SELECT x.host, seed, {damping} * coalesce(led, 0) AS got FROM m{k - 1} x LEFT JOIN (SELECT w.s AS host, sum(w.w * y.met) AS led FROM tw w JOIN m{k - 1} y ON y.host = w.t GROUP BY w.s) z ON z.host = x.host"
+            out.append(f"m{k} AS MATERIALIZED (SELECT host, seed, seed + (1 - seed) * got AS met, got FROM ({led}))")
+        out.append(f"r AS (SELECT v.host, trust, distrust, got AS inherited FROM v JOIN m{rounds} m ON m.host = v.host)")
+        blocked, more = f"({blocked}) OR (round(inherited, 9) >= {block_at} AND inherited > trust)", ", round(inherited, 6) AS host_inherited"
     return f"""WITH {', '.join(out)}
-SELECT page_id, j.host, path, nullif(split_part(coalesce(rule, ''), ' ', 2), '') AS rule, coalesce(nullif(split_part(coalesce(rule, ''), ' ', 1), ''), CASE WHEN round(distrust, 9) >= {block_at} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
-round(trust, 6) AS host_trust, round(distrust, 6) AS host_distrust FROM j JOIN v ON v.host = j.host"""
+SELECT page_id, j.host, path, nullif(split_part(coalesce(rule, ''), ' ', 2), '') AS rule, coalesce(nullif(split_part(coalesce(rule, ''), ' ', 1), ''), CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict,
+round(trust, 6) AS host_trust, round(distrust, 6) AS host_distrust{more} FROM j JOIN {'r v' if relative else 'v'} ON v.host = j.host"""

@@ -4,7 +4,10 @@ Explicit rules judge what they fit (the longest rule that fits a url wins). Ever
 verdict. Trust is personalised PageRank along host edges (links found in the pages), restarted at hosts in
 proportion to the share of their pages that rules allow; distrust is the same on the reversed edges, restarted
 in proportion to the share that rules block: who links to blocked hosts inherits their distrust. A host is
-blocked when its distrust reaches `block_at` and exceeds its trust. Built-in expressions only.
+blocked when its distrust reaches `block_at` and exceeds its trust. A blocked host's distrust is split over all that
+link to it, so with `relative` (the default) a host is also blocked when the damped chance that its links lead to
+blocked pages (`host_inherited`) reaches `block_at` and exceeds its trust: that chance is split over the linking
+host's own links, so it is the same with one linker or a million. Built-in expressions only.
 
 Links are counted per (host, host) before they are shuffled; rounds run over hosts, not pages, and cut their
 lineage with tables in the shared folder. Verdicts are broadcast up to `broadcast_hosts` hosts; beyond that
@@ -81,6 +84,25 @@ def propagate(spark: SparkSession, seeds: DataFrame, edges: DataFrame, scratch:
     return score.select("host", "score")
 
 
+def inherited(spark: SparkSession, seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    """host, got: the chance that who follows the host's links, on with `damping` at each step, meets a blocked page."""
+    shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+    shares = scratch.save(shares, "inherited-shares")
+    met = scratch.save(seeds.select("host", "seed", F.col("seed").alias("met"), F.lit(0.0).alias("got")), "inherited-0")
+    if shares.isEmpty():
+        return met.select("host", "got")
+    for k in range(1, rounds + 1):
+        sent = shares.join(met, shares["dst"] == met["host"]).groupBy("src").agg((damping * F.sum(F.col("share") * F.col("met"))).alias("new"))
+        new = met.join(sent, met["host"] == sent["src"], "left").select("host", "seed", F.coalesce("new", F.lit(0.0)).alias("got"), F.col("got").alias("was"))
+        new = scratch.save(new.select("host", "seed", (F.col("seed") + (1 - F.col("seed")) * F.col("got")).alias("met"), "got", "was"), f"inherited-{k}")
+        moved = new.agg(F.sum(F.abs(F.col("got") - F.col("was"))).alias("d"), F.sum("seed").alias("s")).first()
+        scratch.drop(f"inherited-{k - 1}")
+        met = new.select("host", "seed", "met", "got")
+        if (moved["d"] or 0.0) <= tolerance * (moved["s"] or 0.0):
+            break
+    return met.select("host", "got")
+
+
 def filter_urls(
     spark: SparkSession,
     pages: DataFrame,
@@ -94,8 +116,9 @@ def filter_urls(
     block_at: float = 0.5,
     broadcast_hosts: int = 100_000,
     salts: int = 64,
+    relative: bool = True,
 ) -> DataFrame:
-    """key, host, path, rule, verdict, host_trust, host_distrust."""
+    """key, host, path, rule, verdict, host_trust, host_distrust, and with `relative` host_inherited."""
     scratch = Scratch(spark, "url-trust")
     judged = pages.select(F.col(key).alias("__key"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     judged = judged.withColumn("__rule", match_rule(F.col("host"), F.col("path"), rules))
@@ -110,6 +133,12 @@ def filter_urls(
     scale = 1.0 / (1 - damping)
     hosts = trust.select("host", (F.col("score") * scale).alias("host_trust")).join(distrust.select("host", (F.col("score") * scale).alias("host_distrust")), "host")
     blocked = (F.round("host_distrust", 9) >= block_at) & (F.col("host_distrust") > F.col("host_trust"))
+    told = ["host_trust", "host_distrust"]
+    if relative:
+        led = inherited(spark, stats.select("host", (F.col("blocked") / F.col("n")).alias("seed")), edges, scratch, damping, rounds, tolerance)
+        hosts = hosts.join(led.select("host", F.col("got").alias("host_inherited")), "host")
+        blocked |= (F.round("host_inherited", 9) >= block_at) & (F.col("host_inherited") > F.col("host_trust"))
+        told.append("host_inherited")
     hosts = scratch.save(hosts.withColumn("__host_verdict", F.when(blocked, "block").otherwise("allow")), "hosts")
     if hosts.count() <= broadcast_hosts:
         joined = judged.join(F.broadcast(hosts), "host", "left")
@@ -117,4 +146,4 @@ def filter_urls(
         salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = judged.withColumn("__salt", F.pmod(F.xxhash64("__key", "path"), F.lit(salts)).cast("int")).join(salted, ["host", "__salt"], "left")
     verdict = F.coalesce(F.col("__rule.verdict"), F.col("__host_verdict"))
-    return joined.select(F.col("__key").alias(key), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "host_trust", "host_distrust")
+    return joined.select(F.col("__key").alias(key), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), *told)

@@ -102,6 +102,35 @@ def test_urls(spark):
     assert U.filter_urls(spark, df.limit(0), rules).count() == 0
 
 
+def test_blocked_host_with_many_linkers(spark):
+    pages = [_page(0, "http://spam.com/en/"), *(_page(k, f"http://farm{k}.org/fr/1", "http://spam.com/") for k in range(1, 51)), _page(60, "http://fine.org/fr/1", "http://good.net/"), _page(61, "http://mixed.org/fr/1", "http://good.net/", "http://other.org/", "http://spam.com/")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r for r in U.filter_urls(spark, df, queries.URL_RULES, tolerance=0.0).collect()}
+    for k in range(1, 51):
+        assert got[k]["verdict"] == "block" and abs(got[k]["host_inherited"] - 0.85) < 1e-9
+        assert got[k]["host_distrust"] < 0.85 / 50
+    assert got[60]["verdict"] == got[61]["verdict"] == "allow" and abs(got[61]["host_inherited"] - 0.85 / 3) < 1e-9
+
+
+def test_relative_sql_on_shared_blocked_hosts(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    hosts = [f"h{k}.{'com' if k < 4 else rng.choice(['net', 'org', 'io'])}" for k in range(40)]
+    pages = [_page(k, f"http://{hosts[k % 40]}/{'en' if k % 40 < 4 else rng.choice(['de', 'es', 'fr'])}/{k % 9}", *(f"//{h}/x" for h in rng.sample(hosts[:4] if k % 40 > 9 else hosts, 2))) for k in range(160)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, host string").drop("host").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op3_url_trust_relative"])
+    columns = [c[0] for c in want.description]
+    df = queries.op3_url_trust_relative(spark, str(tmp_path))
+    assert sorted(columns) == sorted(df.columns)
+    got, rows = (sorted(map(tuple, x), key=repr) for x in (df.select(*columns).collect(), want.fetchall()))
+    assert got == rows
+    plain = {r["page_id"]: r["verdict"] for r in queries.op3_url_trust(spark, str(tmp_path)).collect()}
+    assert any(plain[r[0]] == "allow" and r[columns.index("verdict")] == "block" for r in got)
+
+
 def test_registered_sql(spark, tmp_path):
     import random
 

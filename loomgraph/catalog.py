@@ -55,6 +55,12 @@ def sp(spark: SparkSession, d: str) -> GraphDoc:
     return build_doc(rows, mapping=Mapping("s", "t", ("w", "kind", "ts")))
 
 
+def sp_placed(spark: SparkSession, d: str) -> GraphDoc:
+    """SP with places that SQL knows too; equal ones are told apart by the counterparts' ids."""
+    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(POS)
+    return build_doc(_table(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("t"), place), mapping=Mapping("s", "t"))
+
+
 def fg(spark: SparkSession, d: str) -> GraphDoc:
     c = _table(spark, d, "customer")
     rows = c.select(F.col("c_custkey").cast("string").alias("s"), ((F.col("c_custkey") * F.col("c_custkey") + 1) % 1499).cast("string").alias("t"), F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("w"), F.col("c_custkey").alias(POS))
@@ -592,6 +598,29 @@ def project_targets(spark, d):
     return transforms.project(graph.with_ends(doc).where("w >= 50"), "target", 1 << 40)[0]
 
 
+def _budget_sql(kept: str, other: str) -> str:
+    """The whole SP table; counterparts are taken in order of their first rows while running sums of pairs fit."""
+    return f"""WITH r AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS t, l_orderkey * 8 + l_linenumber AS p FROM lineitem),
+i AS (SELECT {kept} AS a, {other} AS o, min(p) AS p FROM r WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2), k AS (SELECT o, count(*) * (count(*) - 1) // 2 AS n, min(p) AS p FROM i GROUP BY o),
+u AS (SELECT o FROM (SELECT o, sum(n) OVER (ORDER BY p, o ROWS UNBOUNDED PRECEDING) AS run FROM k) WHERE run <= {transforms.PAIR_LIMIT})
+SELECT x.a AS s, y.a AS t, count(*) AS weight, (SELECT count(*) FROM u) AS used, (SELECT count(*) FROM k) AS total FROM u JOIN i x ON x.o = u.o JOIN i y ON y.o = u.o AND x.a < y.a GROUP BY 1, 2"""
+
+
+def _budgeted(spark: SparkSession, d: str, keep: str) -> DataFrame:
+    pairs, counts = transforms.project(graph.with_ends(sp_placed(spark, d)), keep)
+    return pairs.crossJoin(F.broadcast(counts))
+
+
+@query(_budget_sql("s", "t"))
+def project_sources_budget(spark, d):
+    return _budgeted(spark, d, "source")
+
+
+@query(_budget_sql("t", "s"))
+def project_targets_budget(spark, d):
+    return _budgeted(spark, d, "target")
+
+
 @query(f"WITH {SP}, k AS (SELECT t, count(DISTINCT s) AS k FROM sp GROUP BY t) SELECT CAST(sum(k * (k - 1) / 2) AS BIGINT) AS pairs FROM k")
 def projection_pair_bound(spark, d):
     return transforms.pair_bound(graph.with_ends(sp(spark, d)), "source")

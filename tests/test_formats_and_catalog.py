@@ -47,6 +47,16 @@ def test_query(spark, con, name):
     assert sorted((tuple(_norm(r[n]) for n in order) for r in rows), key=str) == expected
 
 
+@pytest.mark.parametrize("name", ["project_sources_budget", "project_targets_budget"])
+def test_projection_spends_its_budget(spark, name):
+    d = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet'")
+    want = sorted(c.execute(catalog.oracle_sql()[name]).fetchall())
+    got = sorted(tuple(r) for r in catalog.queries()[name](spark, d).select("s", "t", "weight", "used", "total").collect())
+    assert got == want and 0 < got[0][3] < got[0][4]
+
+
 PARSED = f.Parsed([{"source": "a", "target": "b", "weight": 2, "note": 'say "hi"'}, {"source": "b", "target": "c", "weight": 1.5, "note": None}], [{"id": "a", "big": True}, {"id": "b", "big": False}, {"id": "c", "big": None}], f.Mapping("source", "target"), "id")
 
 

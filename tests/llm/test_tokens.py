@@ -35,21 +35,35 @@ def test_ids_are_the_librarys_and_decode(texts):
     for t in texts:
         ids = library.encode_ordinary(t)
         assert own.encode(t) == ids
-        assert own.decode(ids) == t.encode()
-        assert "".join(own.characters(ids)) == t
-        n, joined, decoded = own.digests(t)
-        assert n == len(ids)
-        assert joined == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert decoded == hashlib.sha256(t.encode()).hexdigest()
-
-
-def test_stream_keeps_cut_characters():
-    text = "aé中😀́z"
-    for size in (1, 2, 3):
-        stream, data = B.Utf8Stream(), text.encode()
-        assert "".join(stream.feed(data[k : k + size]) for k in range(0, len(data), size)) + stream.close() == text
-    stream = B.Utf8Stream()
-    assert stream.feed(b"\xe4\xb8") + stream.close() == "�"
+        assert own.decode(ids) == t
+
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for few in (texts, texts[:1], [], ["", None, "a", ""]):
+        known = [library.encode_ordinary(t or "") for t in few]
+        assert own.digests(few) == ([len(x) for x in known], [sha(",".join(map(str, x))) for x in known], [sha(t or "") for t in few])
+
+
+def _streamed(data: bytes) -> str:
+    """Through tokens of one byte each: every state of the machine is passed one by one."""
+    return "".join(B.Utf8Machine({b: bytes([b]) for b in range(256)}).characters(data))
+
+
+def test_stream_is_the_librarys_on_broken_bytes():
+    rng = random.Random(8)
+    parts = [bytes([b]) for b in range(256)] + [c.encode() for c in "aé中😀́z\ud7ff\ue000\U0010ffff"] + [b"\xe4\xb8", b"\xf0\x9f", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\x80"]
+    for _ in range(20_000):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))
+        assert _streamed(data) == data.decode("utf-8", "replace"), data
+
+
+def test_tokens_that_cut_characters(texts):
+    rng, vocabulary = random.Random(9), B.read_ranks(VOCABULARY)
+    machine, token = B.Utf8Machine({r: t for t, r in vocabulary.items()}), {r: t for t, r in vocabulary.items()}
+    odd = [r for r, t in token.items() if t.decode("utf-8", "replace").encode() != t]
+    for _ in range(3000):
+        ids = [rng.choice(odd) if rng.random() < 0.7 else rng.randrange(50_000) for _ in range(rng.randint(0, 9))]
+        assert machine.text(ids) == "".join(machine.characters(ids)) == b"".join(token[i] for i in ids).decode("utf-8", "replace")
 
 
 def test_tables(spark):

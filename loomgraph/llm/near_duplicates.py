@@ -9,10 +9,13 @@ task each, and the overlap counts of pairs are added up over the blocks.
   counts over all documents), so what many documents share, such as a passage, doesn't lead.
 * Pairs are discarded when their sizes or their overlap so far bound the similarity below t: what the leading columns
   share, plus all that follow them, has to reach t / (1 + t) of both sizes.
-* A column of more than `crowd` rows isn't multiplied out. Rows tied by such columns are a crowd; it is cut into parts
-  of some hundred rows, each part is multiplied with itself, and rows that are then not in the crowd's main component
-  with every part. Tasks give only links that join components: none between components is lost, and a group of many
-  near copies doesn't give all its pairs.
+* A column of more than `crowd` rows isn't multiplied out. Rows tied by such columns are a crowd. Two of them that
+  share nothing but crowded columns reach the threshold only if the crowded columns of either are t / (1 + t) of both
+  sizes; so a row has a largest size of its partners, and rows that no other row's size suits leave the crowd: pages
+  that share a template, and not enough else, don't meet. What is left is cut into parts of some hundred rows, each
+  part is multiplied with itself, and rows that are then not in the crowd's main component with every part. Tasks give
+  only links that join components: none between components is lost, and a group of many near copies doesn't give all
+  its pairs. (With more than `most_crowded` columns not all are known, and the bound is the looser one of sizes.)
 * Other candidate pairs are verified on whole sets. Sets are sent to groups of at most some dozen rows of a candidate
   component, so a component of any size is dealt to many tasks.
 
@@ -29,7 +32,9 @@ other columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +53,8 @@ CROWD = 32
 MOST_CROWDED = 4_000_000
 #: Candidate pairs that are verified together, about.
 GROUP_PAIRS = 2000
+#: Rows of a key table that is broadcast at most; a larger one is joined by shuffling.
+BROADCAST_KEYS = 200_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -164,6 +171,10 @@ class _Crowded:
         return out
 
 
+#: Gives name and set of each distinct row of a task's batches.
+Named = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]
+
+
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int, forget: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
     claim("near duplicates")
     seen: set[int] = set()
@@ -178,8 +189,8 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int, forget: int =
                     yield name, found
 
 
-def crowded_columns(texts: DataFrame, scratch: Scratch, n_blocks: int, width: int, crowd: int, most: int) -> np.ndarray:
-    """Columns that more than `crowd` distinct rows have (of too many, the more crowded ones)."""
+def crowded_columns(source: DataFrame, named: Named, scratch: Scratch, n_blocks: int, crowd: int, most: int) -> tuple[np.ndarray, bool]:
+    """Columns that more than `crowd` distinct rows have (of too many, the more crowded ones), and if these are all."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -193,7 +204,7 @@ def crowded_columns(texts: DataFrame, scratch: Scratch, n_blocks: int, width: in
             low = columns.astype(np.uint32)
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], ["block", "columns"])
 
-        for _, found in _distinct_sets(batches, width):
+        for _, found in named(batches):
             held.append(_split(found, n_blocks))
             n += len(found)
             if n >= 2_000_000:
@@ -209,11 +220,11 @@ def crowded_columns(texts: DataFrame, scratch: Scratch, n_blocks: int, width: in
         found = (np.uint64(table["block"][0].as_py()) << _U(32) | columns[first[large]].astype(np.uint64)).astype(np.int64)
         return pa.table({"c": found, "n": sizes[large].astype(np.int64)})
 
-    counts = scratch.save(texts.mapInArrow(gather, "block int, columns binary").groupBy("block").applyInArrow(count, "c long, n long"), "crowded")
+    counts = scratch.save(source.mapInArrow(gather, "block int, columns binary").groupBy("block").applyInArrow(count, "c long, n long"), "crowded")
     least = crowd
     while counts.where(F.col("n") > least).count() > most:
         least *= 2
-    return counts.where(F.col("n") > least).select("c").toArrow()["c"].to_numpy().astype(np.uint64)
+    return counts.where(F.col("n") > least).select("c").toArrow()["c"].to_numpy().astype(np.uint64), least == crowd
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +235,9 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(ordered)))
 
 
+#: Entries carry a size as its logarithm's step in eleven bits; five more bits tell, where a row leads with crowded
+#: columns, which share of its columns is crowded, in 31sts.
+_STEP_BITS, _SHARES = 2047, 31
 _PAIRS = "kind int, a long, b long, n int, qa int, qb int, part int, names binary"
 #: Rows of a crowded column that are sent on together.
 _PART = 4096
@@ -248,7 +262,7 @@ def _product(table: pa.Table, crowd: int, slack: int) -> pa.Table:
     out = []
     if lefts:
         i, j = np.concatenate(lefts), np.concatenate(rights)
-        near = np.abs(sizes[i] - sizes[j]) <= slack
+        near = np.abs((sizes[i] & _STEP_BITS) - (sizes[j] & _STEP_BITS)) <= slack
         i, j = i[near], j[near]
         order = np.lexsort((names[j], names[i]))
         i, j = i[order], j[order]
@@ -313,23 +327,59 @@ def _slack(percent: int) -> int:
     return int(-_STEPS * np.log2(percent / 100)) + 1
 
 
-def block_product(texts: DataFrame, crowded, n_blocks: int, width: int, percent: int, crowd: int) -> DataFrame:
+def block_product(source: DataFrame, named: Named, crowded, n_blocks: int, percent: int, crowd: int) -> DataFrame:
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, writer = crowded.value, BlockWriter(n_blocks)
-        for name, found in _distinct_sets(batches, width):
-            columns = _split(found, n_blocks)
+        (last, all_known, _), writer = crowded.value, BlockWriter(n_blocks)
+        for name, found in named(batches):
+            columns, n_lead = _split(found, n_blocks), _leading(len(found), percent)
             late = last.has(columns)
-            if late.any():
+            size, n_late = int(_STEPS * np.log2(len(found))), int(late.sum())
+            if n_late:
                 columns = np.concatenate((columns[~late], columns[late]))
-            columns = columns[: _leading(len(found), percent)]
-            size = int(_STEPS * np.log2(len(found)))
+                if all_known and len(columns) - n_late < n_lead:
+                    size |= -(-_SHARES * n_late // len(columns)) << 11
+            columns = columns[:n_lead]
             yield from writer.add(columns, np.full(len(columns), name, np.int64), np.full(len(columns), size, np.uint16))
         yield from writer.close()
 
-    led = texts.mapInArrow(lead, "block int, columns binary, names binary, sizes binary")
+    led = source.mapInArrow(lead, "block int, columns binary, names binary, sizes binary")
     return led.groupBy("block").applyInArrow(lambda t: _product(t, crowd, _slack(percent)), _PAIRS)
 
 
+@dataclass(frozen=True)
+class Crowds:
+    """edges (a, b) that tie rows by crowded columns; these columns, broadcast; and how to get the rows' columns:
+    a table with name, and sets of a batch of it."""
+
+    edges: DataFrame
+    columns: Any
+    source: DataFrame
+    sets_of: Callable[[pa.RecordBatch], list[np.ndarray]]
+
+
+def exact_candidates(source: DataFrame, named: Named, scratch: Scratch, n_blocks: int, percent: int, crowd: int, most: int) -> tuple[DataFrame, DataFrame, Any]:
+    """pairs (a, b) that sizes and overlaps leave, edges (a, b) that tie crowds, and the broadcast crowded columns:
+    two rows that reach the threshold are a pair, or in a crowd."""
+    found, all_known = crowded_columns(source, named, scratch, n_blocks, crowd, most)
+    crowded = source.sparkSession.sparkContext.broadcast((_Crowded(found), all_known, n_blocks))
+    found = scratch.save(block_product(source, named, crowded, n_blocks, percent, crowd), "found")
+
+    # Sizes by their steps: from 2 ** (q / steps) to 2 ** ((q + 1) / steps).
+    steps = lambda q: F.col(q).bitwiseAND(_STEP_BITS)
+    low, high = (lambda q: F.pow(F.lit(2.0), steps(q) / float(_STEPS))), (lambda q: F.pow(F.lit(2.0), (steps(q) + 1) / float(_STEPS)))
+    t = percent / 100
+    # What may be shared beyond the counted columns: what follows the leading ones, or of a row that leads with
+    # crowded columns (which aren't counted) the crowded ones.
+    crowded_part = lambda q: F.when(F.col(q) > _STEP_BITS, high(q) * F.shiftright(q, 11) / float(_SHARES))
+    beyond = F.coalesce(F.least(crowded_part("qa"), crowded_part("qb")), t * F.greatest(high("qa"), high("qb")))
+    bound = F.col("n") + beyond >= t / (1 + t) * (low("qa") + low("qb")) - 1e-6
+    counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("qa").alias("qa"), F.first("qb").alias("qb")).where(bound)
+    pairs = scratch.save(counted.select("a", "b"), "pairs")
+    edges = scratch.save(crowd_edges(found), "edges")
+    scratch.drop("found")
+    return pairs, edges, crowded
+
+
 def _bit_map(names: DataFrame, column: str) -> np.ndarray:
     """A bit for each leading part of the names (which are hashes); a fixed size at most."""
     n = names.count()
@@ -347,7 +397,7 @@ def unpacked(found: list[bytes]) -> list[np.ndarray]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int, unpack=unpacked) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """Pairs (a, b) whose whole sets reach the threshold, with the components of all pairs that do."""
     # Pairs meet by the least neighbour of either end: those of a clique meet at once. A key with few pairs shares its
     # group with others; one with many is cut into a square of groups.
     total = pairs.count()
@@ -356,31 +406,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, pe
     at = lambda c: least.select(F.col("name").alias(c), F.col("key").alias(f"key_{c}"))
     keyed = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("key_a", "key_b").alias("key"))
     keyed = scratch.save(keyed, f"{name}-keyed")
-    sides = keyed.groupBy("key").agg(F.ceil(F.sqrt(F.count("*") / float(GROUP_PAIRS))).alias("side"))
+    sides = keyed.groupBy("key").agg(F.ceil(F.sqrt(F.count("*") / float(GROUP_PAIRS))).alias("side")).where("side > 1")
+    sides = scratch.save(sides, f"{name}-sides")  # few: at most a row for each GROUP_PAIRS pairs
+    if sides.count() <= BROADCAST_KEYS:
+        sides = F.broadcast(sides)
     part = lambda c: F.pmod(F.xxhash64(c, F.lit("part")), F.col("side"))
     shared = F.xxhash64(F.pmod(F.xxhash64("key", F.lit("group")), F.lit(1 + total // GROUP_PAIRS)))
     group = F.when(F.col("side") > 1, F.xxhash64("key", part("a"), part("b"))).otherwise(shared)
-    dealt = scratch.save(keyed.join(sides, "key").select("a", "b", group.alias("g")), f"{name}-dealt")
+    dealt = scratch.save(keyed.join(sides, "key", "left").select("a", "b", group.alias("g")), f"{name}-dealt")
     side = lambda c: dealt.select(F.col("g").alias("h"), F.col(c).alias("name"))
     sent = side("a").unionByName(side("b")).distinct().join(sets, "name").select("h", "name", "found")
 
     def verify(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
         known = dict(zip(sets_["name"].to_pylist(), unpack(sets_["found"].to_pylist())))
-        kept = []
-        for a, b in zip(pairs_["a"].to_pylist(), pairs_["b"].to_pylist()):
+        kept, up = [], {n: n for n in known}
+
+        def root(n: int) -> int:
+            while up[n] != n:
+                up[n] = n = up[up[n]]
+            return n
+
+        for a, b in sorted(zip(pairs_["a"].to_pylist(), pairs_["b"].to_pylist())):
+            if (i := root(a)) == (j := root(b)):
+                continue  # joined by other links: one more tells nothing
             x, y = known[a], known[b]
-            shared = len(x) + len(y) - len(_union(x, y))
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            shared = _shared(x, y)
             if 100 * shared >= percent * (len(x) + len(y) - shared):
                 kept.append((a, b))
+                up[i] = j
         return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
 
     linked = dealt.groupBy("g").cogroup(sent.groupBy("h")).applyInArrow(verify, "a long, b long")
     return scratch.save(linked, f"{name}-linked")
 
 
-def _union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    both = np.sort(np.concatenate((x, y)), kind="stable")
-    return both[np.concatenate(([True], both[1:] != both[:-1]))]
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two runs are merged
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def crowd_edges(found: DataFrame) -> DataFrame:
@@ -426,15 +491,38 @@ def _sets_of(table: pa.Table, unpack) -> tuple[list[int], list[np.ndarray]]:
 _CROWD_ROWS, _CROWD_SHINGLES = 512, 1_500_000
 
 
-def _crowd_components(edges: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int, unpack=unpacked) -> DataFrame:
-    """Components of the links and of what is linked within crowds (components of `edges`).
+def _suited(crowd: DataFrame, crowds: Crowds, scratch: Scratch, percent: int) -> DataFrame:
+    """node, comp, n (size) of the crowds' rows that some other row's size suits."""
+    columns, sets_of = crowds.columns, crowds.sets_of
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, all_known, n_blocks = columns.value
+        for batch in batches:
+            found = sets_of(batch)
+            n = np.array([len(f) for f in found], np.int64)
+            shared = n
+            if all_known and len(found):
+                late = last.has(_split(np.concatenate(found), n_blocks))
+                shared = np.add.reduceat(np.append(late, False).astype(np.int64), np.cumsum(n) - n) * (n > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), pa.array(n), pa.array(shared * (100 + percent) // percent - n)], ["node", "comp", "n", "most"])
+
+    rows = crowd.join(crowds.source, F.col("node") == F.col("name")).mapInArrow(measure, "node long, comp long, n long, most long")
+    rows = scratch.save(rows, "crowd-sizes")
+    for _ in range(2):
+        limits = rows.groupBy("comp").agg(F.min("n").alias("lo"), F.max("most").alias("hi"))
+        rows = rows.join(limits, "comp").where("most >= lo AND n <= hi").drop("lo", "hi")
+    return scratch.save(rows.select("node", "comp", "n"), "crowd-suited")
+
+
+def _crowd_components(crowds: Crowds, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int, unpack=unpacked) -> DataFrame:
+    """Components of the links and of what is linked within crowds (components of their edges).
 
     Each part of a crowd is multiplied with itself and with a few rows that all parts get; what is then not in the
     crowd's main component is multiplied with every part. So each pair of rows in different components has been
     looked at, and only links that join components are given."""
-    crowd = scratch.save(components(edges, scratch, "crowd-edges"), "crowd-nodes")
-    sized = crowd.join(sets.select(F.col("name").alias("node"), (F.octet_length("found") / 8).alias("size")), "node")
-    parts = sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / float(_CROWD_ROWS), F.sum("size") / float(_CROWD_SHINGLES))).alias("parts"))
+    crowd = scratch.save(components(crowds.edges, scratch, "crowd-edges"), "crowd-nodes")
+    crowd = _suited(crowd, crowds, scratch, percent)
+    parts = crowd.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / float(_CROWD_ROWS), F.sum("n") / float(_CROWD_SHINGLES))).alias("parts"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     dealt = crowd.join(parts, "comp").select("node", "comp", "parts", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).alias("part"))
     dealt = scratch.save(dealt, "crowd-dealt")
     common = dealt.where("parts > 1").groupBy("comp", "parts", F.pmod(F.xxhash64("node", F.lit("common")), F.lit(8)).alias("k")).agg(F.min("node").alias("node"))
@@ -498,13 +586,12 @@ def ends(*edges: DataFrame, both: bool = False) -> DataFrame:
     return out if both else out.select("name").distinct()
 
 
-def resolve(pairs: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, unpack=unpacked) -> DataFrame:
-    """node, comp: components of the links among candidate pairs (a, b) and within crowds (edges a, b).
-    sets: name, found; `unpack` makes sets of a list of what is found. A name may have several equal rows, one of
-    which is taken as its rows meet for the joins."""
-    sets = sets.dropDuplicates(["name"])
+def resolve(pairs: DataFrame, crowds: Crowds | None, sets: DataFrame, scratch: Scratch, percent: int, unpack=unpacked) -> DataFrame:
+    """node, comp: components of the links among candidate pairs (a, b) and within crowds.
+    sets: name, found, a row each; `unpack` makes sets of a list of what is found."""
     links = _verified(pairs, sets, scratch, "pairs", percent, unpack)
-    found = components(links, scratch, "links") if edges.isEmpty() else _crowd_components(edges, sets, links, scratch, percent, unpack)
+    crowded = crowds is not None and not crowds.edges.isEmpty()
+    found = _crowd_components(crowds, sets, links, scratch, percent, unpack) if crowded else components(links, scratch, "links")
     return scratch.save(found, "comps")
 
 
@@ -523,21 +610,13 @@ def jaccard_components(
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
     texts = rows.select("__text")
     n_blocks = block_count(text_bytes(texts, "__text"))
-    crowded = spark.sparkContext.broadcast(_Crowded(crowded_columns(texts, scratch, n_blocks, width, crowd, most_crowded)))
-    found = scratch.save(block_product(texts, crowded, n_blocks, width, percent, crowd), "found")
-
-    # Sizes by their steps: from 2 ** (q / steps) to 2 ** ((q + 1) / steps).
-    low, high = (lambda q: F.pow(F.lit(2.0), F.col(q) / float(_STEPS))), (lambda q: F.pow(F.lit(2.0), (F.col(q) + 1) / float(_STEPS)))
-    t = percent / 100
-    bound = F.col("n") + t * F.greatest(high("qa"), high("qb")) >= t / (1 + t) * (low("qa") + low("qb")) - 1e-6
-    counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("qa").alias("qa"), F.first("qb").alias("qb")).where(bound)
-    pairs = scratch.save(counted.select("a", "b"), "pairs")
-    edges = scratch.save(crowd_edges(found), "edges")
-    scratch.drop("found")
+    pairs, edges, crowded = exact_candidates(texts, lambda batches: _distinct_sets(batches, width), scratch, n_blocks, percent, crowd, most_crowded)
     wanted = spark.sparkContext.broadcast((_bit_map(ends(pairs, edges), "name"),))
     sets_table = scratch.save(_with_sets(rows, wanted, width), "sets")
-    sets = sets_table.where("found IS NOT NULL").select("name", "found")
-    comps = resolve(pairs, edges, sets, scratch, percent)
+    # A name may have several equal rows: one is taken, as rows meet for the joins.
+    sets = sets_table.where("found IS NOT NULL").select("name", "found").dropDuplicates(["name"])
+    crowds = Crowds(edges, crowded, sets, lambda batch: unpacked(batch.column("found").to_pylist()))
+    comps = resolve(pairs, crowds, sets, scratch, percent)
 
     least = sets_table.where("size > 0").groupBy("name").agg(F.min("__key").alias("least"))
     placed = scratch.save(least.join(comps, least["name"] == comps["node"], "left").select("name", "least", F.coalesce("comp", "name").alias("comp")), "placed")

@@ -85,3 +85,25 @@ def test_shingles_of_long_words_and_chunks():
     small, at = N.word_hashes(np.frombuffer(b"aa bb cc aa", np.uint8), np.array([0, 11]), chunk=3)
     assert small[0] == small[3] and len(set(small.tolist())) == 3 and at.tolist() == [0, 4]
     assert [len(s) for s in sets] == [3, 0, 0, 2, 2] and (sets[3] == sets[4]).all()
+
+
+@pytest.mark.parametrize("n", [300, 600])
+def test_pages_of_a_template_do_not_meet(spark, words, n, monkeypatch):
+    """Rows that share much of a template, but not enough to be linked, are not dealt against each other."""
+    rng, dealt = random.Random(6), []
+    template = [rng.choice(words) for _ in range(80)]
+    rows = [(k, " ".join([*(rng.choice(words) for _ in range(10)), *template, *(rng.choice(words) for _ in range(10))])) for k in range(n)]
+    rows += [(n + k, " ".join([*words[:20], *template, str(k)])) for k in range(3)]  # these are linked
+    monkeypatch.setattr(N, "_CROWD_ROWS", 16)
+    save = N.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name in ("crowd-left", "crowd-right", "crowd-suited", "pairs"):
+            dealt.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N.Scratch, "save", saved)
+    out = N.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {k: min(k, n) for k in range(n + 3)}
+    assert dict(dealt)["crowd-suited"] <= 10 and all(k <= 40 for name, k in dealt if name != "crowd-suited")

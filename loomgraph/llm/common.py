@@ -1,61 +1,30 @@
-"""Helpers shared by the corpus operators: scratch tables, tables by name, Arrow batches in small blocks."""
+"""Helpers shared by the corpus operators: tables by name, keys, Arrow batches in small blocks."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..plans.scratch import Scratch  # noqa: F401
 
 #: Text bytes that one numpy block holds at most, but for a single longer text.
 BLOCK_BYTES = 2_000_000
-#: While scratch tables are written: shuffle files go afterwards, and batches to Python are small.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows from the written table. Shuffle files that the write needed go with it."""
-        conf = self.spark.conf
-        before = {k: conf.get(k) for k in _WRITING}
-        try:
-            for k, v in _WRITING.items():
-                conf.set(k, v)
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        finally:
-            for k, v in before.items():
-                conf.set(k, v)
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def integer_key(docs: DataFrame, key: str) -> Column:
+    """The key as a long; keys of another type are refused."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"keys have to be integers: {key} is {docs.schema[key].dataType.simpleString()}")
+    return docs[key].cast("long")
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -3,7 +3,8 @@
 Each language is a distribution over hashed byte trigrams, learned from labelled texts. A text's proportions of
 languages are found by expectation-maximisation over its trigram counts. The language set is chosen among the
 nested sets of the most present languages by penalised likelihood: a further language has to raise the log
-likelihood by more than `penalty` * log(trigrams). The prediction is the set's most present language.
+likelihood by more than `penalty` * log(trigrams). The prediction is the set's most present language, its proportion
+in the set the score.
 
 Learning takes `rows_per_language` texts of each language in expectation, picked by a hash of their keys (a
 documented bound; whole texts), and sums their trigram counts in Spark; what reaches the driver is one table of
@@ -17,11 +18,11 @@ key is carried, so other columns can't clash.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ ROWS_PER_LANGUAGE = 3000
 #: Languages that are learned at most; more are an error.
 MAX_LANGUAGES = 200
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _classes() -> np.ndarray:
@@ -84,8 +85,8 @@ class LanguageModel:
         self.names, self.penalty = names, penalty
         self.likely = (counts + smooth) / (counts.sum(0) + smooth * SLOTS) if names else np.empty((SLOTS, 0))
 
-    def predict(self, text: str | None) -> tuple[str, float, list[str]]:
-        """Language, its proportion, and the language set with the most present first."""
+    def predict(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
+        """Language, its proportion in the language set, and the set with proportions, the most present first."""
         if not text or not self.names or not _LETTER.search(text):
             return "und", 0.0, []
         slots = trigrams(text)
@@ -104,7 +105,8 @@ class LanguageModel:
                 break
             best, chosen, proportions = fit - cost * k, order[:k], share
         ranked = chosen[np.argsort(-proportions, kind="stable")]
-        return self.names[ranked[0]], float(min(1.0, full[ranked[0]])), [self.names[i] for i in ranked]
+        found = [(self.names[i], float(share)) for i, share in zip(ranked, -np.sort(-proportions, kind="stable"))]
+        return found[0][0], min(1.0, found[0][1]), found
 
 
 def fit(spark: SparkSession, docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, penalty: float = 1.0) -> LanguageModel:
@@ -137,7 +139,7 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column, key: str = "doc_id
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score, langs."""
+    """key, lang_pred, score, langs (lang and share of the chosen set, the most present first)."""
     small_batches(docs)
     kind, shared = dict(docs.dtypes)[key], spark.sparkContext.broadcast(model)
 
@@ -146,6 +148,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, key: str
         for block in blocks(batches, "__text"):
             found = [shared.value.predict(t) for t in block.column("__text").to_pylist()]
             columns = list(zip(*found)) if found else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([block.column("__key"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(pa.string()))], [key, "lang_pred", "score", "langs"])
+            langs = pa.array([[{"lang": n, "share": x} for n, x in row] for row in columns[2]], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([block.column("__key"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), langs], [key, "lang_pred", "score", "langs"])
 
-    return docs.selectExpr(f"`{key}` AS __key", f"`{text}` AS __text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, langs array<string>")
+    return docs.selectExpr(f"`{key}` AS __key", f"`{text}` AS __text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, langs array<struct<lang:string,share:double>>")

@@ -25,7 +25,7 @@ keeping their shingles: the scans cost less than the disk. What reaches the driv
 the hashes of `most_crowded` columns at most, and a bit map of 32 MB at most that tells which sets are needed.
 
 Cases: a null text or one without words has no set, size 0 and is a component of its own; with fewer words than a
-shingle the whole sequence is the only shingle; keys must be unique integers (of equal keys one row each is given);
+shingle the whole sequence is the only shingle; keys are integers (others are refused; of equal keys a row each is given);
 texts are taken whole; ties don't matter, as a component's id is its least key; an empty table gives an empty result;
 other columns are not carried.
 """
@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, claim, text_bytes
+from .common import Scratch, blocks, claim, integer_key, text_bytes
 from .graph_parts import components
 
 #: Bytes of text for each block of columns; blocks at least and at most.
@@ -607,7 +607,7 @@ def jaccard_components(
 ) -> DataFrame:
     """key, n_shingles, component_id: the least key reachable by links of `percent` percent Jaccard similarity."""
     scratch = Scratch(spark, "near-duplicates")
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select(integer_key(docs, key).alias("__key"), F.col(text).alias("__text"))
     texts = rows.select("__text")
     n_blocks = block_count(text_bytes(texts, "__text"))
     pairs, edges, crowded = exact_candidates(texts, lambda batches: _distinct_sets(batches, width), scratch, n_blocks, percent, crowd, most_crowded)

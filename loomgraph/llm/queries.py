@@ -31,12 +31,12 @@ def op2_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, tolerance=0.0, relative=False)
+    out = url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, tolerance=1e-9, relative=False)
     return out.withColumns({c: F.round(c, 6) for c in ("host_trust", "host_distrust")})
 
 
 def op3_url_trust_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, tolerance=0.0)
+    out = url_trust.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, tolerance=1e-9)
     return out.withColumns({c: F.round(c, 6) for c in ("host_trust", "host_distrust", "host_inherited")})
 
 
@@ -100,8 +100,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_url_trust": oracles.url_trust(URL_RULES, damping=0.85, rounds=20, block_at=0.5),
-        "op3_url_trust_relative": oracles.url_trust(URL_RULES, damping=0.85, rounds=20, block_at=0.5, relative=True),
+        "op3_url_trust": oracles.url_trust(URL_RULES, damping=0.85, rounds=160, block_at=0.5),
+        "op3_url_trust_relative": oracles.url_trust(URL_RULES, damping=0.85, rounds=160, block_at=0.5, relative=True),
         "op5_near_duplicates": oracles.NEAR_DUPLICATES,
         "op10_quality_rules": QUALITY_SQL,
     }

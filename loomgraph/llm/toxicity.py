@@ -10,13 +10,14 @@ documented bound; whole texts). Scoring is one scan in Arrow batches without a s
 
 Cases: a null text is an empty one and gets the score of a text without features; labels that are null are not
 learned from, several labels of a key count as the highest; with rows of one class or none every score is that
-class's share; repeated rows are scored each; an empty table gives an empty result; only the key is carried.
+class's share; where no labelled text has a term (`n_with_terms` tells) the penalty on score changes is nothing and
+the L1 model remains; repeated rows are scored each; an empty table gives an empty result; only the key is carried.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import blocks, claim, small_batches
 from .token_counts import Memo
 
-# Identity terms by kind; a term is swapped for the others of its line.
+# Fixed values, our own choice: words for religions, origins, orientations, genders and abilities in four languages, a
+# kind a line; a term is swapped for the others of its line. Other lists are given as a parameter.
 IDENTITY_TERMS = (
     "muslim christian jewish hindu buddhist catholic protestant atheist",
     "muslims christians jews hindus buddhists catholics protestants atheists",
@@ -37,12 +39,36 @@ IDENTITY_TERMS = (
     "woman man girl boy",
     "immigrants refugees foreigners citizens",
     "deaf blind disabled elderly",
+    "muslime christen juden hindus buddhisten katholiken protestanten atheisten",
+    "muslimisch christlich jüdisch hinduistisch buddhistisch katholisch evangelisch",
+    "schwarze weiße asiaten afrikaner europäer amerikaner araber türken",
+    "schwul lesbisch bisexuell homosexuell heterosexuell",
+    "frauen männer mädchen jungen",
+    "einwanderer flüchtlinge ausländer deutsche",
+    "musulmans chrétiens juifs hindous bouddhistes catholiques protestants athées",
+    "noirs blancs asiatiques africains européens américains arabes",
+    "gays lesbiennes bisexuels homosexuels hétérosexuels",
+    "femmes hommes filles garçons",
+    "immigrés réfugiés étrangers français",
+    "musulmanes cristianos judíos hindúes budistas católicos protestantes ateos",
+    "negros blancos asiáticos africanos europeos americanos árabes latinos",
+    "gais lesbianas bisexuales homosexuales heterosexuales",
+    "mujeres hombres niñas niños",
+    "inmigrantes refugiados extranjeros españoles",
 )
 #: Labelled texts of each class that are learned from at most.
 ROWS_PER_CLASS = 2500
 
 _WORD = re.compile(r"[^\W_]+")
-_SWAPS = {t: [u for u in line.split() if u != t] for line in IDENTITY_TERMS for t in line.split()}
+
+
+def swap_table(terms: Sequence[str]) -> dict[str, list[str]]:
+    """What each term may be swapped for: the others of all lines that have it."""
+    out: dict[str, list[str]] = {}
+    for line in terms:
+        for t in line.split():
+            out.setdefault(t, []).extend(u for u in line.split() if u != t)
+    return out
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -59,24 +85,25 @@ def text_features(words: set[str]) -> set[int]:
     return {f for w in words for f in word_features(w)}
 
 
-def swaps(words: set[str]) -> list[tuple[list[int], list[int]]]:
+def swaps(words: set[str], table: dict[str, list[str]]) -> list[tuple[list[int], list[int]]]:
     """What each counterfactual of a text adds and takes away."""
     out = []
-    for term in sorted(words & _SWAPS.keys()):
+    for term in sorted(words & table.keys()):
         own = text_features(words)
-        for other in _SWAPS[term]:
+        for other in table[term]:
             changed = text_features(words - {term} | {other})
             out.append((sorted(changed - own), sorted(own - changed)))
     return out
 
 
 class ToxicityModel:
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[int, float], bias: float, n_texts: int = 0, n_with_terms: int = 0):
+        """n_texts: labelled texts that it was fitted on; n_with_terms: those that had counterfactuals."""
+        self.weights, self.bias, self.n_texts, self.n_with_terms = weights, bias, n_texts, n_with_terms
         self._known: Memo | None = None
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "_known": None}
+        return self.__dict__ | {"_known": None}
 
     def score(self, text: str | None) -> float:
         if self._known is None:
@@ -164,10 +191,12 @@ def fit(
     rounds: int = 200,
     most: int = 20_000,
     least: int = 5,
+    terms: Sequence[str] = IDENTITY_TERMS,
 ) -> ToxicityModel:
     """Learns from the labels for which `usable` holds. What reaches the driver are hashed features of
-    2 * rows_per_class texts."""
+    2 * rows_per_class texts. terms: lines of words that are swapped for each other."""
     small_batches(docs)
+    table = swap_table(terms)
     known = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
     first = [known.where(F.col("__label") == c).orderBy(F.xxhash64("__key"), "__key").limit(rows_per_class) for c in (0, 1)]
     few = first[0].unionByName(first[1])
@@ -178,7 +207,7 @@ def fit(
         for block in blocks(batches, "__text"):
             words = [words_of(t) for t in block.column("__text").to_pylist()]
             found = pa.array([sorted(text_features(w)) for w in words], pa.list_(pa.int64()))
-            changed = [swaps(w) for w in words]
+            changed = [swaps(w, table) for w in words]
             ups, downs = ([[c[side] for c in row] for row in changed] for side in (0, 1))
             kind = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([block.column("__label"), found, pa.array(ups, kind), pa.array(downs, kind)], ["label", "features", "ups", "downs"])
@@ -186,8 +215,12 @@ def fit(
     got = rows.mapInArrow(run, "label int, features array<long>, ups array<array<long>>, downs array<array<long>>").toArrow().combine_chunks()
     features = [np.asarray(x, np.int64) for x in _lists(got["features"])]
     changes = [(np.asarray(u, np.int64), np.asarray(d, np.int64)) for us, ds in zip(got["ups"].to_pylist(), got["downs"].to_pylist()) for u, d in zip(us, ds)]
-    order = sorted(range(len(features)), key=lambda k: (len(features[k]), features[k][:1].tolist()))  # whatever order the rows came in
-    return fit_weights([features[k] for k in order], got["label"].to_numpy()[order], changes, l1, fairness, rounds, most, least)
+    # Whatever order the rows came in: equal texts and counterfactuals are alike, so their order doesn't matter.
+    order = sorted(range(len(features)), key=lambda k: (len(features[k]), features[k].tobytes(), got["label"][k].as_py()))
+    changes.sort(key=lambda c: (len(c[0]), c[0].tobytes(), c[1].tobytes()))
+    model = fit_weights([features[k] for k in order], got["label"].to_numpy()[order], changes, l1, fairness, rounds, most, least)
+    model.n_texts, model.n_with_terms = len(features), sum(1 for us in got["ups"].to_pylist() if us)
+    return model
 
 
 def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:

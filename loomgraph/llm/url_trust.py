@@ -9,8 +9,9 @@ link to it, so with `relative` (the default) a host is also blocked when the dam
 blocked pages (`host_inherited`) reaches `block_at` and exceeds its trust: that chance is split over the linking
 host's own links, so it is the same with one linker or a million. Built-in expressions only.
 
-Links are counted per (host, host) before they are shuffled; rounds run over hosts, not pages, and cut their
-lineage with tables in the shared folder. Verdicts are broadcast up to `broadcast_hosts` hosts; beyond that
+Links are counted per (host, host) before they are shuffled; rounds run over hosts, not pages, several to a table in
+the shared folder, which cuts their lineage. They end when no score can change by more than `tolerance` times the
+seeds any more (what is left is damping / (1 - damping) times the last change); more than `rounds` are an error. Verdicts are broadcast up to `broadcast_hosts` hosts; beyond that
 pages join them on (host, salt), so that a host with a third of all pages is dealt to many tasks.
 
 Cases: a null url or one without `://` has host and path '' and is judged as that host; null html has no links;
@@ -21,7 +22,7 @@ gives an empty result; other columns are not carried.
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,45 +63,59 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return each.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
+#: Rounds that one table takes.
+_STRIDE = 4
+
+
+def _shares(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    totals = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    return scratch.save(edges.join(totals, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), f"{name}-shares")
+
+
+def _converged(state: DataFrame, step: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    """Steps from state (with seed, value and all else that a step needs) until the values stay."""
+    state, done = scratch.save(state, f"{name}-0"), 0
+    while True:
+        if done >= rounds:
+            raise RuntimeError(f"{name}: no convergence in {done} rounds")
+        new = state
+        for _ in range(_STRIDE):
+            new = step(new)
+        new = scratch.save(new, f"{name}-{done + _STRIDE}")
+        left = new.agg(F.sum(F.abs(F.col("value") - F.col("was"))).alias("d"), F.sum("seed").alias("s")).first()
+        scratch.drop(f"{name}-{done}")
+        state, done = new.drop("was"), done + _STRIDE
+        if (left["d"] or 0.0) * damping / (1 - damping) <= tolerance * (left["s"] or 0.0):
+            return state
+
+
 def propagate(spark: SparkSession, seeds: DataFrame, edges: DataFrame, scratch: Scratch, name: str, damping: float, rounds: int, tolerance: float) -> DataFrame:
     """host, score: personalised PageRank in which a host without links hands nothing on. seeds: host, seed."""
-    shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    shares = scratch.save(shares, f"{name}-shares")
-    score = seeds.select("host", "seed", ((1 - damping) * F.col("seed")).alias("score"))
-    score = scratch.save(score, f"{name}-0")
+    shares = _shares(edges, scratch, name)
+    start = seeds.select("host", "seed", ((1 - damping) * F.col("seed")).alias("value"))
     if shares.isEmpty():
-        return score.select("host", "score")
-    for k in range(1, rounds + 1):
-        sent = shares.join(score, shares["src"] == score["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        new = score.join(sent, score["host"] == sent["dst"], "left").select(
-            "host", "seed", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was")
-        )
-        new = scratch.save(new, f"{name}-{k}")
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d"), F.sum("seed").alias("s")).first()
-        scratch.drop(f"{name}-{k - 1}")
-        score = new.select("host", "seed", "score")
-        if (moved["d"] or 0.0) <= tolerance * (moved["s"] or 0.0):
-            break
-    return score.select("host", "score")
+        return scratch.save(start.select("host", F.col("value").alias("score")), f"{name}-0")
+
+    def step(now: DataFrame) -> DataFrame:
+        sent = shares.join(now.select(F.col("host").alias("src"), "value"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("value")).alias("got"))
+        return now.join(sent, "host", "left").select("host", "seed", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("value"), F.col("value").alias("was"))
+
+    return _converged(start, step, scratch, name, damping, rounds, tolerance).select("host", F.col("value").alias("score"))
 
 
 def inherited(spark: SparkSession, seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float, rounds: int, tolerance: float) -> DataFrame:
     """host, got: the chance that who follows the host's links, on with `damping` at each step, meets a blocked page."""
-    shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    shares = scratch.save(shares, "inherited-shares")
-    met = scratch.save(seeds.select("host", "seed", F.col("seed").alias("met"), F.lit(0.0).alias("got")), "inherited-0")
+    shares = _shares(edges, scratch, "inherited")
+    start = seeds.select("host", "seed", F.lit(0.0).alias("value"))
     if shares.isEmpty():
-        return met.select("host", "got")
-    for k in range(1, rounds + 1):
-        sent = shares.join(met, shares["dst"] == met["host"]).groupBy("src").agg((damping * F.sum(F.col("share") * F.col("met"))).alias("new"))
-        new = met.join(sent, met["host"] == sent["src"], "left").select("host", "seed", F.coalesce("new", F.lit(0.0)).alias("got"), F.col("got").alias("was"))
-        new = scratch.save(new.select("host", "seed", (F.col("seed") + (1 - F.col("seed")) * F.col("got")).alias("met"), "got", "was"), f"inherited-{k}")
-        moved = new.agg(F.sum(F.abs(F.col("got") - F.col("was"))).alias("d"), F.sum("seed").alias("s")).first()
-        scratch.drop(f"inherited-{k - 1}")
-        met = new.select("host", "seed", "met", "got")
-        if (moved["d"] or 0.0) <= tolerance * (moved["s"] or 0.0):
-            break
-    return met.select("host", "got")
+        return scratch.save(start.select("host", F.col("value").alias("got")), "inherited-0")
+
+    def step(now: DataFrame) -> DataFrame:
+        met = now.select(F.col("host").alias("dst"), (F.col("seed") + (1 - F.col("seed")) * F.col("value")).alias("met"))
+        led = shares.join(met, "dst").groupBy(F.col("src").alias("host")).agg((damping * F.sum(F.col("share") * F.col("met"))).alias("led"))
+        return now.join(led, "host", "left").select("host", "seed", F.coalesce("led", F.lit(0.0)).alias("value"), F.col("value").alias("was"))
+
+    return _converged(start, step, scratch, "inherited", damping, rounds, tolerance).select("host", F.col("value").alias("got"))
 
 
 def filter_urls(
@@ -111,8 +126,8 @@ def filter_urls(
     url: str = "url",
     html: str = "html",
     damping: float = 0.85,
-    rounds: int = 20,
-    tolerance: float = 1e-4,
+    rounds: int = 1000,
+    tolerance: float = 1e-7,
     block_at: float = 0.5,
     broadcast_hosts: int = 100_000,
     salts: int = 64,

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import cells
-from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, occurrence, reconcile
-from .operators import arrange, community, details, edits, graph, metrics, scripts, stats, style, transforms, traverse
+from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, first_rows, occurrence, reconcile
+from .operators import arrange, columns, community, details, edits, graph, metrics, overlay, scripts, stats, style, transforms, traverse
 from .operators.chain import Condition, Step, apply_chain
 from .sources.datasource import DataSource, Selection
 
@@ -306,14 +306,19 @@ def filter_inverted_degree(spark, d):
     return _links(apply_chain(uu(spark, d), [Step("degree", low=100, invert=True)]))
 
 
-def _peels(base: str, k: int, rounds: int) -> str:
+def _peels(base: str, k: int, rounds: int, n: str = "k") -> str:
     """Node sets of a k-core by repeated peeling; k0 is the symmetric pair table."""
-    out = [f"k0 AS (SELECT a, b FROM {base})"]
+    out = [f"{n}0 AS (SELECT a, b FROM {base})"]
     for i in range(1, rounds + 1):
-        out.append(f"g{i} AS MATERIALIZED (SELECT a FROM k{i - 1} GROUP BY a HAVING count(*) >= {k}), k{i} AS MATERIALIZED (SELECT a, b FROM k{i - 1} WHERE a IN (SELECT a FROM g{i}) AND b IN (SELECT a FROM g{i}))")
+        out.append(f"g{n}{i} AS MATERIALIZED (SELECT a FROM {n}{i - 1} GROUP BY a HAVING count(*) >= {k}), {n}{i} AS MATERIALIZED (SELECT a, b FROM {n}{i - 1} WHERE a IN (SELECT a FROM g{n}{i}) AND b IN (SELECT a FROM g{n}{i}))")
     return ", ".join(out)
 
 
+@query(f"WITH {FG}, {_peels('fs', 2, 90)} SELECT s, t, n_rows FROM fl WHERE s NOT IN (SELECT a FROM k90) AND t NOT IN (SELECT a FROM k90)")
+def filter_inverted_kcore(spark, d):
+    return _links(apply_chain(fg(spark, d), [Step("kcore", k=2, invert=True)]))
+
+
 @query(f"WITH {FG}, {_peels('fs', 2, 90)} SELECT s, t, n_rows FROM fl WHERE s IN (SELECT a FROM k90) AND t IN (SELECT a FROM k90)")
 def filter_kcore(spark, d):
     return _links(apply_chain(fg(spark, d), [Step("kcore", k=2)]))
@@ -404,6 +409,47 @@ def chain_three_steps(spark, d):
     return _links(apply_chain(uu(spark, d), chain))
 
 
+@query(f"{_COMP}, keep AS (SELECT node FROM c JOIN z USING (comp) WHERE k >= 1) SELECT s, t, n_rows FROM fl WHERE s IN (SELECT node FROM keep)")
+def filter_inverted_component(spark, d):
+    return _links(apply_chain(fg(spark, d), [Step("component", count=1, invert=True)]))
+
+
+@query(f"WITH {FG}, {_walk('fs', 2, chr(39) + '10' + chr(39))} SELECT s, t, n_rows FROM fl WHERE s NOT IN (SELECT id FROM w) AND t NOT IN (SELECT id FROM w)")
+def filter_inverted_ego(spark, d):
+    return _links(apply_chain(fg(spark, d), [Step("ego", centers=("10",), depth=2, invert=True)]))
+
+
+@query(f"WITH {_ALPHA} SELECT s, t, n_rows FROM la WHERE alpha > 0.2")
+def filter_inverted_backbone(spark, d):
+    return _links(apply_chain(uu(spark, d), [Step("backbone", alpha=0.2, column="w", invert=True)]))
+
+
+@query(_uu_links("NOT coalesce(epoch_ms(ts) BETWEEN 1704499200000 AND 1705104000000, false)"))
+def filter_inverted_timewindow(spark, d):
+    return _links(apply_chain(uu(spark, d), [Step("timewindow", column="ts", low=1704499200000, high=1705104000000, invert=True)]))
+
+
+_EGO_SEEDS = "'1', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', '13', '14', '15', '16', '17', '18', '19', '20'"
+
+
+@query(f"WITH {FG}, {_walk('fs', 3, _EGO_SEEDS)} {_INSIDE}")
+def filter_ego_many(spark, d):
+    return _links(apply_chain(fg(spark, d), [Step("ego", centers=tuple(str(k) for k in range(1, 21)), depth=3)]))
+
+
+@query(f"""WITH {UU}, a AS (SELECT * FROM ug WHERE kind <> 'purchase'), d1 AS (SELECT id, count(*) AS n FROM (SELECT s AS id FROM (SELECT DISTINCT s, t FROM a) UNION ALL SELECT t FROM (SELECT DISTINCT s, t FROM a)) GROUP BY id),
+b AS (SELECT * FROM a WHERE s IN (SELECT id FROM d1 WHERE n >= 10) AND t IN (SELECT id FROM d1 WHERE n >= 10)), c AS (SELECT * FROM b WHERE epoch_ms(ts) >= 1704240000000),
+d2 AS (SELECT id, count(*) AS n FROM (SELECT s AS id FROM (SELECT DISTINCT s, t FROM c) UNION ALL SELECT t FROM (SELECT DISTINCT s, t FROM c)) GROUP BY id),
+e AS (SELECT * FROM c WHERE s NOT IN (SELECT id FROM d2 WHERE n >= 150) AND t NOT IN (SELECT id FROM d2 WHERE n >= 150)), el AS (SELECT s, t, count(*) AS n_rows FROM e GROUP BY s, t)
+SELECT x.s, x.t, x.n_rows FROM el x WHERE NOT EXISTS (SELECT 1 FROM el y WHERE x.s = y.t AND x.t = y.s)""")
+def chain_five_steps(spark, d):
+    chain = [
+        Step("column", condition=Condition("kind", excluded=("purchase",))), Step("degree", low=10), Step("timewindow", column="ts", low=1704240000000),
+        Step("degree", low=150, invert=True), Step("mutual", invert=True),
+    ]
+    return _links(apply_chain(uu(spark, d), chain))
+
+
 # ---- the source
 
 
@@ -449,6 +495,11 @@ def source_walked(spark, d):
     return edges.select("s", "t")
 
 
+@query(f"WITH {FG}, {_walk('fs', 3, _EGO_SEEDS)}, e AS (SELECT * FROM fr WHERE s IN (SELECT id FROM w) AND t IN (SELECT id FROM w)) SELECT (SELECT count(*) FROM w) AS nodes, least(41, (SELECT count(*) FROM e)) AS edges, (SELECT count(*) FROM e) > 40 AS truncated")
+def source_size(spark, d):
+    return _source(spark, d).size(Selection(tuple(str(k) for k in range(1, 21)), 3, edge_limit=40))
+
+
 # ---- metrics
 
 
@@ -528,7 +579,8 @@ def metric_betweenness(spark, d):
     return metrics.betweenness(*_uug(spark, d)).select("id", r6("betweenness"))
 
 
-@query()
+@query(f"""WITH {FG}, {_peels('fs', 2, 90)}, {_peels('k90', 3, 60, 'x')}, {_peels('x60', 4, 30, 'y')}
+SELECT id, CAST(1 + (id IN (SELECT a FROM k90))::INT + (id IN (SELECT a FROM x60))::INT + (id IN (SELECT a FROM y30))::INT AS BIGINT) AS coreness FROM (SELECT DISTINCT a AS id FROM fs)""")
 def metric_coreness(spark, d):
     g = graph.base_graph(fg(spark, d))
     return metrics.coreness(g.nodes.select("id", "pos"), graph.weighted_links(g))
@@ -583,27 +635,23 @@ def shortest_route_count(spark, d):
     return traverse.shortest_routes(links, "3", far)[0]
 
 
-# ---- transforms
-
-
-@query(f"WITH {SP}, i AS (SELECT DISTINCT s, t FROM sp WHERE w >= 48) SELECT a.s AS s, b.s AS t, count(*) AS weight FROM i a JOIN i b ON a.t = b.t AND a.s < b.s GROUP BY 1, 2")
-def project_sources(spark, d):
-    doc = sp(spark, d)
-    return transforms.project(graph.with_ends(doc).where("w >= 48"), "source")[0]
+@query(f"""{_COMP} SELECT (SELECT count(DISTINCT a) FROM fs) AS nodes, (SELECT count(*) FROM fl) AS edges, {R6('2.0 * (SELECT count(*) FROM fl) / (SELECT count(DISTINCT a) FROM fs)', 'average_links')}, (SELECT count(*) FROM z) AS components""")
+def network_counts(spark, d):
+    g = graph.base_graph(fg(spark, d))
+    return metrics.counts(g.nodes.select("id", "pos"), g.links).select("nodes", "edges", r6("average_links"), "components")
 
 
-@query(f"WITH {SP}, i AS (SELECT DISTINCT s, t FROM sp WHERE w >= 50) SELECT a.t AS s, b.t AS t, count(*) AS weight FROM i a JOIN i b ON a.s = b.s AND a.t < b.t GROUP BY 1, 2")
-def project_targets(spark, d):
-    doc = sp(spark, d)
-    return transforms.project(graph.with_ends(doc).where("w >= 50"), "target", 1 << 40)[0]
+# ---- transforms
 
 
 def _budget_sql(kept: str, other: str) -> str:
-    """The whole SP table; counterparts are taken in order of their first rows while running sums of pairs fit."""
+    """The whole SP table; counterparts are taken in order of their first rows while running sums of pairs fit. Links
+    run from the node that appears first as counterparts are listed in that order, each with its nodes by first rows."""
     return f"""WITH r AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS t, l_orderkey * 8 + l_linenumber AS p FROM lineitem),
-i AS (SELECT {kept} AS a, {other} AS o, min(p) AS p FROM r WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2), k AS (SELECT o, count(*) * (count(*) - 1) // 2 AS n, min(p) AS p FROM i GROUP BY o),
-u AS (SELECT o FROM (SELECT o, sum(n) OVER (ORDER BY p, o ROWS UNBOUNDED PRECEDING) AS run FROM k) WHERE run <= {transforms.PAIR_LIMIT})
-SELECT x.a AS s, y.a AS t, count(*) AS weight, (SELECT count(*) FROM u) AS used, (SELECT count(*) FROM k) AS total FROM u JOIN i x ON x.o = u.o JOIN i y ON y.o = u.o AND x.a < y.a GROUP BY 1, 2"""
+i AS (SELECT {kept} AS a, {other} AS o, min(p) AS p FROM r WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2), k AS (SELECT o, count(*) * (count(*) - 1) // 2 AS n, min(p) AS op FROM i GROUP BY o),
+u AS (SELECT o FROM (SELECT o, sum(n) OVER (ORDER BY op, o ROWS UNBOUNDED PRECEDING) AS run FROM k) WHERE run <= {transforms.PAIR_LIMIT}),
+l AS (SELECT a, row_number() OVER (ORDER BY op, i.o, p, a) AS place FROM i JOIN k ON k.o = i.o), f AS (SELECT a, min(place) AS place FROM l GROUP BY a)
+SELECT x.a AS s, y.a AS t, count(*) AS weight, (SELECT count(*) FROM u) AS used, (SELECT count(*) FROM k) AS total FROM u JOIN i x ON x.o = u.o JOIN i y ON y.o = u.o JOIN f fx ON fx.a = x.a JOIN f fy ON fy.a = y.a AND fx.place < fy.place GROUP BY 1, 2"""
 
 
 def _budgeted(spark: SparkSession, d: str, keep: str) -> DataFrame:
@@ -612,15 +660,23 @@ def _budgeted(spark: SparkSession, d: str, keep: str) -> DataFrame:
 
 
 @query(_budget_sql("s", "t"))
-def project_sources_budget(spark, d):
+def project_sources(spark, d):
     return _budgeted(spark, d, "source")
 
 
 @query(_budget_sql("t", "s"))
-def project_targets_budget(spark, d):
+def project_targets(spark, d):
     return _budgeted(spark, d, "target")
 
 
+@query(f"""WITH {CN} SELECT (SELECT count(DISTINCT s) FROM cn WHERE s LIKE 'C%') AS nodes, (SELECT count(*) FROM (SELECT DISTINCT x.s, y.s FROM cn x JOIN cn y ON x.t = y.t AND x.s < y.s WHERE x.t LIKE 'R%')) AS edges,
+(SELECT count(*) FROM (SELECT DISTINCT t FROM cn WHERE t LIKE 'R%')) AS used, (SELECT count(DISTINCT t) FROM cn WHERE t LIKE 'R%') AS total""")
+def project_report(spark, d):
+    doc = cn(spark, d)
+    doc = doc.with_(edges=doc.edges.where("t LIKE 'R%'"))
+    return transforms.project_doc(doc, "source")[1].withColumn("nodes", F.lit(doc.nodes.count()).cast("long"))
+
+
 @query(f"WITH {SP}, k AS (SELECT t, count(DISTINCT s) AS k FROM sp GROUP BY t) SELECT CAST(sum(k * (k - 1) / 2) AS BIGINT) AS pairs FROM k")
 def projection_pair_bound(spark, d):
     return transforms.pair_bound(graph.with_ends(sp(spark, d)), "source")
@@ -634,9 +690,44 @@ def expansion_preview(spark, d):
     return transforms.expansion_preview(ends, seen, "3", "kind")
 
 
+@query(f"""WITH {CN}, v AS (SELECT s AS id FROM cn WHERE t = 'N3' AND CAST(substr(s, 2) AS INT) % 2 = 0), x AS (SELECT DISTINCT CASE WHEN s = 'N3' THEN t ELSE s END AS id FROM cn WHERE s = 'N3' OR t = 'N3')
+SELECT coalesce(c_mktsegment, '') AS kind, count(*) AS nodes FROM x LEFT JOIN customer ON 'C' || c_custkey = id WHERE id NOT IN (SELECT id FROM v) GROUP BY 1""")
+def expansion_node_types(spark, d):
+    doc = cn(spark, d)
+    ends = graph.with_ends(doc)
+    seen = ends.where("__t = 'N3' AND CAST(substr(__s, 2) AS INT) % 2 = 0").select(F.col("__s").alias("id"))
+    return transforms.expansion_by_node_type(doc, ends, seen, "N3", "seg")
+
+
 # ---- appearance
 
 
+@query(f"""WITH {CN}, l AS (SELECT DISTINCT s, t FROM cn), e AS (SELECT s AS id FROM l UNION ALL SELECT t FROM l), g AS (SELECT id, count(*) AS degree FROM e GROUP BY id),
+n AS (SELECT coalesce(g.id, 'C' || c_custkey) AS id, c_mktsegment AS grp, greatest(0, coalesce(c_acctbal, 0)) AS m FROM g FULL JOIN customer ON g.id = 'C' || c_custkey), x AS (SELECT max(m) AS hi FROM n)
+SELECT id, grp, CASE grp WHEN 'BUILDING' THEN '#112233' END AS color, CASE grp WHEN 'MACHINERY' THEN 50.0 ELSE round(4.5 + 17 * ln(1 + 9 * m / hi) / ln(10.0), 6) END AS radius, CASE WHEN grp = 'FURNITURE' THEN grp END AS label FROM n, x""")
+def style_nodes(spark, d):
+    doc = cn(spark, d)
+    types = {"BUILDING": style.TypeStyle(color="#112233"), "MACHINERY": style.TypeStyle(size=50.0), "FURNITURE": style.TypeStyle(label_column="seg")}
+    look = style.Style(node_color="column:seg", node_size="column:bal", size_curve="log", node_types=("seg", types))
+    return style.style_nodes(graph.base_graph(doc), doc, look).select("id", "grp", "color", F.round("radius", 6).alias("radius"), "label")
+
+
+@query(f"""WITH {UU}, f AS (SELECT s, t, arg_min(kind, pos) AS k FROM ug GROUP BY s, t)
+SELECT ul.s, ul.t, {R6('w', 'weight')}, k AS color_value, CASE k WHEN 'click' THEN '#00ff00' END AS color, CASE k WHEN 'error' THEN 24.0 END AS width FROM ul JOIN f ON f.s = ul.s AND f.t = ul.t""")
+def style_links(spark, d):
+    doc = uu(spark, d)
+    types = {"click": style.TypeStyle(color="#00ff00"), "error": style.TypeStyle(width=99.0)}
+    look = style.Style(edge_width="column:w", edge_color="column:kind", edge_types=("kind", types))
+    return style.style_links(graph.base_graph(doc), doc, look).select("s", "t", r6("weight"), "color_value", "color", "width")
+
+
+@query(f"""WITH {CN}, l AS (SELECT DISTINCT s, t FROM cn), e AS (SELECT s AS id, 0 AS i, 1 AS o FROM l UNION ALL SELECT t, 1, 0 FROM l), g AS (SELECT id, sum(i) AS i, sum(o) AS o FROM e GROUP BY id), x AS (SELECT max(i) AS hi FROM g)
+SELECT coalesce(g.id, 'C' || c_custkey) AS id, {R6('4.5 + 17 * sqrt(coalesce(i, 0) / hi)', 'radius')} FROM g FULL JOIN customer ON g.id = 'C' || c_custkey CROSS JOIN x""")
+def style_in_degree(spark, d):
+    doc = cn(spark, d)
+    return style.style_nodes(graph.base_graph(doc), doc, style.Style(node_size="metric:in")).select("id", r6("radius"))
+
+
 _SUMS = f"{UU}, v AS (SELECT id, sum(w) AS value FROM (SELECT s AS id, w FROM uu UNION ALL SELECT t, w FROM uu) WHERE id IS NOT NULL GROUP BY id), x AS (SELECT min(value) AS lo, max(value) AS hi FROM v)"
 
 
@@ -743,6 +834,62 @@ def overlay_merge(spark, d):
     return edits.merge(doc, base, current, incoming).select("s", "t", r6("w"), F.col("__from").alias("src"))
 
 
+# Two versions of CN: in the current one customer 7 is renamed, 9 deleted, 11's segment edited and a node added; the new
+# data lacks customers 11 and 13, has other segments, and a customer more.
+def _versions(spark, d):
+    base = cn(spark, d)
+    base = base.with_(nodes=base.nodes.select("id", "seg", POS), edges=base.edges.select("s", "t", F.lit(1.0).alias("w"), POS))
+    now = edits.rename_nodes(base, {"C7": "Seven"})
+    now = edits.delete_nodes(now, ["C9"])
+    now = now.with_(nodes=now.nodes.withColumn("seg", F.when(F.col("id").isin("C11", "C15"), "EDITED").otherwise(F.col("seg"))))
+    now = now.with_(edges=now.edges.withColumn("w", F.when(F.col("s") == "C17", 5.0).otherwise(F.col("w"))))
+    late = base.with_(nodes=base.nodes.where("id NOT IN ('C11', 'C13')").withColumn("seg", F.concat(F.lit("new "), "seg")), edges=base.edges.where("s <> 'C13'").withColumn("w", F.lit(2.0)))
+    return base, now, late
+
+
+def _overlaid(spark, d):
+    base, now, late = _versions(spark, d)
+    delta = overlay.diff(base, edits.rename_nodes(base, {"C7": "Seven"}))
+    return overlay.merge(now, overlay.extend(delta, overlay.diff(edits.rename_nodes(base, {"C7": "Seven"}), now)), late)
+
+
+@query(f"""WITH {CN} SELECT CASE c_custkey WHEN 7 THEN 'Seven' ELSE 'C' || c_custkey END AS id, CASE WHEN c_custkey IN (11, 15) THEN 'EDITED' ELSE 'new ' || c_mktsegment END AS seg FROM customer WHERE c_custkey NOT IN (9, 13)
+UNION ALL SELECT DISTINCT t, NULL FROM cn WHERE s NOT IN ('C9', 'C13') UNION SELECT DISTINCT s, NULL FROM cn WHERE s LIKE 'N%'""")
+def overlay_nodes(spark, d):
+    return _overlaid(spark, d)[0].nodes.select("id", "seg")
+
+
+@query(f"WITH {CN} SELECT CASE s WHEN 'C7' THEN 'Seven' ELSE s END AS s, t, CASE s WHEN 'C17' THEN 5.0 ELSE 2.0 END AS w FROM cn WHERE s NOT IN ('C9', 'C13')")
+def overlay_renames(spark, d):
+    return _overlaid(spark, d)[0].edges.select("s", "t", "w")
+
+
+@query(f"""WITH {CN}, a AS (SELECT count(*) AS n FROM customer), b AS (SELECT count(*) AS n FROM cn)
+SELECT CAST(a.n - 3 + b.n - 2 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS added, CAST(2 AS BIGINT) AS edits_kept, CAST(2 AS BIGINT) AS deletions_held, CAST(1 AS BIGINT) AS kept_extras FROM a, b""")
+def overlay_report(spark, d):
+    return _overlaid(spark, d)[1]
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS id, arg_min(c_mktsegment, c_custkey) FILTER (WHERE c_custkey % 3 <> 0) AS seg, min(c_custkey) AS pos FROM customer GROUP BY c_nationkey")
+def coalesce_nodes(spark, d):
+    c = _table(spark, d, "customer")
+    rows = c.select(F.col("c_nationkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("seg"), F.col("c_custkey").alias(POS))
+    return edits.coalesce_by_id(rows, "id").select("id", "seg", F.col(POS).alias("pos"))
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS id, arg_min(c_mktsegment, c_custkey) AS seg FROM customer GROUP BY c_nationkey")
+def first_node_rows(spark, d):
+    c = _table(spark, d, "customer").select(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias(POS))
+    return first_rows(c, "id").select(F.col("__id").alias("id"), "seg")
+
+
+@query("SELECT 'C' || c_custkey AS id, TRY_CAST(c_mktsegment AS DOUBLE) AS segment, c_acctbal > 0 AS positive FROM customer")
+def column_changes(spark, d):
+    doc = columns.rename(columns.rename(cn(spark, d), "nodes", "seg", "segment"), "nodes", "bal", "id")
+    doc = columns.retype(columns.delete(doc, "nodes", "id"), "nodes", "segment", "number")
+    return columns.delete(doc.with_(nodes=doc.nodes.withColumn("positive", F.col("bal") > 0)), "nodes", "bal").nodes.select("id", "segment", "positive")
+
+
 @query("SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^[=+@\\t\\r-]') AND TRY_CAST(c_name AS DOUBLE) IS NULL THEN '''' || c_name ELSE c_name END AS c_name FROM customer")
 def csv_safe_cells(spark, d):
     from .sources.formats import safe_cell
@@ -763,9 +910,10 @@ def incident_rows(spark, d):
     return rows.select("s", "t", F.col(POS).alias("pos"), "side")
 
 
-@query(f"WITH {UU} SELECT pos FROM uu WHERE (s = '3' AND t = '5') OR (s = '5' AND t = '3')")
+@query(f"WITH {UU} SELECT pos FROM uu WHERE CAST(s AS INT) BETWEEN 1 AND 30 AND CAST(t AS INT) BETWEEN 1 AND 30")
 def pair_rows(spark, d):
-    return details.pair_rows(graph.with_ends(uu(spark, d)), [("3", "5"), ("5", "3")]).select(F.col(POS).alias("pos"))
+    wanted = [(str(a), str(b)) for a in range(1, 31) for b in range(1, 31)]
+    return details.pair_rows(graph.with_ends(uu(spark, d)), wanted).select(F.col(POS).alias("pos"))
 
 
 @query(f"""WITH {CN}, l AS (SELECT DISTINCT s, t FROM cn), o AS (SELECT s AS id, count(*) AS o FROM l GROUP BY s), i AS (SELECT t AS id, count(*) AS i FROM l GROUP BY t)
@@ -809,15 +957,29 @@ def layout_force(spark, d):
     return arrange.layout(nodes.select("id", F.lit(None).cast("string").alias("group"), F.lit(6.0).alias("radius")), "force", links)
 
 
-@query()
-def layout_layers(spark, d):
+_LAYERS = f"""WITH {CN}, l AS (SELECT DISTINCT s, t FROM cn), c0 AS (SELECT 'C' || c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS m FROM customer),
+c1 AS (SELECT id, row_number() OVER (ORDER BY sc, id) - 1 AS k, count(*) OVER () AS m FROM (SELECT l.t AS id, avg(k) AS sc FROM l JOIN c0 ON c0.id = l.s GROUP BY l.t)),
+c2 AS (SELECT id, row_number() OVER (ORDER BY sc, id) - 1 AS k, count(*) OVER () AS m FROM (SELECT l.t AS id, avg(k) AS sc FROM l JOIN c1 ON c1.id = l.s GROUP BY l.t)),
+p AS (SELECT id, k, m, 0 AS d FROM c0 UNION ALL SELECT id, k, m, 1 FROM c1 UNION ALL SELECT id, k, m, 2 FROM c2)"""
+
+
+def _layers(spark, d, **how):
     g = graph.base_graph(cn(spark, d))
-    roots = g.nodes.where("in_degree = 0")
-    depth = traverse.reach(g.links, roots, None, "out").join(g.nodes.select("id", "pos"), "id")
-    return style.layout_layers(depth)
+    return style.layout_layers(details.node_depths(g.nodes, g.links).join(g.nodes.select("id", "pos"), "id"), g.links, **how).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
-@query()
+@query(f"{_LAYERS} SELECT id, round((k - (m - 1) / 2) * greatest(70, least(150, 1100 / m)), 4) + 0.0 AS x, 130.0 * d - 130.0 AS y FROM p")
+def layout_layers(spark, d):
+    return _layers(spark, d)
+
+
+@query(f"""{_LAYERS}, q AS (SELECT id, k, m, greatest(140.0 * d, 40.0 * m / (2 * pi())) AS r FROM p)
+SELECT id, round(r * cos(-pi() / 2 + 2 * pi() * k / m), 4) + 0.0 AS x, round(r * sin(-pi() / 2 + 2 * pi() * k / m), 4) + 0.0 AS y FROM q""")
+def layout_radial(spark, d):
+    return _layers(spark, d, radial=True)
+
+
+@query(f"WITH {UU}, {US} SELECT a AS id, CAST(count(DISTINCT b) AS DOUBLE) AS value FROM us GROUP BY a")
 def script_node_values(spark, d):
     g = graph.base_graph(uu(spark, d))
     return scripts.script_values(spark, "def run(graph):\n    return {k: len(set(v)) for k, v in graph['neighbors'].items()}", g.nodes, g.links)

@@ -20,6 +20,8 @@ class Mapping:
     source: str
     target: str
     attrs: tuple[str, ...] = ()
+    #: Node columns shown as details; None for all.
+    node_attrs: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,8 @@ class GraphDoc:
     node_id: str | None = None
     nodes_declared: bool = False
     computed: frozenset[str] = field(default_factory=frozenset)
+    #: What cells are for, by (table, column).
+    roles: dict[tuple[str, str], str] = field(default_factory=dict)
 
     def with_(self, **changes) -> "GraphDoc":
         return replace(self, **changes)
@@ -44,19 +48,27 @@ def with_positions(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.withColumn(POS, F.monotonically_increasing_id())
 
 
-# Headers that mappings are guessed from.
-_SOURCE = re.compile(r"^(source|src|from|start|tail|node ?1|a)$", re.I)
-_TARGET = re.compile(r"^(target|tgt|dst|dest|destination|to|end|head|node ?2|b)$", re.I)
+# Headers that mappings are guessed from, as whole names and as parts of names.
+_SOURCES = ("source", "from", "supervisor", "manager", "parent", "origin", "start", "head")
+_TARGETS = ("target", "to", "supervisee", "report", "child", "destination", "end", "employee")
+_SOURCE_PARTS = ("source", "from", "supervisor", "manager", "parent")
+_TARGET_PARTS = ("target", "supervisee", "report", "child", "dest")
 _ID = re.compile(r"^(id|name|key|label|node)$", re.I)
 
 
+def _hinted(names: list[str], whole: tuple[str, ...], parts: tuple[str, ...]) -> str | None:
+    named = [c for c in names if c.lower() in whole]
+    return next(iter(named or [c for c in names if any(p in c.lower() for p in parts)]), None)
+
+
 def guess_mapping(columns: list[str]) -> Mapping:
-    """By header, else the first two columns."""
+    """By header, if both ends are hinted at, else the first two columns."""
     names = [c for c in columns if c != POS]
-    source = next((c for c in names if _SOURCE.match(c.strip())), None)
-    target = next((c for c in names if _TARGET.match(c.strip()) and c != source), None)
-    source = source or next(c for c in names if c != target)
-    target = target or next(c for c in names if c != source)
+    source = _hinted(names, _SOURCES, _SOURCE_PARTS)
+    target = _hinted([c for c in names if c != source], _TARGETS, _TARGET_PARTS) if source else None
+    if target is None:
+        source = names[0]
+        target = next((c for c in names if c != source), source)
     return Mapping(source, target, tuple(c for c in names if c not in (source, target)))
 
 

@@ -1,7 +1,9 @@
 """The filter chain: ordered steps, each narrowing the graph that its predecessor left; any may be inverted.
 
 The state is the edge rows and the ids that may stay. A step gives fewer rows or fewer ids; which of the two an
-inverted step complements is a property of its kind."""
+inverted step complements is a property of its kind. Ids, and rows that a join chose, are written down after the step,
+so that what a step reads doesn't depend on how many steps came before it: the plans of a chain grow by the same
+amount with each step."""
 
 from __future__ import annotations
 
@@ -10,12 +12,13 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells
 from ..model import POS, GraphDoc
 from ..plans.scratch import cut
 from . import graph as g
-from . import metrics, traverse
+from . import metrics, stats, traverse
 
 KINDS = ("column", "degree", "kcore", "component", "ego", "mutual", "backbone", "timewindow")
 #: Listed values beyond which a values condition joins instead of testing a list.
@@ -84,12 +87,44 @@ def validate(step: Step) -> Step:
         raise ValueError(f"no such step: {step.kind}")
     if step.kind == "column" and step.condition is None:
         raise ValueError("a column step needs a condition")
+    if step.kind == "timewindow" and not step.column:
+        raise ValueError("a time window needs a column")
+    if step.table not in ("edges", "nodes") or step.mode not in ("all", "in", "out") or step.direction not in ("any", "in", "out"):
+        raise ValueError("no such table, mode or direction")
+    if step.depth < 0 or step.count < 0 or not 0 <= step.alpha <= 1:
+        raise ValueError("depth and count can't be negative, alpha is between 0 and 1")
     for c in (step.condition, step.where):
         if c is not None and c.selected is not None and c.excluded is not None:
             raise ValueError("a condition selects or excludes values, not both")
     return step
 
 
+def neutral(df: DataFrame, column: str) -> Condition:
+    """A condition to start from: every value of a text column, every number of a number column."""
+    return Condition(column) if isinstance(df.schema[column].dataType, T.NumericType) else Condition(column, excluded=())
+
+
+def is_neutral(condition: Condition) -> bool:
+    """Does it let every row through, whatever the data? An open range doesn't: it drops what is no number."""
+    return condition.excluded is not None and not condition.excluded
+
+
+def default_step(kind: str, doc: GraphDoc) -> Step:
+    """A new step with its usual settings; a column step or time window starts without narrowing anything."""
+    names = [c for c in doc.edges.columns if c != POS and not c.startswith("__")]
+    if kind == "column":
+        return Step("column", condition=neutral(doc.edges, names[0]))
+    if kind == "degree":
+        return Step("degree", low=1)
+    if kind == "timewindow":
+        for table, df in (("edges", doc.edges), ("nodes", doc.nodes)):
+            if df is not None and (found := stats.time_columns(df, [c for c in df.columns if c != POS and not c.startswith("__")])):
+                return Step("timewindow", table=table, column=found[0])
+        numbers = [c for c in names if isinstance(doc.edges.schema[c].dataType, T.NumericType)]
+        return Step("timewindow", column=(numbers or names)[0])
+    return validate(Step(kind))
+
+
 def describe(step: Step) -> str:
     text = {
         "column": lambda: f"{step.condition.column} " + ("in range" if step.condition.is_range else "selected" if step.condition.selected is not None else "excluded"),
@@ -118,7 +153,10 @@ def apply_chain(doc: GraphDoc, chain: list[Step], show_isolated: bool | None = N
     for step in chain:
         validate(step)
         if step.enabled:
-            rows, keep = _apply(doc, graph, rows, keep, step)
+            fewer, ids = _apply(doc, graph, rows, keep, step)
+            if fewer is not rows:
+                rows = fewer if step.kind in ("column", "timewindow") and not step.invert else cut(fewer)
+            keep = keep if ids is keep else cut(ids)
             graph = g.base_graph(doc, rows, keep, show_isolated)
         told.append((describe(step), graph))
     return Applied(graph, rows, keep, told)

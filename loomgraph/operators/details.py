@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import cells
 from ..model import POS, GraphDoc
 from ..plans.scratch import cut
-from . import community, edits, graph, metrics, traverse
+from . import community, edits, graph, metrics, style, traverse
 
 
 def incident_rows(ends: DataFrame, ids: list[str]) -> DataFrame:
@@ -20,10 +19,14 @@ def incident_rows(ends: DataFrame, ids: list[str]) -> DataFrame:
     return ends.where(s | t).withColumn("side", F.when(s & t, "both").when(s, "out").otherwise("in"))
 
 
+#: Listed pairs up to which a list is broadcast.
+LONG_LIST = 100_000
+
+
 def pair_rows(ends: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """All rows behind the directed pairs."""
     wanted = ends.sparkSession.createDataFrame(pairs, "__s string, __t string")
-    return ends.join(F.broadcast(wanted), ["__s", "__t"], "left_semi")
+    return ends.join(F.broadcast(wanted) if len(pairs) <= LONG_LIST else wanted, ["__s", "__t"], "left_semi")
 
 
 def in_view(rows: DataFrame, view: DataFrame, inside: bool = True) -> DataFrame:
@@ -31,6 +34,16 @@ def in_view(rows: DataFrame, view: DataFrame, inside: bool = True) -> DataFrame:
     return rows.join(view.select(POS), POS, "left_semi" if inside else "left_anti")
 
 
+def in_keyboard_order(nodes: DataFrame) -> DataFrame:
+    """Nodes as the keyboard walks them: most links first, then by id."""
+    return nodes.orderBy(F.desc("degree"), "id")
+
+
+def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
+    """Rows of one page (from 0) in position order."""
+    return df.orderBy(POS).offset(number * size).limit(size)
+
+
 def forward_steps(links: DataFrame, route: list[str]) -> list[bool]:
     """For each step of a route: does a link lead that way?"""
     steps = list(zip(route, route[1:]))
@@ -115,22 +128,17 @@ def node_depths(nodes: DataFrame, links: DataFrame) -> DataFrame:
         found = cut(found.unionByName(more.join(found.select("id"), "id", "left_anti")))
 
 
-# Headers that styles are guessed from.
-_GROUP = re.compile(r"^(group|type|kind|class|category|cluster|community|team|department)$", re.I)
-_LABEL = re.compile(r"^(label|name|title)$", re.I)
-_WEIGHT = re.compile(r"^(weight|value|count|amount|strength|w)$", re.I)
-
-
-def guess_style(doc: GraphDoc, roles: dict[str, str] | None = None) -> dict[str, str | None]:
-    """Columns for colour, label and width, by role and header."""
-    names = [] if doc.nodes is None else [c for c in doc.nodes.columns if c not in (doc.node_id, POS)]
-    first = lambda of, pattern: next((c for c in of if pattern.match(c.strip())), None)
-    color = next((c for c in names if (roles or {}).get(c) == "color"), None)
-    return {"color": color or first(names, _GROUP), "label": first(names, _LABEL), "width": first([c for c in doc.edges.columns if c != POS], _WEIGHT)}
+# Parts of headers of columns that group nodes.
+_GROUP_PARTS = ("group", "department", "dept", "team", "type", "category", "role", "org", "unit")
 
 
-def color_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns half of whose filled cells are colours."""
-    marks = [x for c in columns for x in (F.count(cells.cell_id(df, c)).alias(f"{c}|n"), F.count(cells.parse_color(cells.text(df, c))).alias(f"{c}|k"))]
-    row = df.agg(*marks).first()
-    return [c for c in columns if row[f"{c}|n"] and 2 * row[f"{c}|k"] >= row[f"{c}|n"]]
+def guess_style(doc: GraphDoc) -> style.Style:
+    """A colour column of the nodes paints them, else the first text column of the edges whose header names a group
+    colours them; a colour column of the edges paints those."""
+    edge_names = [c for c in doc.edges.columns if c not in (POS, doc.mapping.source, doc.mapping.target)]
+    node_cell = next((c for c in doc.nodes.columns if doc.roles.get(("nodes", c)) == "color"), None)
+    edge_cell = next((c for c in edge_names if doc.roles.get(("edges", c)) == "color"), None)
+    text = lambda c: isinstance(doc.edges.schema[c].dataType, T.StringType)
+    grouping = next((c for c in edge_names if text(c) and any(p in c.lower() for p in _GROUP_PARTS)), None)
+    color = f"cell:{node_cell}" if node_cell else f"column:{grouping}" if grouping else "none"
+    return style.Style(node_color=color, edge_color=f"cell:{edge_cell}" if edge_cell else "uniform")

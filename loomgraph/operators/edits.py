@@ -14,12 +14,21 @@ from ..functions import cells
 from ..model import POS, GraphDoc, occurrence, reconcile
 
 
+#: Names or positions up to which a list is broadcast or tested in place.
+LONG_LIST = 100_000
+
+
 def _positions(df: DataFrame, rows: list[int] | None) -> Column:
     return F.lit(True) if rows is None else F.col(POS).isin(rows)
 
 
 def set_cell(doc: GraphDoc, table: str, pos: int, column: str, value) -> GraphDoc:
     df = doc.edges if table == "edges" else doc.nodes
+    if table == "nodes" and column == doc.node_id:
+        # An id cell renames its node, where there is an old and a new id.
+        row = df.where(F.col(POS) == pos).select(cells.cell_id(df, column).alias("id")).first()
+        old, fresh = (row["id"] if row else None), (str(value).strip() if value is not None else "")
+        return doc if not fresh or old is None or fresh == old else rename_nodes(doc, {old: fresh})
     kind = df.schema[column].dataType
     new = df.withColumn(column, F.when(F.col(POS) == pos, F.lit(value).cast(kind)).otherwise(F.col(column)))
     return reconcile(doc.with_(edges=new)) if table == "edges" else doc.with_(nodes=new)
@@ -31,7 +40,7 @@ def rename_nodes(doc: GraphDoc, names: dict[str, str]) -> GraphDoc:
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
         keyed = df.withColumn("__id", cells.cell_id(df, column))
-        joined = keyed.join(F.broadcast(lookup), F.col("__id") == F.col("__old"), "left")
+        joined = keyed.join(F.broadcast(lookup) if len(names) <= LONG_LIST else lookup, F.col("__id") == F.col("__old"), "left")
         return joined.withColumn(column, F.coalesce("__new", cells.text(df, column))).drop("__id", "__old", "__new")
 
     edges = renamed(renamed(doc.edges, doc.mapping.source), doc.mapping.target)
@@ -51,10 +60,11 @@ def coalesce_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
 
 def delete_nodes(doc: GraphDoc, ids: list[str]) -> GraphDoc:
     """The rows of the ids, and the edges at them."""
-    s, t = cells.cell_id(doc.edges, doc.mapping.source), cells.cell_id(doc.edges, doc.mapping.target)
-    there = lambda c: F.coalesce(c.isin(ids), F.lit(False))
-    nodes = None if doc.nodes is None else doc.nodes.where(~there(cells.cell_id(doc.nodes, doc.node_id)))
-    return doc.with_(edges=doc.edges.where(~there(s) & ~there(t)), nodes=nodes)
+    listed = doc.edges.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "__gone string")
+    listed = F.broadcast(listed) if len(ids) <= LONG_LIST else listed
+    without = lambda df, c: df.join(listed, cells.cell_id(df, c) == F.col("__gone"), "left_anti")
+    nodes = None if doc.nodes is None else without(doc.nodes, doc.node_id)
+    return doc.with_(edges=without(without(doc.edges, doc.mapping.source), doc.mapping.target), nodes=nodes)
 
 
 def delete_rows(doc: GraphDoc, table: str, positions: list[int]) -> GraphDoc:
@@ -97,6 +107,23 @@ def replace_count(df: DataFrame, column: str, find: str, by: str, **how) -> Data
     return df.agg(F.count(F.when(cells.cell_id(df, column).isNotNull() & (changed != cells.text(df, column)), 1)).alias("changed"))
 
 
+def map_cells(doc: GraphDoc, table: str, column: str, value: Column, rows: list[int] | None = None) -> GraphDoc:
+    """A column's cells mapped, and what follows: new ids rename their nodes in both tables, new ends get node rows."""
+    df = doc.edges if table == "edges" else doc.nodes
+    new = map_column(df, column, value, rows)
+    if table == "edges":
+        out = doc.with_(edges=new)
+        return reconcile(out) if column in (doc.mapping.source, doc.mapping.target) else out
+    if column != doc.node_id:
+        return doc.with_(nodes=new)
+    both = df.select(POS, cells.cell_id(df, column).alias("old")).join(new.select(POS, cells.cell_id(new, column).alias("new")), POS)
+    moved = both.where("old IS NOT NULL AND new IS NOT NULL AND old <> new").groupBy("old").agg(F.min_by("new", POS).alias("new"))
+    names = {r["old"]: r["new"] for r in moved.limit(LONG_LIST + 1).collect()}
+    if len(names) > LONG_LIST:
+        raise ValueError(f"more than {LONG_LIST} ids renamed at once")
+    return rename_nodes(doc, names) if names else doc
+
+
 def rename_values(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return df.withColumn(column, F.coalesce(F.try_element_at(names, cells.cell_key(df, column)), cells.text(df, column)))
@@ -189,14 +216,22 @@ def running_first(df: DataFrame, column: str, by: str) -> DataFrame:
 
 
 class History:
-    """Undo and redo over immutable documents."""
+    """Undo and redo over immutable documents: `depth` steps, fewer (but `least`) where their rows exceed `budget`."""
 
-    def __init__(self, doc: GraphDoc, depth: int = 50):
+    def __init__(self, doc: GraphDoc, depth: int = 50, least: int = 5, budget: int = 3_000_000):
         self.past: list[GraphDoc] = []
-        self.now, self.future, self.depth = doc, [], depth
+        self.now, self.future, self.depth, self.least, self.budget = doc, [], depth, least, budget
+        self._rows: dict[int, int] = {}
+
+    def _size(self, doc: GraphDoc) -> int:
+        if id(doc) not in self._rows:
+            self._rows[id(doc)] = doc.edges.count() + (doc.nodes.count() if doc.nodes is not None else 0)
+        return self._rows[id(doc)]
 
     def push(self, doc: GraphDoc) -> None:
         self.past = [*self.past, self.now][-self.depth :]
+        while len(self.past) > self.least and sum(map(self._size, self.past)) > self.budget:
+            self.past = self.past[1:]
         self.now, self.future = doc, []
 
     def undo(self) -> GraphDoc:

@@ -5,11 +5,11 @@ cut their lineage each round and read one number for the stop rule."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.scratch import cut
+from ..plans.scratch import cut, dropped
 from .graph import undirected
 from .traverse import component_labels, multi_source
 
@@ -35,13 +35,14 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("pagerank"))
-    state = cut(base.withColumn("rank", F.lit(1.0 / n)))
+    state = held = cut(base.withColumn("rank", F.lit(1.0 / n)))
     for _ in range(rounds):
         idle = state.where(~F.col("sends")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = shares.join(state.select(F.col("id").alias("s"), "rank"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = cut(state.join(got, "id", "left").select("id", "sends", ((1 - damping) / n + damping * idle / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")))
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        state = new.drop("was")
+        dropped(held)
+        held, state = new, new.drop("was")
         if moved < close:
             break
     return state.select("id", F.col("rank").alias("pagerank"))
@@ -50,7 +51,7 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
 def hits(nodes: DataFrame, links: DataFrame, rounds: int = 100, close: float = 1e-9) -> DataFrame:
     """id, hub, authority: scaled to a maximum of 1."""
     links = cut(links)
-    state = cut(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")))
+    state = held = cut(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")))
     for _ in range(rounds):
         a = links.join(state.select(F.col("id").alias("s"), "hub"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("hub") * F.col("w")).alias("a"))
         a = cut(a)
@@ -59,7 +60,8 @@ def hits(nodes: DataFrame, links: DataFrame, rounds: int = 100, close: float = 1
         na, nh = raw.agg(F.sqrt(F.sum(F.col("a") ** 2)), F.sqrt(F.sum(F.col("h") ** 2))).first()
         new = cut(raw.select("id", (F.col("h") / (nh or 1.0)).alias("hub"), (F.col("a") / (na or 1.0)).alias("authority"), F.col("hub").alias("h0"), F.col("authority").alias("a0")))
         moved = new.agg(F.sum(F.abs(F.col("hub") - F.col("h0")) + F.abs(F.col("authority") - F.col("a0")))).first()[0]
-        state = new.select("id", "hub", "authority")
+        dropped(held, a, raw)
+        held, state = new, new.select("id", "hub", "authority")
         if moved is None or moved < close:
             break
     top = state.agg(F.max("hub"), F.max("authority")).first()
@@ -70,7 +72,7 @@ def eigenvector(nodes: DataFrame, links: DataFrame, rounds: int = 100, close: fl
     """id, eigenvector: unweighted, undirected; scaled to a maximum of 1; zeros without links."""
     near = cut(undirected(links).select("v", "n"))
     n = nodes.count()
-    state = cut(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("x")))
+    state = held = cut(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("x")))
     for _ in range(rounds):
         got = near.join(state.select(F.col("id").alias("n"), "x"), "n").groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("y"))
         raw = cut(state.join(got, "id", "left").select("id", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
@@ -79,7 +81,8 @@ def eigenvector(nodes: DataFrame, links: DataFrame, rounds: int = 100, close: fl
             return state.select("id", F.lit(0.0).alias("eigenvector"))
         new = cut(raw.select("id", (F.col("y") / norm).alias("x"), F.col("x").alias("was")))
         moved = new.agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0]
-        state = new.drop("was")
+        dropped(held, raw)
+        held, state = new, new.drop("was")
         if moved < close:
             break
     top = state.agg(F.max("x")).first()[0]
@@ -94,11 +97,13 @@ def sources(nodes: DataFrame, most: int = ALL_SOURCES) -> DataFrame:
     return ranked(nodes).where(F.col("rank") % -(-n // most) == 0).select("id")
 
 
-def ranked(nodes: DataFrame) -> DataFrame:
-    """id, rank: places in document order from 0, by range partitions and their running counts."""
-    dealt = cut(nodes.select("id", "pos").repartitionByRange("pos", "id").withColumn("part", F.spark_partition_id()))
+def ranked(nodes: DataFrame, *order: Column) -> DataFrame:
+    """id, rank: places from 0 in document order (or another, in which no two rows are equal), by range partitions and
+    their running counts: no task sees all rows."""
+    order = order or (F.col("pos"), F.col("id"))
+    dealt = cut(nodes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("part").orderBy("pos", "id")) - 1
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return cut(dealt.withColumn("k", inner).join(F.broadcast(before.select("part", "before")), "part").select("id", (F.col("before") + F.col("k")).alias("rank")))
 
 
@@ -163,7 +168,7 @@ def triangles(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def coreness(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, coreness: h-indices of the neighbours' values until nothing changes."""
     near = cut(undirected(links).select("v", "n"))
-    state = cut(nodes.select("id").join(near.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0)).cast("long").alias("c")))
+    state = held = cut(nodes.select("id").join(near.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0)).cast("long").alias("c")))
     while True:
         # The h-index needs only how many neighbours have each value (at most one's own).
         capped = near.join(state.select(F.col("id").alias("n"), F.col("c").alias("cn")), "n").join(state.select(F.col("id").alias("v"), "c"), "v")
@@ -171,7 +176,8 @@ def coreness(nodes: DataFrame, links: DataFrame) -> DataFrame:
         over = Window.partitionBy("v").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         h = per.withColumn("k", F.sum("k").over(over)).groupBy("v").agg(F.max(F.least("x", "k")).alias("h"))
         new = cut(state.join(h, state["id"] == h["v"], "left").select("id", F.coalesce("h", F.lit(0)).alias("c"), F.col("c").alias("was")))
-        state = new.drop("was")
+        dropped(held)
+        held, state = new, new.drop("was")
         if new.where("c <> was").isEmpty():
             return state.select("id", F.col("c").alias("coreness"))
 
@@ -184,6 +190,7 @@ def kcore(links: DataFrame, k: int) -> DataFrame:
         new = cut(near.join(ok, "v", "left_semi").join(ok.select(F.col("v").alias("n")), "n", "left_semi").select("v", "n"))
         if new.count() == near.count():
             return new.select(F.col("v").alias("id")).distinct()
+        dropped(near)
         near = new
 
 
@@ -192,10 +199,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     ranks = ranked(nodes)
     comp = component_labels(ranks, links)
     sizes = comp.groupBy("comp").agg(F.count("*").alias("component_size"))
-    numbered = sizes.withColumn("component", (F.row_number().over(Window.orderBy(F.desc("component_size"), "comp")) - 1).cast("string"))
+    numbers = ranked(sizes.withColumn("id", F.col("comp")), F.desc("component_size"), F.asc("comp"))
+    numbered = sizes.join(numbers.select(F.col("id").alias("comp"), F.col("rank").cast("string").alias("component")), "comp")
     return comp.join(numbered, "comp").select("id", "component", "component_size")
 
 
+def component_count(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """components: how many there are, directions aside; a node without links is one."""
+    return component_labels(ranked(nodes), links).agg(F.count_distinct("comp").alias("components"))
+
+
+def counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: nodes, edges (links), average_links (2 m / n, null without nodes), components."""
+    sizes = nodes.agg(F.count("*").alias("nodes")).crossJoin(links.agg(F.count("*").alias("edges")))
+    average = F.when(F.col("nodes") > 0, 2 * F.col("edges") / F.col("nodes"))
+    return sizes.withColumn("average_links", average).crossJoin(component_count(nodes, links))
+
+
 def embeddedness(links: DataFrame) -> DataFrame:
     """s, t, embeddedness: common neighbours of a link's ends, besides themselves."""
     near = cut(undirected(links.select("s", "t", F.lit(1.0).alias("w"))).select("v", "n"))
@@ -225,11 +245,12 @@ def disparity(links: DataFrame) -> DataFrame:
 
 
 def network(nodes: DataFrame, links: DataFrame, most: int = ALL_SOURCES, most_neighbours: int = 300) -> DataFrame:
-    """One row: density, clustering, diameter, average_path."""
+    """One row: density, clustering, diameter, average_path, and approximate: did path lengths come from some sources
+    only?"""
     n = nodes.count()
     m = links.count()
     d = undirected(links).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("k"))
     local = triangles(nodes, links).join(d, "id").where((F.col("k") >= 2) & (F.col("k") <= most_neighbours)).agg(F.avg(2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).alias("clustering"))
     paths = multi_source(links, sources(nodes, most)).where("dist > 0").agg(F.max("dist").cast("long").alias("diameter"), F.avg("dist").alias("average_path"))
     dense = F.lit(m / (n * (n - 1)) if n > 1 else None).cast("double").alias("density")
-    return local.crossJoin(paths).select(dense, "clustering", "diameter", "average_path")
+    return local.crossJoin(paths).select(dense, "clustering", "diameter", "average_path", F.lit(n > most).alias("approximate"))

@@ -1,14 +1,37 @@
 """Breadth-first walks as frontier joins, and components by label propagation.
 
 Every hop joins the frontier (distinct, small against the edges) with the links, drops what was reached (anti
-join), and cuts the lineage with a written table. Stop rules read one number a hop."""
+join), and writes the new frontier only: what was reached is the union of the hops' tables, which are put together
+every `_MERGE` hops. Stop rules read one number a hop."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import cut
+from ..plans.scratch import cut, dropped
+
+#: Frontiers that are read one by one before they are written as one table.
+_MERGE = 16
+
+
+class _Seen:
+    """What a walk has reached: a table of older hops and the frontiers since."""
+
+    def __init__(self, start: DataFrame):
+        self.parts = [start]
+
+    def add(self, frontier: DataFrame) -> None:
+        self.parts.append(frontier)
+        if len(self.parts) > _MERGE:
+            whole = cut(self.rows())
+            dropped(*self.parts[:-1])  # the last one is still walked from
+            self.parts = [whole]
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
 
 
 def arms(links: DataFrame, direction: str) -> DataFrame:
@@ -21,42 +44,44 @@ def arms(links: DataFrame, direction: str) -> DataFrame:
 def reach(links: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "any") -> DataFrame:
     """id, depth of what is reached from the seeds (a table with id) in `depth` hops, or in any number."""
     steps = cut(arms(links, direction))
-    seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, hop = seen, 0
+    frontier, hop = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0))), 0
+    seen = _Seen(frontier)
     while depth is None or hop < depth:
         hop += 1
-        new = steps.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new = steps.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.rows().select("id"), "id", "left_anti")
         frontier = cut(new.withColumn("depth", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.rows()
 
 
 def multi_source(links: DataFrame, sources: DataFrame, direction: str = "any", count_paths: bool = False) -> DataFrame:
     """src, id, dist (and sigma: the number of shortest paths) for every source of `sources` (id) at once."""
     steps = cut(arms(links, direction))
-    seen = cut(sources.select(F.col("id").alias("src"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    frontier, hop = seen, 0
+    frontier, hop = cut(sources.select(F.col("id").alias("src"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma"))), 0
+    seen = _Seen(frontier)
     while True:
         hop += 1
         moved = frontier.join(steps, frontier["id"] == steps["a"]).groupBy("src", F.col("b").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        new = moved.join(seen.select("src", "id"), ["src", "id"], "left_anti")
+        new = moved.join(seen.rows().select("src", "id"), ["src", "id"], "left_anti")
         frontier = cut(new.select("src", "id", F.lit(hop).alias("dist"), "sigma"))
         if frontier.isEmpty():
-            return seen if count_paths else seen.drop("sigma")
-        seen = cut(seen.unionByName(frontier))
+            return seen.rows() if count_paths else seen.rows().drop("sigma")
+        seen.add(frontier)
 
 
 def component_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, comp: the least `rank` reachable. nodes: id, rank. Labels spread over links and jump to their label's label."""
     near = cut(arms(links, "any"))
-    state = cut(nodes.select("id", F.col("rank").alias("own"), F.col("rank").alias("comp")))
+    state = held = cut(nodes.select("id", F.col("rank").alias("own"), F.col("rank").alias("comp")))
     while True:
         spread = near.join(state.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         new = state.join(spread, "id", "left").select("id", "own", F.least("comp", F.coalesce("near", "comp")).alias("comp"), F.col("comp").alias("was"))
         jump = new.select(F.col("own").alias("comp"), F.col("comp").alias("next"))
         new = cut(new.join(jump, "comp", "left").select("id", "own", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"))
+        dropped(held)
+        held = new
         if new.where("comp <> was").isEmpty():
             return new.select("id", "comp")
         state = new.drop("was")
@@ -66,16 +91,17 @@ def shortest_routes(links: DataFrame, source: str, target: str, directed: bool =
     """(count: n_routes, length), (routes: route as an array of ids, at most `limit`, in order of the ids)."""
     spark = links.sparkSession
     steps = cut(arms(links, "out" if directed else "any"))
-    seen = cut(spark.createDataFrame([(source, 0, 1.0)], "id string, depth int, sigma double"))
-    frontier, hop, found = seen, 0, source == target
+    frontier, hop, found = cut(spark.createDataFrame([(source, 0, 1.0)], "id string, depth int, sigma double")), 0, source == target
+    reached = _Seen(frontier)
     while not found:
         hop += 1
-        new = frontier.join(steps, frontier["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.sum("sigma").alias("sigma")).join(seen.select("id"), "id", "left_anti")
+        new = frontier.join(steps, frontier["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.sum("sigma").alias("sigma")).join(reached.rows().select("id"), "id", "left_anti")
         frontier = cut(new.select("id", F.lit(hop).alias("depth"), "sigma"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        reached.add(frontier)
         found = not frontier.where(F.col("id") == target).isEmpty()
+    seen = reached.rows()
     count = seen.where(F.col("id") == target).select(F.col("sigma").cast("long").alias("n_routes"), F.col("depth").cast("long").alias("length"))
     routes = spark.createDataFrame([(target, [target])], "at string, route array<string>") if found else spark.createDataFrame([], "at string, route array<string>")
     for d in range(hop - 1, -1, -1) if found else ():

@@ -5,15 +5,17 @@ position order only, never a walk."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..model import POS, Mapping, endpoints, with_positions
+from ..model import POS, GraphDoc, Mapping, endpoints, with_positions
 from ..operators import stats, traverse
 from ..operators.chain import Condition, walked_rows
+from ..operators.details import Recipe, replay
+from ..operators.overlay import Overlay, merge
 from ..plans.scratch import cut
 
 
@@ -117,3 +119,16 @@ class DataSource:
     def neighborhood(self, selection: Selection) -> DataFrame:
         """depth, new_nodes of the walk."""
         return self.reached(selection).groupBy("depth").agg(F.count("*").alias("new_nodes"))
+
+    def size(self, selection: Selection) -> DataFrame:
+        """One row: nodes, edges (counted up to one more than the limit) and truncated of what would be read."""
+        rows, nodes = self.selected(replace(selection, edge_limit=selection.edge_limit + 1))
+        edges = rows.limit(selection.edge_limit + 1).agg(F.count("*").alias("edges"))
+        return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges).withColumn("truncated", F.col("edges") > selection.edge_limit)
+
+    def rematerialize(self, selection: Selection, current: GraphDoc, overlay: Overlay, recipes: list[Recipe]) -> tuple[GraphDoc, DataFrame]:
+        """The selection read anew, with the edits of the document that came of it laid over and its metrics run again."""
+        fresh = self.materialize(selection)
+        doc = GraphDoc(cut(fresh.edges.drop("__s", "__t")), self.mapping, cut(with_positions(fresh.nodes.select("id"))), "id", False)
+        doc, report = merge(current, overlay, doc)
+        return replay(doc, recipes), report

@@ -111,6 +111,11 @@ def probe(path: str, sample: int = 65536) -> tuple[int, bool]:
     return max(0, round(lines * size / len(head)) - 1), False
 
 
+def _letters(k: int) -> str:
+    """A, B, ..., Z, AA, AB, ..."""
+    return (_letters(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+
+
 def parse_pasted(text: str) -> Parsed:
     """Delimited text: the first row is a header if its cells are distinct and filled."""
     text = text.lstrip("﻿")
@@ -124,7 +129,7 @@ def parse_pasted(text: str) -> Parsed:
     first = [c.strip() for c in rows[0]]
     header = all(first) and len(set(first)) == len(first) and not any(re.fullmatch(r"[+-]?\d+(\.\d+)?", c) for c in first)
     width = max(map(len, rows))
-    names = first + [f"Column {chr(65 + k % 26)}" for k in range(len(first), width)] if header else [f"Column {chr(65 + k % 26)}" for k in range(width)]
+    names = [*(first if header else []), *(f"Column {_letters(k)}" for k in range(len(first) if header else 0, width))]
     body = rows[1:] if header else rows
     if not body:
         raise ValueError("no rows")
@@ -160,6 +165,11 @@ def parse_json(text: str) -> Parsed:
         data = rows
     if isinstance(data, dict) and isinstance(data.get("links", data.get("edges")), list) and "nodes" in data:
         return _node_link(data)
+    if isinstance(data, dict) and (sheets := [v for v in data.values() if isinstance(v, list) and v and all(isinstance(r, dict) for r in v)]):
+        # An object of tables: the first is the edges, the second, if any, the nodes.
+        edges, *more = [_records(v) for v in sheets]
+        names = list(edges[0])
+        return Parsed(edges, more[0] if more else None, mapping=guess_mapping(names) if len(names) >= 2 else None)
     rows = _records(data if isinstance(data, list) else [data])
     if not rows:
         raise ValueError("no records")

@@ -209,6 +209,6 @@ def test_details(doc):
     assert {"pagerank", "coreness"} <= set(new.nodes.columns) and "alpha" in new.edges.columns and new.edges.count() == 9
     assert details.without_computed(new).nodes.columns == doc.nodes.columns
     assert {r["id"]: r["depth"] for r in details.node_depths(g.nodes, g.links).collect()} == {"z": 0, "e": 0, "f": 1, "b": 0, "a": 1, "c": 1, "d": 2}
-    assert details.guess_style(doc)["width"] == "w"
+    assert details.guess_style(doc).edge_color == "uniform"
     assert ids(details.centrality(g.nodes.select("id", "pos"), graph.weighted_links(g), "degree")) == set("abcdefz")
     assert details.in_view(doc.edges, g.rows, False).count() == 2

@@ -942,7 +942,7 @@ def metric_louvain(spark, d):
 @query()
 def metric_louvain_stability(spark, d):
     g = graph.base_graph(fg(spark, d))
-    return community.communities(g.nodes.select("id", "pos"), graph.weighted_links(g), stable=True).select("id", "community", "stability")
+    return community.communities(g.nodes.select("id", "pos"), graph.weighted_links(g), stable=True).select("id", "community", "stability", "method")
 
 
 @query()

@@ -8,6 +8,11 @@ from pyspark.sql import types as T
 
 _EDGE_SPACE = r"^[\s\p{Z}﻿]+|[\s\p{Z}﻿]+$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Spellings of dates that are read besides ISO ones.
+_DATES = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$", "MMMM d, yyyy"), (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", "d MMMM yyyy"),
+)
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -55,7 +60,8 @@ def time_of(c: Column, kind: T.DataType) -> Column:
         return F.unix_millis(c.cast("timestamp")).cast("double")
     if isinstance(kind, T.StringType):
         s = trim(c)
-        return F.coalesce(number_of(c, kind), F.when(s.rlike(r"\d"), F.unix_millis(F.try_to_timestamp(s)).cast("double")))
+        spelled = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(form))) for shape, form in _DATES]
+        return F.coalesce(number_of(c, kind), F.when(s.rlike(r"\d"), F.unix_millis(F.coalesce(F.try_to_timestamp(s), *spelled)).cast("double")))
     return number_of(c, kind)
 
 
@@ -169,3 +175,28 @@ def image_kind(c: Column) -> Column:
         F.when(s.rlike(r"(?i)^data:image/"), "data").when(s.rlike(r"(?i)^https?://"), "url").when(s.rlike(r"(?i)^<svg[\s>]"), "svg")
         .when(s.rlike(r"^(iVBORw0KGgo|/9j/|R0lGOD|UklGR|PHN2Zy)"), "base64")
     )
+
+
+# How pictures in base64 begin.
+_BASE64 = (("iVBORw0KGgo", "image/png"), ("/9j/", "image/jpeg"), ("R0lGO", "image/gif"), ("UklGR", "image/webp"), ("PHN2Z", "image/svg+xml"), ("PD94b", "image/svg+xml"))
+
+
+def image_source(c: Column) -> Column:
+    """What a cell gives to draw: picture data and http(s) urls as they are, markup and bare base64 as data, else null."""
+    s = trim(c)
+    packed = F.regexp_replace(s, r"\s+", "")
+    bare = F.length(packed) > 24
+    kind = F.lit(None).cast("string")
+    for head, mime in reversed(_BASE64):
+        kind = F.when(packed.startswith(head), F.lit(mime)).otherwise(kind)
+    whole = F.when(bare & packed.rlike(r"^[A-Za-z0-9+/=]+$") & kind.isNotNull(), F.concat(F.lit("data:"), kind, F.lit(";base64,"), packed))
+    markup = s.startswith("<") & s.rlike(r"(?i)<svg[\s>]") & s.rlike(r"(?i)</svg\s*>")
+    return (
+        F.when(s.rlike(r"(?i)^data:"), F.when(s.rlike(r"(?i)^data:image/[a-z0-9.+-]+[;,]"), s)).when(is_remote(s), s)
+        .when(markup, F.concat(F.lit("data:image/svg+xml;charset=utf-8,"), F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")))).otherwise(whole)
+    )
+
+
+def is_remote(c: Column) -> Column:
+    """Does drawing it ask another server?"""
+    return c.rlike(r"(?i)^https?://")

@@ -135,7 +135,9 @@ def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, sta
     ranks = ranked(nodes)
     pairs = cut(near.join(ranks.select(F.col("id").alias("v"), F.col("rank").alias("a")), "v").join(ranks.select(F.col("id").alias("n"), F.col("rank").alias("b")), "n").select("a", "b", "w"))
     if pairs.count() > most_pairs:
-        return _spread(ranks, pairs)
+        if stable:
+            raise ValueError(f"stability needs the exact method, which takes up to {most_pairs} pairs")
+        return _spread(ranks, pairs, resolution)
     whole = pairs.select(F.lit(0).alias("g"), F.lit(None).cast("string").alias("id"), "a", "b", "w").unionByName(ranks.select(F.lit(0).alias("g"), "id", F.col("rank").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -153,8 +155,19 @@ def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, sta
     return whole.groupBy("g").applyInPandas(run, "id string, community string, stability double, modularity double, method string")
 
 
-def _spread(ranks: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """Label spreading: the label with the most weight among neighbours, ties to the smaller."""
+def _modularity(pairs: DataFrame, labels: DataFrame, resolution: float) -> DataFrame:
+    """One row: modularity of labels (rank, label) over pairs (a, b, w)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rank"), "w").groupBy("rank").agg(F.sum("w").alias("strength"))
+    per = ends.join(labels, "rank").groupBy("label").agg(F.sum("strength").alias("x")).agg(F.sum(F.col("x") ** 2).alias("squares"))
+    both = pairs.join(labels.select(F.col("rank").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rank").alias("b"), F.col("label").alias("lb")), "b")
+    inside = both.agg(F.sum("w").alias("total"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inside"))
+    value = F.col("inside") / F.col("total") - resolution * F.col("squares") / (4 * F.col("total") ** 2)
+    return inside.crossJoin(per).select(F.when(F.col("total") > 0, value).otherwise(0.0).alias("modularity"))
+
+
+def _spread(ranks: DataFrame, pairs: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
+    """Label spreading: the label with the most weight among neighbours, ties to the smaller; at most `rounds` rounds.
+    The resolution only counts in the modularity that is told."""
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     state = cut(ranks.select("id", "rank", F.col("rank").alias("label")))
     for k in range(rounds):
@@ -166,4 +179,5 @@ def _spread(ranks: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
         state = new.drop("was")
         if k and new.where("label <> was").isEmpty():
             break
-    return state.select("id", F.col("label").cast("string").alias("community"), F.lit(None).cast("double").alias("stability"), F.lit(None).cast("double").alias("modularity"), F.lit("label spreading").alias("method"))
+    told = state.crossJoin(F.broadcast(_modularity(pairs, state.select("rank", "label"), resolution)))
+    return told.select("id", F.col("label").cast("string").alias("community"), F.lit(None).cast("double").alias("stability"), "modularity", F.lit("label spreading").alias("method"))

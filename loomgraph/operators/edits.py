@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import cells
@@ -99,7 +100,10 @@ def fill_column(df: DataFrame, column: str, value, only_blanks: bool = True) ->
 
 def replace_in_column(df: DataFrame, column: str, find: str, by: str, **how) -> DataFrame:
     """Text cells with what was found replaced; blank cells stay."""
-    return df.withColumn(column, F.when(cells.cell_id(df, column).isNull(), F.col(column)).otherwise(cells.replace_expr(cells.text(df, column), find, by, **how)))
+    kind = df.schema[column].dataType
+    new = cells.replace_expr(cells.text(df, column), find, by, **how)
+    new = new if isinstance(kind, T.StringType) else new.try_cast(kind)  # read again as the column's type
+    return df.withColumn(column, F.when(cells.cell_id(df, column).isNull(), F.col(column)).otherwise(new))
 
 
 def replace_count(df: DataFrame, column: str, find: str, by: str, **how) -> DataFrame:

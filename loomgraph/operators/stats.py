@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells
 from ..model import POS
+from ..plans.scratch import cut, dropped
 
 
 def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
@@ -31,11 +35,12 @@ def histogram(df: DataFrame, column: str, bins: int = 24, time: bool = False) ->
     return counted.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), "n")
 
 
-def breakdown(df: DataFrame, by: str, measure: str | None = None, how: str = "count") -> DataFrame:
+def breakdown(df: DataFrame, by: str, measure: str | None = None, how: str = "count", limit: int | None = None) -> DataFrame:
     """key, value: counts, sums, or averages over all rows of the group (missing numbers count as 0)."""
     total = F.sum(F.coalesce(cells.num(df, measure), F.lit(0.0))) if measure else None
     value = {"count": lambda: F.count("*").cast("double"), "sum": lambda: total, "avg": lambda: total / F.count("*")}[how]()
-    return df.groupBy(cells.cell_key(df, by).alias("key")).agg(value.alias("value")).orderBy(F.desc("value"), "key")
+    out = df.groupBy(cells.cell_key(df, by).alias("key")).agg(value.alias("value")).orderBy(F.desc("value"), "key")
+    return out.limit(limit) if limit is not None else out
 
 
 def group_table(df: DataFrame, by: str, column: str) -> DataFrame:
@@ -44,6 +49,12 @@ def group_table(df: DataFrame, by: str, column: str) -> DataFrame:
     return df.groupBy(cells.cell_key(df, by).alias("key")).agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
+def group_tables(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """key, n, and of each column its sum, avg, min and max (NAME_sum, ...) over the numeric cells: one pass."""
+    aggs = [f(cells.num(df, c)).alias(f"{c}_{name}") for c in columns for name, f in (("sum", F.sum), ("avg", F.avg), ("min", F.min), ("max", F.max))]
+    return df.groupBy(cells.cell_key(df, by).alias("key")).agg(F.count("*").alias("n"), *aggs)
+
+
 def groupable(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
     """column_name, values, groupable: are there at most `limit` values (max(40, half of the rows) unless given)?"""
     counts = df.agg(F.count("*").alias("__n"), *[F.count_distinct(cells.cell_key(df, c)).alias(c) for c in columns])
@@ -92,6 +103,33 @@ def search_first(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     return df.withColumn("hit", hit(df, columns, query)).orderBy(F.desc("hit"), POS)
 
 
+def search_only(df: DataFrame, columns: list[str], query: str) -> DataFrame:
+    """Only the rows that contain the text: the form of the search in a grouped table."""
+    return df.where(hit(df, columns, query))
+
+
+def sort_rows(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows by a column: numbers by value, text with the digits in it by theirs; blank cells last, ties as they stood."""
+    number = isinstance(df.schema[column].dataType, T.NumericType)
+    key = cells.num(df, column) if number else natural_key(cells.cell_id(df, column))
+    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), POS)
+
+
+class Remembered:
+    """Statistics of a table's columns, worked out once for each version of the table and kept as small tables."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.held = most, {}
+
+    def get(self, df: DataFrame, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        key = (id(df), name)
+        if key not in self.held:
+            while len(self.held) >= self.most:
+                dropped(self.held.pop(next(iter(self.held)))[1])
+            self.held[key] = (df, cut(work(df)))  # holding the table keeps its id its own
+        return self.held[key][1]
+
+
 def search_nodes(nodes: DataFrame, query: str, limit: int = 12, exclude: tuple[str, ...] = ()) -> DataFrame:
     """id, label of nodes whose id or label contains the text; those that begin with it first."""
     low = F.lit(query.lower())
@@ -103,7 +141,9 @@ def search_nodes(nodes: DataFrame, query: str, limit: int = 12, exclude: tuple[s
 
 def natural_key(c: Column) -> Column:
     """Sorts digits inside text by their value."""
-    return F.regexp_replace(F.lower(c), r"(\d+)", "0000000000000000$1").substr(F.lit(1), F.length(c) + 64)
+    value = lambda run: F.regexp_replace(run, "^0+(?=.)", "")
+    padded = lambda run: F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(value(run)).cast("string"), 6, "0"), value(run))).otherwise(run)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1)), padded), "")
 
 
 def time_columns(df: DataFrame, columns: list[str], sample: int = 50) -> list[str]:

@@ -241,7 +241,7 @@ def style_nodes(graph: BaseGraph, doc: GraphDoc, style: Style) -> DataFrame:
     if label and (told := own_label(label)) is not None:
         nodes = nodes.drop("label").join(told, "id", "left").withColumn("label", F.coalesce("label", "id"))
     if image:
-        nodes = _with_value(nodes, category_attribute(doc, ends, image), "__i").withColumn("image", F.when(cells.image_kind(F.col("__i")).isNotNull(), cells.trim(F.col("__i"))))
+        nodes = _with_value(nodes, category_attribute(doc, ends, image), "__i").withColumn("image", cells.image_source(F.col("__i")))
 
     floor, span, uniform = (8.0, 20.0, 13.0) if image else (4.5, 17.0, 8.0)
     if size and style.node_size.startswith("cell:"):
@@ -267,7 +267,7 @@ def style_nodes(graph: BaseGraph, doc: GraphDoc, style: Style) -> DataFrame:
         nodes = nodes.withColumns({
             "color": F.coalesce(_per_kind(styles, "color", kind), "color"),
             "radius": F.coalesce(_clamped(_per_kind(styles, "size", kind).cast("double"), CELL_RADIUS), "radius"),
-            "image": F.coalesce(_per_kind(styles, "image", kind), "image"),
+            "image": F.coalesce(cells.image_source(_per_kind(styles, "image", kind).cast("string")), "image"),
         })
         for c in dict.fromkeys(s.label_column for s in styles.values() if s.label_column):
             if (told := own_label(c)) is not None:

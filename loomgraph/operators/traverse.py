@@ -41,12 +41,15 @@ def arms(links: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "any": out.unionByName(back)}[direction].distinct()
 
 
-def reach(links: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "any") -> DataFrame:
-    """id, depth of what is reached from the seeds (a table with id) in `depth` hops, or in any number."""
+def reach(links: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "any", budget: int | None = None) -> DataFrame:
+    """id, depth of what is reached from the seeds (a table with id) in `depth` hops, or in any number. A walk that has
+    reached more than `budget` nodes goes no further hop."""
     steps = cut(arms(links, direction))
     frontier, hop = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0))), 0
-    seen = _Seen(frontier)
+    seen, n = _Seen(frontier), 0
     while depth is None or hop < depth:
+        if budget is not None and (n := n + frontier.count()) > budget:
+            break
         hop += 1
         new = steps.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.rows().select("id"), "id", "left_anti")
         frontier = cut(new.withColumn("depth", F.lit(hop)))

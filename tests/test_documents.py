@@ -1,13 +1,17 @@
 """Overlays, columns, styles, projections, layers, chains' plans: on the small cases that the survey lists."""
 
+import json
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import cells, display
 from loomgraph.model import POS, Mapping, build_doc, first_rows, guess_mapping
-from loomgraph.operators import chain, columns, details, edits, graph, metrics, overlay, style, transforms, traverse
+from loomgraph.operators import arrange, chain, columns, community, details, edits, graph, metrics, overlay, stats, style, transforms, traverse
 from loomgraph.operators.chain import Condition, Step, apply_chain
 from loomgraph.plans import scratch
+from loomgraph.sources import workspace as W
 from loomgraph.sources.datasource import DataSource, Selection
 
 
@@ -224,3 +228,70 @@ def test_scratch_is_removed(spark):
         assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
     assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
     assert first_rows(spark.createDataFrame([("a", 1, 0), ("a", 2, 1)], f"id string, x int, {POS} long"), "id").collect()[0]["x"] == 1
+
+
+def test_workspaces(spark, base):
+    look = style.Style(node_color="cell:Team", node_types=("Team", {"red": style.TypeStyle(color="#112233", attrs=("Team",))}))
+    steps = [Step("column", table="nodes", condition=Condition("Team", selected=("red",))), Step("ego", centers=("A",), depth=2, invert=True)]
+    doc = columns.set_role(base, "nodes", "Team", "color")
+    delta = overlay.diff(base, team(base, "green", "A"))
+    held = W.Workspace(doc, steps, look, "grid", True, {"A": (1.239, 2.0)}, ("A",), (details.Recipe("degree"),), delta, {"url": "https://x.org/a.parquet", "depth": 99, "edgeLimit": 0})
+    text = W.write(held)
+    back = W.read(spark, text)
+    assert back.chain == steps and back.style == look and (back.layout, back.show_isolated, back.pinned, back.recipes) == ("grid", True, ("A",), (details.Recipe("degree"),))
+    assert back.positions == {"A": (1.24, 2.0)} and back.doc.roles == doc.roles and back.doc.mapping == doc.mapping and overlay.to_json(back.edits) == overlay.to_json(delta)
+    assert (back.source["depth"], back.source["edgeLimit"]) == (6, 1)
+    assert rows(back.doc.edges, "Source", "Weight") == rows(base.edges, "Source", "Weight") and back.doc.edges.dtypes == base.edges.select("Source", "Target", "Weight", POS).dtypes
+    odd = json.loads(text) | {"chain": [{"kind": "smell"}, {"kind": "degree", "low": 2}, 5], "layout": "nowhere", "style": {"node_color": 5}, "computed": [{"metric": "x"}], "source": {"url": "https://u:p@x.org/"}}
+    back = W.read(spark, json.dumps(odd))
+    assert back.chain == [Step("degree", low=2)] and back.layout == "force" and back.style == style.Style() and back.recipes == () and back.source is None
+    for bad in ("no", "{}", json.dumps(odd | {"version": 99}), json.dumps(odd | {"doc": {"edges": {}}})):
+        with pytest.raises(ValueError):
+            W.read(spark, bad)
+    made = W.build(base.edges, base.nodes, roles={"Team": "color"}, color="Team", edge_width="Weight", layout="circle")
+    assert made.style.node_color == "cell:Team" and made.style.edge_width == "column:Weight"
+    for wrong in ({"color": "Smell"}, {"layout": "nowhere"}, {"roles": {"Team": "smell"}}, {"label": "Weight"}):
+        with pytest.raises(ValueError):
+            W.build(base.edges, base.nodes, **wrong)
+    now, report = W.update(W.replace(held, doc=team(doc, "green", "A")), base.edges.drop("Weight"), team(base, "purple", "A", "B").nodes)
+    assert rows(now.doc.nodes, "Id", "Team", "degree") == [("A", "green", 1), ("B", "purple", 2), ("C", "blue", 1)] and report.first()["edits_kept"] == 1 and now.doc.mapping.attrs == ()
+    assert W.same_source(W.source_ref("a", 3), {"name": "a", "size": 3}) and not W.same_source(W.source_ref("a", 3), W.source_ref("a", 3, "https://x.org/a"))
+
+
+def test_tables_and_pictures(spark):
+    df = spark.createDataFrame([("item 10", 1.0, 0), ("item 9", 3.0, 1), (None, 2.0, 2), ("Item 2", None, 3)], f"a string, b double, {POS} long")
+    assert [r["a"] for r in stats.sort_rows(df, "a").collect()] == ["Item 2", "item 9", "item 10", None]
+    assert [r["b"] for r in stats.sort_rows(df, "b", True).collect()] == [3.0, 2.0, 1.0, None] and stats.search_only(df, ["a"], "ITEM 9").count() == 1
+    one = stats.group_tables(df.withColumn("g", F.lit("x")), "g", ["b", "a"]).first()
+    assert (one["n"], one["b_sum"], one["b_avg"], one["a_max"]) == (4, 6.0, 2.0, None)
+    calls, held = [], stats.Remembered(1)
+    work = lambda t: calls.append(1) or stats.numeric_range(t, "b")
+    assert held.get(df, "b", work).first()["high"] == held.get(df, "b", work).first()["high"] == 3.0 and len(calls) == 1
+    assert [r["b"] for r in edits.replace_in_column(df, "b", "3", "7").orderBy(POS).collect()] == [1.0, 7.0, 2.0, None]
+    cells_ = ["data:image/png;base64,AAAA", "data:text/plain,x", "https://x.org/a.png", "<svg width='1'></svg>", "iVBORw0KGgo" + "A" * 30, "word", None]
+    got = [r[0] for r in spark.createDataFrame([(c, k) for k, c in enumerate(cells_)], "c string, k int").orderBy("k").select(cells.image_source(F.col("c"))).collect()]
+    assert got == [cells_[0], None, cells_[2], "data:image/svg+xml;charset=utf-8,%3Csvg%20width%3D%271%27%3E%3C%2Fsvg%3E", f"data:image/png;base64,{cells_[4]}", None, None]
+    dates = spark.createDataFrame([("2024-01-02",), ("1/2/2024",), ("2024/01/02",), ("Jan 2, 2024",), ("2 January 2024",), ("no date 5",)], "c string")
+    assert [r[0] for r in dates.select(cells.tms(dates, "c")).collect()] == [1704153600000.0] * 5 + [None]
+
+
+def test_drawings_and_large_graphs(spark):
+    pairs = [(f"n{k}", f"n{(k * 3 + 1) % 30}") for k in range(30)]
+    links = spark.createDataFrame(pairs, "s string, t string").withColumn("w", F.lit(1.0))
+    nodes = spark.createDataFrame([(f"n{k}", f"a label {k}", 5.0) for k in range(30)], "id string, group string, radius double")
+    for kind in ("springs", "force labels"):
+        at = np.array([(r["x"], r["y"]) for r in arrange.layout(nodes, kind, links).collect()])
+        gaps = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) + 99 * np.eye(30)
+        assert np.isfinite(at).all() and gaps.min() > 9.5
+    placed = nodes.select("id", F.monotonically_increasing_id().alias("pos"))
+    large = community.communities(placed, links, most_pairs=1).collect()
+    labels = {r["id"]: int(r["community"]) for r in large}
+    ids = sorted(labels)
+    held = {tuple(sorted((ids.index(a), ids.index(b)))) for a, b in pairs if a != b}
+    weight = lambda a, b: sum(1.0 for x, y in pairs if {x, y} == {ids[a], ids[b]})
+    want = community.modularity(30, [(a, b, weight(a, b)) for a, b in held], [labels[i] for i in ids])
+    assert large[0]["method"] == "label spreading" and abs(large[0]["modularity"] - want) < 1e-9
+    with pytest.raises(ValueError):
+        community.communities(placed, links, stable=True, most_pairs=1)
+    chain_ = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(10)], "s string, t string")
+    assert traverse.reach(chain_, spark.createDataFrame([("n0",)], "id string"), None, "out", budget=3).count() == 4

@@ -47,7 +47,7 @@ def test_query(spark, con, name):
     assert sorted((tuple(_norm(r[n]) for n in order) for r in rows), key=str) == expected
 
 
-@pytest.mark.parametrize("name", ["project_sources_budget", "project_targets_budget"])
+@pytest.mark.parametrize("name", ["project_sources", "project_targets"])
 def test_projection_spends_its_budget(spark, name):
     d = "/root/testdata/sf0.01"
     c = duckdb.connect()

@@ -930,7 +930,7 @@ def node_depths(spark, d):
     return details.node_depths(g.nodes, g.links)
 
 
-# ---- what SQL can't express: tests hold these against other versions
+# ---- what SQL can't express: tests look at optima, distances and invariants instead
 
 
 @query()

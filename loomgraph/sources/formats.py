@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..model import POS, GraphDoc, Mapping, build_doc, guess_mapping, with_positions
+from ..operators import columns, stats
 
 #: Characters that a link's payload may unpack to.
 MAX_UNPACKED = 64 << 20
@@ -62,14 +63,49 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     elif kind == ".json":
         df = with_positions(spark.read.json(path, multiLine=True))
     elif kind in (".xlsx", ".xls", ".xlsm", ".ods"):
-        import pandas as pd
-
-        df = with_positions(spark.createDataFrame(pd.read_excel(path, dtype=str)))
+        df = next(iter(read_sheets(spark, path).values()))
     else:
         raise ValueError(f"no reader for {kind or path}")
     return df if limit is None else df.orderBy(POS).limit(limit)
 
 
+def sheet_tables(spark: SparkSession, sheets: dict[str, Any]) -> dict[str, DataFrame]:
+    """Tables by sheet name, of the pandas frames that have a row and two columns at least; none is an error."""
+    good = {name: frame for name, frame in sheets.items() if len(frame.columns) >= 2 and len(frame)}
+    if not good:
+        raise ValueError("no sheet has a header, two columns and a row")
+    return {name: with_positions(spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"`{c}` string" for c in frame.columns))) for name, frame in good.items()}
+
+
+def read_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Every usable sheet of a spreadsheet (pandas and its reader for the kind are needed), cells as text."""
+    import pandas as pd
+
+    return sheet_tables(spark, pd.read_excel(path, dtype=str, sheet_name=None))
+
+
+def read_capped(spark: SparkSession, path: str, limit: int = WORKING_SET) -> tuple[DataFrame, int, bool]:
+    """The first rows of a table, how many it has, and if some were left out; a table without rows is an error."""
+    df = read_table(spark, path)
+    total = df.count()
+    if not total:
+        raise ValueError("the table has no rows")
+    return df.orderBy(POS).limit(limit), total, total > limit
+
+
+def visible_csv(df: DataFrame, order: list[str], hidden: tuple[str, ...] = (), by: str | None = None, descending: bool = False) -> str:
+    """The table as it is shown: its columns in their order, rows sorted as chosen, cells safe for spreadsheets."""
+    shown = columns.visible(stats.sort_rows(df, by, descending) if by else df.orderBy(POS), order, hidden)
+    out = io.StringIO()
+    rows = csv.writer(out, lineterminator="\r\n")
+    rows.writerow(shown.columns)
+    safe = shown.select(*[safe_cell(cells.text(shown, c)).alias(c) for c in shown.columns]).limit(WORKING_SET + 1).collect()
+    if len(safe) > WORKING_SET:
+        raise ValueError(f"more than {WORKING_SET} rows: write the table as files instead")
+    rows.writerows(["" if v is None else v for v in r] for r in safe)
+    return out.getvalue()
+
+
 def create_view(df: DataFrame, name: str) -> None:
     """Lets SQL read the table by name."""
     df.drop(POS).createOrReplaceTempView(name)

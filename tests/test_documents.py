@@ -295,3 +295,48 @@ def test_drawings_and_large_graphs(spark):
         community.communities(placed, links, stable=True, most_pairs=1)
     chain_ = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(10)], "s string, t string")
     assert traverse.reach(chain_, spark.createDataFrame([("n0",)], "id string"), None, "out", budget=3).count() == 4
+
+
+def test_communities_are_optimal_and_drawn_apart(spark):
+    four = ["a", "b", "c", "d"]
+    edges = [(f"{x}{g}", f"{y}{g}") for g in "12" for x in four for y in four if x < y] + [("a1", "a2")]
+    links = spark.createDataFrame(edges, "s string, t string").withColumn("w", F.lit(1.0))
+    nodes = spark.createDataFrame([(f"{x}{g}", k) for k, (g, x) in enumerate((g, x) for g in "12" for x in four)], "id string, pos long")
+    got = community.communities(nodes, links, stable=True).collect()
+    label = {r["id"]: r["community"] for r in got}
+    assert len(set(label.values())) == 2 and len({label[f"{x}1"] for x in four}) == 1 and {r["stability"] for r in got} == {1.0}
+
+    def modularity(of):
+        degree = {n: sum(n in e for e in edges) for n in of}
+        m = len(edges)
+        inside = sum(of[x] == of[y] for x, y in edges) / m
+        return inside - sum(degree[x] * degree[y] for x in of for y in of if of[x] == of[y]) / (4 * m * m)
+
+    best = modularity(label)
+    assert abs(got[0]["modularity"] - best) < 1e-9 and 0.3 < best < 0.5
+    assert all(modularity(label | {n: c}) <= best + 1e-12 for n in label for c in set(label.values()))
+    packed = arrange.layout(nodes.select("id", F.substring("id", 2, 1).alias("group"), (F.lit(4.0) + F.col("pos")).alias("radius")), "circlepack").collect()
+    at, r = np.array([(p["x"], p["y"]) for p in packed]), np.array([4.0 + {x["id"]: x["pos"] for x in nodes.collect()}[p["id"]] for p in packed])
+    far = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) + 999 * np.eye(8)
+    assert (far >= r[:, None] + r[None] - 1e-9).all()
+
+
+def test_sheets_and_shown_tables(spark, tmp_path):
+    import pandas as pd
+
+    from loomgraph.sources import formats
+
+    tables = formats.sheet_tables(spark, {"Edges": pd.DataFrame({"a": ["x", None], "b": ["y", "z"]}), "One": pd.DataFrame({"a": ["x"]}), "None": pd.DataFrame()})
+    assert list(tables) == ["Edges"] and rows(tables["Edges"], "a", "b") == [("x", "y"), (None, "z")]
+    with pytest.raises(ValueError):
+        formats.sheet_tables(spark, {"One": pd.DataFrame({"a": ["x"]})})
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 3.0)], "a string, b double").coalesce(1).write.parquet(path)
+    few, total, cut_off = formats.read_capped(spark, path, 2)
+    assert (few.count(), total, cut_off) == (2, 3, True) and formats.read_capped(spark, path)[2] is False
+    shown = spark.createDataFrame([("=1+1", 2.0, 0), ("plain, cell", 10.0, 1)], f"a string, b double, {POS} long")
+    assert formats.visible_csv(shown, ["b", "a"], by="b", descending=True) == 'b,a\r\n10,"plain, cell"\r\n2,\'=1+1\r\n'
+    assert formats.visible_csv(shown, [], hidden=("b",)).splitlines()[0] == "a"
+    assert formats.parse_pasted("\n".join("\t".join("1" for _ in range(28)) for _ in range(2))).mapping.source == "Column A"
+    book = formats.parse_json(json.dumps({"Edges": [{"from": "a", "to": "b"}], "Nodes": [{"id": "a"}], "note": "x"}))
+    assert book.edges == [{"from": "a", "to": "b"}] and book.nodes == [{"id": "a"}]

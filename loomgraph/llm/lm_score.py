@@ -173,7 +173,8 @@ class _Scorer:
         pairs, repeats = np.unique(text[other] * max(1, len(new)) + at[other] - len(words), return_counts=True)
         hashes = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in new], np.uint64).astype(np.int64)
         ends = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(new)))
-        return sizes, np.bincount(text[~other], minlength=n), np.bincount(text, bonus[at], n), np.bincount(text, marginal[at], n), ends, hashes[pairs % max(1, len(new))], repeats
+        sums = [np.bincount(text, values[at], n).astype(np.float64) for values in (bonus, marginal)]  # whole numbers where no text has words
+        return sizes, np.bincount(text[~other], minlength=n), *sums, ends, hashes[pairs % max(1, len(new))], repeats
 
 
 class _Places(dict):

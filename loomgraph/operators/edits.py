@@ -6,10 +6,11 @@ rows survive, deletions hold."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import cells
 from ..model import POS, GraphDoc, occurrence, reconcile
@@ -19,8 +20,16 @@ from ..model import POS, GraphDoc, occurrence, reconcile
 LONG_LIST = 100_000
 
 
-def _positions(df: DataFrame, rows: list[int] | None) -> Column:
-    return F.lit(True) if rows is None else F.col(POS).isin(rows)
+def _listed(df: DataFrame, rows: list[int]) -> DataFrame:
+    listed = df.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(rows)], "__listed long")
+    return F.broadcast(listed) if len(rows) <= LONG_LIST else listed
+
+
+def _positions(df: DataFrame, rows: list[int] | None) -> tuple[DataFrame, Column]:
+    """The table with what is needed to tell the rows at these positions, and the condition that does."""
+    if rows is None:
+        return df, F.lit(True)
+    return df.join(_listed(df, rows), F.col(POS) == F.col("__listed"), "left"), F.col("__listed").isNotNull()
 
 
 def set_cell(doc: GraphDoc, table: str, pos: int, column: str, value) -> GraphDoc:
@@ -35,28 +44,86 @@ def set_cell(doc: GraphDoc, table: str, pos: int, column: str, value) -> GraphDo
     return reconcile(doc.with_(edges=new)) if table == "edges" else doc.with_(nodes=new)
 
 
-def rename_nodes(doc: GraphDoc, names: dict[str, str]) -> GraphDoc:
-    """Renames ids in both tables; rows that then share an id become one, its first non-blank cells winning."""
-    lookup = doc.edges.sparkSession.createDataFrame(list(names.items()), "__old string, __new string")
+def _renamed(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
+    """The column with its ids' new names. lookup: __old, __new, and what else is to stay beside the rows."""
+    keyed = df.withColumn("__id", cells.cell_id(df, column))
+    joined = keyed.join(lookup, F.col("__id") == F.col("__old"), "left")
+    return joined.withColumn(column, F.coalesce("__new", cells.text(df, column))).drop("__id", "__old", "__new")
 
-    def renamed(df: DataFrame, column: str) -> DataFrame:
-        keyed = df.withColumn("__id", cells.cell_id(df, column))
-        joined = keyed.join(F.broadcast(lookup) if len(names) <= LONG_LIST else lookup, F.col("__id") == F.col("__old"), "left")
-        return joined.withColumn(column, F.coalesce("__new", cells.text(df, column))).drop("__id", "__old", "__new")
 
-    edges = renamed(renamed(doc.edges, doc.mapping.source), doc.mapping.target)
-    nodes = None if doc.nodes is None else coalesce_by_id(renamed(doc.nodes, doc.node_id), doc.node_id)
-    return doc.with_(edges=edges, nodes=nodes)
+def _with_names(doc: GraphDoc, lookup: DataFrame, by: Column) -> GraphDoc:
+    ends = lookup.select("__old", "__new")
+    edges = _renamed(_renamed(doc.edges, doc.mapping.source, ends), doc.mapping.target, ends)
+    if doc.nodes is None:
+        return doc.with_(edges=edges)
+    return doc.with_(edges=edges, nodes=coalesce_by_id(_renamed(doc.nodes, doc.node_id, lookup), doc.node_id, by).select(*doc.nodes.columns))
 
 
-def coalesce_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
-    """One row an id, at the first one's place, each cell the first that isn't null."""
-    keyed = nodes.withColumn("__id", cells.cell_id(nodes, node_id))
-    blank = keyed.where("__id IS NULL").drop("__id")
-    others = [c for c in nodes.columns if c not in (node_id, POS)]
-    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(POS)))
-    merged = keyed.where("__id IS NOT NULL").groupBy("__id").agg(F.min(POS).alias(POS), *[first(c).alias(c) for c in others])
-    return merged.withColumnRenamed("__id", node_id).select(*nodes.columns).unionByName(blank.select(*nodes.columns).withColumn(node_id, F.col(node_id).cast("string")))
+def rename_nodes(doc: GraphDoc, names: dict[str, str]) -> GraphDoc:
+    """Renames ids in both tables, all at once; rows that then share an id become one, its first non-blank cells winning."""
+    lookup = doc.edges.sparkSession.createDataFrame(list(names.items()), "__old string, __new string")
+    return _with_names(doc, F.broadcast(lookup) if len(names) <= LONG_LIST else lookup, F.col(POS))
+
+
+def closed(renames: Sequence[tuple[str, str]]) -> dict[str, str]:
+    """What each id is called after the renames, made one after the other: a rename sees only those before it."""
+    last: dict[str, str] = {}
+    for old, new in reversed(renames):
+        last[old] = last.get(new, new)
+    return last
+
+
+def merge_ranks(renames: Sequence[tuple[str, str]], places: dict[str, int]) -> dict[str, int]:
+    """For each id with a place (the position of its first row): its rank among those that end up as one. Where two rows
+    met, what was made of the row that stood first comes before what was made of the other, whatever merged before."""
+    at = {i: (place, i, i) for i, place in places.items()}  # by name: place, first and last id of a linked list
+    after: dict[str, str] = {}
+    for old, new in renames:
+        if old == new or old not in at:
+            continue
+        moved, there = at.pop(old), at.get(new)
+        if there is not None:
+            moved, there = sorted((moved, there))
+            after[moved[2]] = there[1]
+            moved = (moved[0], moved[1], there[2])
+        at[new] = moved
+    ranks = {}
+    for _, first, _ in at.values():
+        rank, i = 0, first
+        while i is not None:
+            ranks[i], rank, i = rank, rank + 1, after.get(i)
+    return ranks
+
+
+def rename_series(doc: GraphDoc, renames: Sequence[tuple[str, str]]) -> GraphDoc:
+    """The same as one `rename_nodes` after the other, as one join a table: the series is closed first, and rows that
+    become one give their cells in the order in which they would have met. What the driver holds are the renames and
+    the places of the ids that they name."""
+    renames = [(old, new) for old, new in renames if old != new]
+    if not renames:
+        return doc
+    last = closed(renames)
+    spark, names = doc.edges.sparkSession, sorted({i for pair in renames for i in pair})
+    ranks: dict[str, int] = {}
+    if doc.nodes is not None:
+        listed = spark.createDataFrame([(i,) for i in names], "__named string")
+        listed = F.broadcast(listed) if len(names) <= LONG_LIST else listed
+        rows = doc.nodes.select(cells.cell_id(doc.nodes, doc.node_id).alias("__id"), POS).join(listed, F.col("__id") == F.col("__named"))
+        ranks = merge_ranks(renames, {r["__id"]: r["place"] for r in rows.groupBy("__id").agg(F.min(POS).alias("place")).collect()})
+    lookup = spark.createDataFrame([(i, last.get(i, i), ranks.get(i, 0)) for i in names], "__old string, __new string, __rank long")
+    return _with_names(doc, F.broadcast(lookup) if len(names) <= LONG_LIST else lookup, F.struct(F.coalesce("__rank", F.lit(0)), F.col(POS)))
+
+
+def coalesce_by_id(nodes: DataFrame, node_id: str, by: Column | None = None) -> DataFrame:
+    """One row an id, at the first one's place, each cell the first that isn't null, in the order of `by` (places)."""
+    by, names = F.col(POS) if by is None else by, [c for c in nodes.columns if c != "__rank"]
+    whole = F.col("__id").isNotNull()
+    # A blank row stands for itself: its place keys it.
+    keyed = nodes.withColumn("__id", cells.cell_id(nodes, node_id)).withColumn("__own", F.when(~whole, F.col(POS))).withColumn("__by", by)
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__by")))
+    blank = F.first(F.col(node_id).cast("string"))
+    merged = keyed.groupBy("__id", "__own").agg(F.min(POS).alias(POS), blank.alias("__blank"), *[first(c).alias(c) for c in names if c not in (node_id, POS)])
+    return merged.withColumn(node_id, F.coalesce("__id", "__blank")).select(*names)
 
 
 def delete_nodes(doc: GraphDoc, ids: list[str]) -> GraphDoc:
@@ -69,9 +136,9 @@ def delete_nodes(doc: GraphDoc, ids: list[str]) -> GraphDoc:
 
 
 def delete_rows(doc: GraphDoc, table: str, positions: list[int]) -> GraphDoc:
-    if table == "edges":
-        return doc.with_(edges=doc.edges.where(~F.col(POS).isin(positions)))
-    return doc.with_(nodes=doc.nodes.where(~F.col(POS).isin(positions)))
+    df = doc.edges if table == "edges" else doc.nodes
+    left = df.join(_listed(df, positions), F.col(POS) == F.col("__listed"), "left_anti")
+    return doc.with_(edges=left) if table == "edges" else doc.with_(nodes=left)
 
 
 def add_row(doc: GraphDoc, table: str, values: dict) -> GraphDoc:
@@ -89,7 +156,8 @@ def free_node_id(doc: GraphDoc, stem: str = "node") -> str:
 
 
 def map_column(df: DataFrame, column: str, value: Column, rows: list[int] | None = None) -> DataFrame:
-    return df.withColumn(column, F.when(_positions(df, rows), value).otherwise(F.col(column)))
+    marked, there = _positions(df, rows)
+    return marked.withColumn(column, F.when(there, value).otherwise(F.col(column))).select(*df.columns)
 
 
 def fill_column(df: DataFrame, column: str, value, only_blanks: bool = True) -> DataFrame:
@@ -213,12 +281,6 @@ def merge(doc: GraphDoc, base: DataFrame, current: DataFrame, incoming: DataFram
     return whole.where(stays).select(*[value(k).alias(c) for k, c in enumerate(columns)], origin.alias("__from"))
 
 
-def running_first(df: DataFrame, column: str, by: str) -> DataFrame:
-    """The first non-null value so far of each group, in position order."""
-    over = Window.partitionBy(by).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(f"{column}_first", F.first(column, ignorenulls=True).over(over))
-
-
 class History:
     """Undo and redo over immutable documents: `depth` steps, fewer (but `least`) where their rows exceed `budget`."""
 

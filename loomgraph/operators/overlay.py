@@ -24,6 +24,8 @@ KEY = ["tbl", "k1", "k2", "occ"]
 _KEYS = "tbl string, k1 string, k2 string, occ long"
 #: Renames of one overlay.
 MOST_RENAMES = 100_000
+#: Edited cells, deleted or added rows that are written as one document.
+MOST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -113,8 +115,16 @@ def _row_changes(a: DataFrame, b: DataFrame, compared: dict[str, str]) -> tuple[
     return dirty, both.where("b_ IS NULL").select(*KEY), both.where("a_ IS NULL").select(*KEY)
 
 
+def _held(doc: GraphDoc) -> GraphDoc:
+    """The document with its tables written once, for all that is to be read off it."""
+    if hasattr(doc.edges, "_cut_path") and hasattr(doc.nodes, "_cut_path"):
+        return doc
+    return doc.with_(edges=cut(doc.edges), nodes=cut(doc.nodes))
+
+
 def diff(before: GraphDoc, after: GraphDoc) -> Overlay:
     """The overlay of one edit, from the versions before and after it."""
+    before, after = _held(before), _held(after)
     node_ops, node_names = _column_changes("nodes", before.nodes, after.nodes, _own(before.nodes, before), _own(after.nodes, after))
     edge_ops, edge_names = _column_changes("edges", before.edges, after.edges, _own(before.edges, before), _own(after.edges, after))
     renames = _renames(before, after)
@@ -135,12 +145,11 @@ def diff(before: GraphDoc, after: GraphDoc) -> Overlay:
 
 def _moved(df: DataFrame, renames: tuple[tuple[str, str], ...]) -> DataFrame:
     """Keys after the renames, made one after the other."""
-    to: dict[str, str] = {}
-    for old, new in renames:
-        to = {k: new if v == old else v for k, v in to.items()} | {old: new}
+    to = edits.closed(renames)
     if not to:
         return df
     lookup = df.sparkSession.createDataFrame(list(to.items()), "__old string, __new string")
+    lookup = F.broadcast(lookup) if len(to) <= edits.LONG_LIST else lookup
     for k in ("k1", "k2"):
         df = df.join(lookup, F.col(k) == F.col("__old"), "left").withColumn(k, F.coalesce("__new", k)).drop("__old", "__new")
     return df.distinct()
@@ -186,9 +195,10 @@ def _laid(staged: DataFrame, current: DataFrame, overlay: Overlay, names: list[s
 def merge(current: GraphDoc, overlay: Overlay, incoming: GraphDoc) -> tuple[GraphDoc, DataFrame]:
     """The incoming document with what the overlay holds of the current one, and a report of one row: updated, added,
     edits_kept, deletions_held, kept_extras."""
-    staged = incoming
-    for old, new in overlay.renames:
-        staged = edits.rename_nodes(staged, {old: new})
+    if len(overlay.renames) > MOST_RENAMES:
+        raise ValueError(f"more than {MOST_RENAMES} renames in one overlay")
+    staged = edits.rename_series(incoming, overlay.renames)
+    current = _held(current)
     for op, table, *what in overlay.column_ops:
         staged = {"add": columns.add, "rename": columns.rename, "delete": columns.delete, "retype": columns.retype}[op](staged, table, *what)
     staged = staged.with_(nodes=cut(staged.nodes), edges=cut(staged.edges))
@@ -207,9 +217,15 @@ def merge(current: GraphDoc, overlay: Overlay, incoming: GraphDoc) -> tuple[Grap
 
 
 def to_json(overlay: Overlay) -> dict:
-    """Plain lists; an overlay is what a person changed, so it fits into one document."""
-    rows = lambda df, *more: sorted([r[c] for c in (*KEY, *more)] for r in df.collect())
-    return {"dirtyCells": rows(overlay.dirty, "column_name"), "tombstones": rows(overlay.deleted), "addedRows": rows(overlay.added), "idRenames": [{"from": a, "to": b} for a, b in overlay.renames], "columnOps": [list(op) for op in overlay.column_ops]}
+    """Plain lists; an overlay is what a person changed, so it fits into one document (`MOST_KEYS`, checked)."""
+
+    def rows(df: DataFrame, *more: str) -> list[list]:
+        got = df.limit(MOST_KEYS + 1).collect()
+        if len(got) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} rows of one kind in an overlay")
+        return sorted([r[c] for c in (*KEY, *more)] for r in got)
+
+    return {"cells": rows(overlay.dirty, "column_name"), "deleted": rows(overlay.deleted), "added": rows(overlay.added), "renames": [{"from": a, "to": b} for a, b in overlay.renames], "columns": [list(op) for op in overlay.column_ops]}
 
 
 def from_json(spark: SparkSession, held: dict) -> Overlay:
@@ -219,7 +235,7 @@ def from_json(spark: SparkSession, held: dict) -> Overlay:
         good = lambda x: isinstance(x, list) and len(x) == width and x[0] in ("nodes", "edges") and isinstance(x[3], int) and all(isinstance(x[k], str) for k in (1, 2, *range(4, width)))
         return [tuple(x) for x in held.get(name) or [] if good(x)]
 
-    renames = tuple((x["from"], x["to"]) for x in held.get("idRenames") or [] if isinstance(x, dict) and isinstance(x.get("from"), str) and isinstance(x.get("to"), str))
+    renames = tuple((x["from"], x["to"]) for x in held.get("renames") or [] if isinstance(x, dict) and isinstance(x.get("from"), str) and isinstance(x.get("to"), str))
     widths = {"add": 4, "rename": 4, "delete": 3, "retype": 4}
-    ops = tuple(tuple(x) for x in held.get("columnOps") or [] if isinstance(x, list) and x and widths.get(x[0]) == len(x) and all(isinstance(y, str) for y in x))
-    return Overlay(spark.createDataFrame(rows("dirtyCells", 5), f"{_KEYS}, column_name string"), spark.createDataFrame(rows("tombstones", 4), _KEYS), spark.createDataFrame(rows("addedRows", 4), _KEYS), renames, ops)
+    ops = tuple(tuple(x) for x in held.get("columns") or [] if isinstance(x, list) and x and widths.get(x[0]) == len(x) and all(isinstance(y, str) for y in x))
+    return Overlay(spark.createDataFrame(rows("cells", 5), f"{_KEYS}, column_name string"), spark.createDataFrame(rows("deleted", 4), _KEYS), spark.createDataFrame(rows("added", 4), _KEYS), renames, ops)

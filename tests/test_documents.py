@@ -1,13 +1,14 @@
 """Overlays, columns, styles, projections, layers, chains' plans: on the small cases that the survey lists."""
 
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import cells, display
-from loomgraph.model import POS, Mapping, build_doc, first_rows, guess_mapping
+from loomgraph.model import POS, GraphDoc, Mapping, build_doc, first_rows, guess_mapping, with_positions
 from loomgraph.operators import arrange, chain, columns, community, details, edits, graph, metrics, overlay, stats, style, transforms, traverse
 from loomgraph.operators.chain import Condition, Step, apply_chain
 from loomgraph.plans import scratch
@@ -75,6 +76,59 @@ def test_column_changes_replay(base):
     assert overlay.diff(base, retyped).column_ops == (("retype", "edges", "Weight", "string"),)
 
 
+def _stepwise(nodes, edges, renames):
+    """The series replayed one by one on plain rows: (id, place, cells...) and (source, target)."""
+
+    def together(rows):
+        out = {}
+        for i, place, *row in sorted(rows, key=lambda r: r[1]):
+            held = out.setdefault(i, [i, place, *[None] * len(row)])
+            for k, x in enumerate(row, 2):
+                held[k] = x if held[k] is None else held[k]
+        return [tuple(r) for r in out.values()]
+
+    for old, new in renames:
+        if old != new:
+            nodes = together([(new if r[0] == old else r[0], *r[1:]) for r in nodes])
+            edges = [tuple(new if e == old else e for e in row) for row in edges]
+    return sorted(nodes), sorted(edges)
+
+
+def _renamed_tables(spark, nodes, edges, renames):
+    doc = GraphDoc(with_positions(spark.createDataFrame(edges, "s string, t string").coalesce(1)), Mapping("s", "t"), spark.createDataFrame(nodes, f"id string, {POS} long, a string, b string"), "id", True)
+    new = edits.rename_series(doc, renames)
+    return new, (sorted(tuple(r) for r in new.nodes.select("id", POS, "a", "b").collect()), sorted(tuple(r) for r in new.edges.select("s", "t").collect()))
+
+
+def test_a_series_of_renames_is_the_same_as_one_after_the_other(spark):
+    rng = random.Random(5)
+    for size, count in ((6, 4), (12, 40), (40, 10_000)):
+        names = [f"n{k}" for k in range(size)]
+        places = rng.sample(range(1000), size)
+        cell = lambda: rng.choice([None, None, "x", "y", "z"])
+        nodes = [(n, p, cell(), cell()) for n, p in zip(names, places)]
+        edges = [(rng.choice(names), rng.choice(names)) for _ in range(60)]
+        pool = names + [f"new{k}" for k in range(size)]
+        renames = [(rng.choice(pool), rng.choice(pool)) for _ in range(count)]
+        assert _renamed_tables(spark, nodes, edges, renames)[1] == _stepwise(nodes, edges, renames)
+
+
+def test_chains_cycles_and_names_that_come_free(spark):
+    nodes = [("a", 5, "A", None), ("b", 2, None, "B"), ("c", 3, "C", "CC"), ("d", 9, None, None)]
+    edges = [("a", "b"), ("c", "d")]
+    for renames in ([("a", "b"), ("b", "c")], [("a", "b"), ("b", "a")], [("a", "x"), ("d", "a"), ("x", "d")], [("a", "a")], [("q", "a")], []):
+        assert _renamed_tables(spark, nodes, edges, renames)[1] == _stepwise(nodes, edges, renames)
+
+
+def test_plans_of_many_renames_are_no_larger(spark):
+    nodes, edges = [(f"n{k}", k, "x", None) for k in range(30)], [("n1", "n2")]
+    sizes = []
+    for count in (3, 2000):
+        doc, _ = _renamed_tables(spark, nodes, edges, [(f"n{k % 30}", f"m{k}") for k in range(count)])
+        sizes.append(len(doc.nodes._jdf.queryExecution().analyzed().toString()))
+    assert sizes[1] < 1.2 * sizes[0]
+
+
 def test_overlays_add_up_and_are_kept(spark, base):
     one = team(base, "green", "A")
     two = edits.rename_nodes(one, {"A": "Ann"})
@@ -84,9 +138,9 @@ def test_overlays_add_up_and_are_kept(spark, base):
     for a, b in ((base, one), (one, two), (two, three), (three, four)):
         whole = overlay.extend(whole, overlay.diff(a, b))
     held = overlay.to_json(whole)
-    assert held["dirtyCells"] == [["nodes", "Ann", "", 0, "Team"]] and held["addedRows"] == [] and held["idRenames"] == [{"from": "A", "to": "Ann"}]
-    assert [x[:3] for x in held["tombstones"]] == [["edges", "B", "C"], ["nodes", "C", ""]]
-    again = overlay.from_json(spark, held | {"tombstones": [*held["tombstones"], "nonsense", ["x"]]})
+    assert held["cells"] == [["nodes", "Ann", "", 0, "Team"]] and held["added"] == [] and held["renames"] == [{"from": "A", "to": "Ann"}]
+    assert [x[:3] for x in held["deleted"]] == [["edges", "B", "C"], ["nodes", "C", ""]]
+    again = overlay.from_json(spark, held | {"deleted": [*held["deleted"], "nonsense", ["x"]]})
     assert overlay.to_json(again) == held and not again.is_empty() and overlay.empty(spark).is_empty()
     doc, _ = overlay.merge(four, again, base)
     assert rows(doc.nodes, "Id", "Team") == [("Ann", "green"), ("B", "red")]

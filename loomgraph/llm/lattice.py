@@ -8,7 +8,7 @@ step of the recursion is one operation over all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -63,11 +63,11 @@ class Lattice:
                 keys = keys[:-1] * np.uint64(_TIMES) + one[length - 1 :]
             yield length, self._find(keys)
 
-    def _edges(self, data: np.ndarray) -> np.ndarray:
+    def _edges(self, data: np.ndarray, pieces: Iterable[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
         """Log weights of pieces by end, length - 1 and word."""
         n, w = data.shape
         out = np.full((n + 1, min(n, self.longest), w), -np.inf)
-        for length, places in self._pieces(data):
+        for length, places in pieces or self._pieces(data):
             out[length:, length - 1] = self.log_weights[places]
         return out
 
@@ -120,17 +120,19 @@ class Lattice:
         cut = [(w[k : k + STRIDE], n) for w, n in zip(words, counts) for k in range(0, len(w), STRIDE)]
         total, n_of = np.zeros(len(self.log_weights)), np.array([n for _, n in cut], np.float64)
         for part, data in self._blocks([w for w, _ in cut]):
-            n, edges = len(data), self._edges(data)
+            n, pieces = len(data), list(self._pieces(data))
+            edges = self._edges(data, pieces)
             ahead = self._forward(edges, np.zeros((1, len(part))))
             back = np.zeros_like(ahead)
             for p in range(n - 1, -1, -1):
                 m = np.arange(min(n - p, edges.shape[1]))
                 back[p] = _log_sum(back[p + 1 + m] + edges[p + 1 + m, m])
-            for length, places in self._pieces(data):
-                there = places >= 0
-                if there.any():
-                    odds = np.exp(ahead[: n - length + 1] + edges[length:, length - 1] + back[length:] - ahead[-1]) * n_of[part]
-                    total += np.bincount(places[there], weights=odds[there], minlength=len(total))
+            for length, places in pieces:
+                start, word = np.nonzero(places >= 0)
+                if len(start):
+                    own = places[start, word]
+                    odds = np.exp(ahead[start, word] + self.log_weights[own] + back[start + length, word] - ahead[-1, word]) * n_of[part[word]]
+                    total += np.bincount(own, weights=odds, minlength=len(total))
         return total[:-1]
 
 

@@ -38,6 +38,8 @@ from .lattice import Lattice
 
 #: Most frequent words that tasks get by broadcast, and the bytes that each has at most.
 HEAD, HEAD_BYTES = 200_000, 64
+#: Words whose lattices are gone through together.
+TOGETHER = 50_000
 #: Distinct words that a task counts before it gives its sums on.
 HELD = 300_000
 #: Seed of Spark's xxhash64.
@@ -110,6 +112,20 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Words and counts of many batches together: the lattice's steps are worth their while over many words."""
+    words: list[bytes] = []
+    counts: list[int] = []
+    for batch in batches:
+        words += batch.column("word").to_pylist()
+        counts += batch.column("n").to_pylist()
+        if len(words) >= TOGETHER:
+            yield words, counts
+            words, counts = [], []
+    if words:
+        yield words, counts
+
+
 def _expected(spark: SparkSession, words: DataFrame, pieces: list[bytes], log_weights: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in all words: sums of the tasks, one number a piece to the driver."""
     shared = spark.sparkContext.broadcast((pieces, log_weights))
@@ -118,8 +134,8 @@ def _expected(spark: SparkSession, words: DataFrame, pieces: list[bytes], log_we
         claim("lm")
         lattice = Lattice(*shared.value)
         total = np.zeros(len(pieces))
-        for batch in batches:
-            total += lattice.expected([b" " + w for w in batch.column("word").to_pylist()], batch.column("n").to_pylist())
+        for words, counts in _many(batches):
+            total += lattice.expected([b" " + w for w in words], counts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "uses"])
 
@@ -215,9 +231,9 @@ def _head(spark: SparkSession, model: SubwordModel, most: int) -> tuple[Column,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
-        for batch in batches:
-            values = lattice.log_marginals([b" " + w for w in batch.column("word").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], ["word", "n", "marginal"])
+        for words, counts in _many(batches):
+            values = lattice.log_marginals([b" " + w for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(values)], ["word", "n", "marginal"])
 
     return is_head, model.words.where(is_head).mapInArrow(run, "word binary, n long, marginal double").toArrow()
 

@@ -27,16 +27,16 @@ import base64
 import gc
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from .classes import Pieces, differing
 from .common import blocks, claim, small_batches
 from .token_counts import Memo, cuts
 
@@ -338,10 +338,10 @@ _MARKS = frozenset(".,;:!?")
 class Codec:
     """Whole texts: cuts them into pieces, encodes and decodes."""
 
-    def __init__(self, path: str, pattern: str, memo: int = MEMO):
+    def __init__(self, path: str, pattern: str, memo: int = MEMO, differ: Sequence[tuple[int, int, str]] | None = None):
         self.machine = Transducer(read_ranks(path), memo // 2)
         self.decoder = Utf8Machine(self.machine.token)
-        self.pattern = regex.compile(pattern)
+        self.cut = Pieces(pattern, differ)
         self.letters = r"| ?\p{L}+|" in pattern  # a space and letters are one piece
         self.pieces = Memo(lambda piece: tuple(self.machine.encode(piece.encode("utf-8"))), memo // 8)
         self.rest = Cuts(self, memo)
@@ -353,7 +353,7 @@ class Codec:
             self.decimal[i, : len(digits)] = memoryview(digits)
 
     def plain(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return chain.from_iterable(map(self.pieces.__getitem__, self.cut(text)))
 
     def packed(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
@@ -401,22 +401,22 @@ def _without_cycle_search() -> Iterator[None]:
         gc.enable()
 
 
-def codec(vocabulary: str, pattern: str) -> Codec:
+def codec(vocabulary: str, pattern: str, differ: Sequence[tuple[int, int, str]]) -> Codec:
     """One for each Python worker, vocabulary and pattern."""
     claim("bpe", _codecs.clear)
     if (vocabulary, pattern) not in _codecs:
-        _codecs[vocabulary, pattern] = Codec(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), pattern)
+        _codecs[vocabulary, pattern] = Codec(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), pattern, differ=differ)
     return _codecs[vocabulary, pattern]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids: the token ids of every text."""
     small_batches(docs)
-    kind = dict(docs.dtypes)[key]
+    kind, differ = dict(docs.dtypes)[key], differing()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            own = codec(vocabulary, pattern)
+            own = codec(vocabulary, pattern, differ)
             ids = pa.array([own.encode(t) if t else [] for t in block.column("__text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column("__key"), ids], [key, "ids"])
 
@@ -426,11 +426,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, text: the characters of every list of ids, by the incremental state machine."""
     small_batches(encoded)
-    kind = dict(encoded.dtypes)[key]
+    kind, differ = dict(encoded.dtypes)[key], differing()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = codec(vocabulary, pattern)
+            own = codec(vocabulary, pattern, differ)
             texts = pa.array([own.decode(x or ()) for x in batch.column("__ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("__key"), texts], [key, "text"])
 
@@ -440,12 +440,12 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, key: str
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
     small_batches(docs)
-    kind = dict(docs.dtypes)[key]
+    kind, differ = dict(docs.dtypes)[key], differing()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _without_cycle_search():
             for block in blocks(batches, "__text"):
-                own = codec(vocabulary, pattern)
+                own = codec(vocabulary, pattern, differ)
                 columns = own.digests(block.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([block.column("__key"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -605,9 +605,12 @@ def jaccard_components(
     crowd: int = CROWD,
     most_crowded: int = MOST_CROWDED,
 ) -> DataFrame:
-    """key, n_shingles, component_id: the least key reachable by links of `percent` percent Jaccard similarity."""
+    """key, n_shingles, component_id: the least key reachable by links of `percent` percent Jaccard similarity. Besides,
+    text_hash (Spark's xxhash64 of the text) and stays: the row is what its component is known by, the one with the least key,
+    and among texts of that key with the least hash. Repeated rows stay or go together; so do those without a set, which
+    stay."""
     scratch = Scratch(spark, "near-duplicates")
-    rows = docs.select(integer_key(docs, key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select(integer_key(docs, key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
     texts = rows.select("__text")
     n_blocks = block_count(text_bytes(texts, "__text"))
     pairs, edges, crowded = exact_candidates(texts, lambda batches: _distinct_sets(batches, width), scratch, n_blocks, percent, crowd, most_crowded)
@@ -618,16 +621,19 @@ def jaccard_components(
     crowds = Crowds(edges, crowded, sets, lambda batch: unpacked(batch.column("found").to_pylist()))
     comps = resolve(pairs, crowds, sets, scratch, percent)
 
-    least = sets_table.where("size > 0").groupBy("name").agg(F.min("__key").alias("least"))
+    row = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__hash").alias("hash"))
+    least = sets_table.where("size > 0").groupBy("name").agg(F.min(row).alias("least"))
     placed = scratch.save(least.join(comps, least["name"] == comps["node"], "left").select("name", "least", F.coalesce("comp", "name").alias("comp")), "placed")
     final = placed.join(placed.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("name", "component")
-    every = sets_table.select("__key", "size", "name").join(final, "name", "left")
-    return every.select(F.col("__key").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component", "__key")).otherwise(F.col("__key")).alias("component_id"))
+    every = sets_table.select("__key", "__hash", "size", "name").join(final, "name", "left")
+    component = F.when(F.col("size") > 0, F.coalesce("component.key", "__key")).otherwise(F.col("__key"))
+    stays = (F.col("size") == 0) | (F.col("__key").eqNullSafe(F.col("component.key")) & (F.col("__hash") == F.col("component.hash")))
+    return every.select(F.col("__key").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("__hash").alias("text_hash"), F.coalesce(stays, F.lit(True)).alias("stays"))
 
 
 def _with_sets(rows: DataFrame, wanted, width: int) -> DataFrame:
-    """__key, size, name, and the set itself where it may be needed, once a task."""
-    named = "__key long, size long, name long, found binary"
+    """__key, __hash, size, name, and the set itself where it may be needed, once a task."""
+    named = "__key long, __hash long, size long, name long, found binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value[0], set()
@@ -644,6 +650,6 @@ def _with_sets(rows: DataFrame, wanted, width: int) -> DataFrame:
                     found.append(s.tobytes())
                 else:
                     found.append(None)
-            yield pa.RecordBatch.from_arrays([block.column("__key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(found, pa.binary())], ["__key", "size", "name", "found"])
+            yield pa.RecordBatch.from_arrays([block.column("__key"), block.column("__hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(found, pa.binary())], ["__key", "__hash", "size", "name", "found"])
 
     return rows.mapInArrow(run, named)

@@ -45,7 +45,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.jaccard_components(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates.jaccard_components(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -26,6 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from .classes import Pieces, differing
 from .common import blocks, claim, small_batches
 
 # Fixed value: the pattern that a byte-level pre-tokenizer cuts by.
@@ -64,7 +65,7 @@ class Memo(dict):
 class MergeCounter:
     """Counts tokens with the merges of a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO, differ: Sequence[tuple[int, int, str]] | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -78,7 +79,7 @@ class MergeCounter:
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pattern = regex.compile(BYTE_LEVEL)
+        self.cut = Pieces(BYTE_LEVEL, differ)
         self.pieces = Memo(lambda piece: self.merge_count(piece.encode("utf-8")), memo // 2)
         self.rest = Memo(lambda cut: self._plain(f" {cut}"), memo)
 
@@ -108,7 +109,7 @@ class MergeCounter:
 
     def _plain(self, text: str) -> int:
         """Of a text without special strings, by the pattern."""
-        return sum(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return sum(map(self.pieces.__getitem__, self.cut(text)))
 
     def _by_cuts(self, text: str) -> int:
         first, *rest = cuts(text)
@@ -143,12 +144,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     """key, n_bytes, n_tokens, over_limit. `vocabulary`: a path that executors can open, or a file's name that was
     given to SparkContext.addFile."""
     small_batches(docs)
-    kind = dict(docs.dtypes)[key]
+    kind, differ = dict(docs.dtypes)[key], differing()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for block in blocks(batches, "__text"):
-            counter = counter or _counter(vocabulary)
+            counter = counter or _counter(vocabulary, differ)
             texts = block.column("__text")
             n_bytes = pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(texts), 0), pa.int64())
             n_tokens = pa.array([counter.count(t) if t else 0 for t in texts.to_pylist()], pa.int64())
@@ -160,9 +161,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
 _counters: dict[str, MergeCounter] = {}
 
 
-def _counter(vocabulary: str) -> MergeCounter:
+def _counter(vocabulary: str, differ: Sequence[tuple[int, int, str]]) -> MergeCounter:
     """One for each Python worker and vocabulary."""
     claim("counts", _counters.clear)
     if vocabulary not in _counters:
-        _counters[vocabulary] = MergeCounter(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary))
+        _counters[vocabulary] = MergeCounter(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary), differ=differ)
     return _counters[vocabulary]

@@ -44,6 +44,21 @@ def test_ids_are_the_librarys_and_decode(texts):
         assert own.digests(few) == ([len(x) for x in known], [sha(",".join(map(str, x))) for x in known], [sha(t or "") for t in few])
 
 
+def test_every_code_point_has_the_librarys_class():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    counter, library = T.MergeCounter(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own = B.Codec(VOCABULARY, P.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=B.read_ranks(VOCABULARY), special_tokens={})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 1000):  # beside a contraction, a letter, a number, a mark, and alone
+        text = " ".join(f"{c}'ll b{c}c 1{c}2 !{c}? {c}" for c in points[k : k + 1000])
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(k)
+        ids = other.encode_ordinary(text)
+        assert own.encode(text) == ids and own.decode(ids) == text, hex(k)
+
+
 def _streamed(data: bytes) -> str:
     """Through tokens of one byte each: every state of the machine is passed one by one."""
     return "".join(B.Utf8Machine({b: bytes([b]) for b in range(256)}).characters(data))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import cells
 from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, first_rows, occurrence, reconcile
-from .operators import arrange, columns, community, details, edits, graph, metrics, overlay, scripts, stats, style, transforms, traverse
+from .operators import arrange, columns, community, details, edits, frames, graph, metrics, overlay, scripts, stats, style, transforms, traverse
 from .operators.chain import Condition, Step, apply_chain
 from .sources.datasource import DataSource, Selection
 
@@ -468,6 +468,18 @@ def source_search(spark, d):
     return _source(spark, d).search("14")
 
 
+@query(f"WITH {FG}, i AS (SELECT s AS id FROM fr UNION SELECT t FROM fr) SELECT id FROM i WHERE contains(id, '1') ORDER BY starts_with(id, '1') DESC, id LIMIT 400")
+def source_search_kept(spark, d):
+    source = _source(spark, d)
+    source.directory()
+    return source.search("1", 400)
+
+
+@query(f"WITH {FG}, {_walk('fs', 12, chr(39) + '10' + chr(39))} SELECT id, depth FROM w WHERE depth = 0 OR (depth <= 12 AND (SELECT count(*) FROM w x WHERE x.depth < w.depth) <= 8)")
+def source_budget(spark, d):
+    return _source(spark, d).reached(Selection(("10",), 12, budget=8))
+
+
 @query(f"WITH {FG}, i AS (SELECT s AS id FROM fr UNION SELECT t FROM fr) SELECT id FROM i WHERE id IN ('7', '99999999', '12')")
 def source_lookup(spark, d):
     return _source(spark, d).lookup(["12", " 7 ", "99999999", "12"])
@@ -572,6 +584,28 @@ def metric_harmonic(spark, d):
     return metrics.harmonic(*_uug(spark, d)).select("id", r6("harmonic"))
 
 
+def _sampled_sql(depth: int = 6) -> str:
+    """dd: shortest distances from every n/600th node of SP (by first appearance) to all, up to `depth` hops."""
+    out = ["r AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS t, l_orderkey * 8 + l_linenumber AS p FROM lineitem)", "us AS (SELECT s AS a, t AS b FROM r UNION SELECT t, s FROM r)",
+           "nn AS (SELECT id, row_number() OVER (ORDER BY min(place), id) - 1 AS k, count(*) OVER () AS n FROM (SELECT s AS id, p * 2 AS place FROM r UNION ALL SELECT t, p * 2 + 1 FROM r) GROUP BY id)",
+           "src AS (SELECT id FROM nn WHERE n <= 600 OR k % CAST(ceil(n / 600.0) AS BIGINT) = 0)", "d0 AS (SELECT id AS src, id, 0 AS dist FROM src)"]
+    for i in range(1, depth + 1):
+        out.append(f"d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT DISTINCT f.src, us.b, {i} FROM d{i - 1} f JOIN us ON us.a = f.id LEFT JOIN d{i - 1} o ON o.src = f.src AND o.id = us.b WHERE f.dist = {i - 1} AND o.id IS NULL)")
+    return ", ".join(out) + f", dd AS (SELECT * FROM d{depth})"
+
+
+@query(f"""WITH {_sampled_sql()}, c AS (SELECT count(*) AS c FROM src), x AS (SELECT id, count(*) AS reached, sum(dist) AS total FROM dd WHERE dist > 0 GROUP BY id)
+SELECT nn.id, {R6('coalesce((reached / (c - (src.id IS NOT NULL)::INT)) * (reached / total), 0)', 'closeness')} FROM nn CROSS JOIN c LEFT JOIN src ON src.id = nn.id LEFT JOIN x ON x.id = nn.id""")
+def metric_closeness_sampled(spark, d):
+    g = graph.base_graph(sp_placed(spark, d))
+    return metrics.closeness(g.nodes.select("id", "pos"), graph.weighted_links(g)).select("id", r6("closeness"))
+
+
+@query(_pagerank_sql(90))
+def metric_pagerank(spark, d):
+    return metrics.pagerank(*_uug(spark, d, "w"), close=1e-8).select("id", r6("pagerank"))
+
+
 @query(f"""WITH {_paths_sql()}, n AS (SELECT count(DISTINCT id) AS n FROM dd),
 b AS (SELECT x.id AS id, sum(x.sigma * y.sigma / z.sigma) AS b FROM dd x JOIN dd y ON y.src = x.id JOIN dd z ON z.src = x.src AND z.id = y.id AND z.dist = x.dist + y.dist WHERE x.dist > 0 AND y.dist > 0 GROUP BY x.id)
 SELECT i.id, {R6('coalesce(b, 0) / 2 * (2.0 / ((n - 1) * (n - 2)))', 'betweenness')} FROM (SELECT DISTINCT id FROM dd) i CROSS JOIN n LEFT JOIN b ON b.id = i.id""")
@@ -641,6 +675,19 @@ def network_counts(spark, d):
     return metrics.counts(g.nodes.select("id", "pos"), g.links).select("nodes", "edges", r6("average_links"), "components")
 
 
+_FRAMES = f"""{UU}, e AS (SELECT min(epoch_ms(ts)) AS lo, max(epoch_ms(ts)) AS hi FROM uu), fb AS (SELECT unnest(generate_series(0, (hi - lo) // 86400000)) AS frame, lo, hi FROM e),
+f AS (SELECT frame, lo + 86400000 * frame AS a, least(lo + 86400000 * frame + 259200000, hi) AS z FROM fb),
+x AS (SELECT frame, s, t FROM f JOIN uu ON epoch_ms(ts) BETWEEN a AND z), g AS (SELECT frame, s, t FROM x WHERE s <> t)"""
+
+
+@query(f"""WITH {_FRAMES} SELECT CAST(frame AS INTEGER) AS frame, CAST(a AS DOUBLE) AS "start", CAST(z AS DOUBLE) AS "end", (SELECT count(*) FROM x WHERE x.frame = f.frame) AS rows,
+(SELECT count(*) FROM (SELECT DISTINCT s, t FROM g WHERE g.frame = f.frame)) AS links, (SELECT count(*) FROM (SELECT s FROM g WHERE g.frame = f.frame UNION SELECT t FROM g WHERE g.frame = f.frame)) AS nodes FROM f""")
+def playback_frames(spark, d):
+    ends = graph.with_ends(uu(spark, d))
+    low, high = ends.agg(F.min(cells.tms(ends, "ts")), F.max(cells.tms(ends, "ts"))).first()
+    return frames.playback(ends, "ts", low, high, 3 * 86_400_000.0, 86_400_000.0)
+
+
 # ---- transforms
 
 
@@ -669,12 +716,13 @@ def project_targets(spark, d):
     return _budgeted(spark, d, "target")
 
 
-@query(f"""WITH {CN} SELECT (SELECT count(DISTINCT s) FROM cn WHERE s LIKE 'C%') AS nodes, (SELECT count(*) FROM (SELECT DISTINCT x.s, y.s FROM cn x JOIN cn y ON x.t = y.t AND x.s < y.s WHERE x.t LIKE 'R%')) AS edges,
-(SELECT count(*) FROM (SELECT DISTINCT t FROM cn WHERE t LIKE 'R%')) AS used, (SELECT count(DISTINCT t) FROM cn WHERE t LIKE 'R%') AS total""")
+@query(f"""WITH {CN}, i AS (SELECT s AS a, t AS o, min(pos) AS p FROM cn GROUP BY 1, 2), k AS (SELECT o, count(*) * (count(*) - 1) // 2 AS n, min(p) AS op FROM i GROUP BY o),
+u AS (SELECT o FROM (SELECT o, sum(n) OVER (ORDER BY op, o ROWS UNBOUNDED PRECEDING) AS run FROM k) WHERE run <= {transforms.PAIR_LIMIT})
+SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT x.a, y.a FROM u JOIN i x ON x.o = u.o JOIN i y ON y.o = u.o AND x.a < y.a)) AS edges, (SELECT count(*) FROM u) AS used, (SELECT count(*) FROM k) AS total""")
 def project_report(spark, d):
     doc = cn(spark, d)
-    doc = doc.with_(edges=doc.edges.where("t LIKE 'R%'"))
-    return transforms.project_doc(doc, "source")[1].withColumn("nodes", F.lit(doc.nodes.count()).cast("long"))
+    customers = doc.nodes.where("id LIKE 'C%'").count()
+    return transforms.project_doc(doc, "source")[1].withColumn("nodes", F.lit(customers).cast("long"))
 
 
 @query(f"WITH {SP}, k AS (SELECT t, count(DISTINCT s) AS k FROM sp GROUP BY t) SELECT CAST(sum(k * (k - 1) / 2) AS BIGINT) AS pairs FROM k")
@@ -783,13 +831,14 @@ def layout_grid(spark, d):
     return style.layout_grid(_customers(spark, d)).select("id", r6("x"), r6("y"))
 
 
-@query("""WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal / 200.0 AS lat, (c_custkey % 360) - 180.0 AS lon FROM customer),
+@query("""WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal / 200.0 * 2.5 AS lat, (c_custkey % 360) - 180.0 AS lon FROM customer),
 m AS (SELECT id, radians(lon) AS mx, -ln(tan(pi() / 4 + radians(least(85.05112878, greatest(-85.05112878, lat))) / 2)) AS my FROM p WHERE abs(lat) <= 90 AND abs(lon) <= 180),
 e AS (SELECT min(mx) AS x0, max(mx) AS x1, min(my) AS y0, max(my) AS y1 FROM m)
-SELECT id, round((mx - (x0 + x1) / 2) * 900 / greatest(x1 - x0, y1 - y0), 4) + 0.0 AS x, round((my - (y0 + y1) / 2) * 900 / greatest(x1 - x0, y1 - y0), 4) + 0.0 AS y FROM m, e""")
+SELECT id, round((mx - (x0 + x1) / 2) * 900 / greatest(x1 - x0, y1 - y0), 4) + 0.0 AS x, round((my - (y0 + y1) / 2) * 900 / greatest(x1 - x0, y1 - y0), 4) + 0.0 AS y FROM m, e
+UNION ALL SELECT id, -450.0 + 60 * (k % 16), 450.0 + 60 * (1 + k // 16) FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM p WHERE abs(lat) > 90)""")
 def layout_geo(spark, d):
-    c = _customers(spark, d).select("id", (F.col("bal") / 200.0).alias("lat"), (F.col("pos") % 360 - 180.0).alias("lon"))
-    return style.layout_geo(c.where("abs(lat) <= 90")).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+    c = _customers(spark, d).select("id", (F.col("bal") / 200.0 * 2.5).alias("lat"), (F.col("pos") % 360 - 180.0).alias("lon"))
+    return style.layout_geo(c).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
 # ---- edits

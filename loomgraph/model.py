@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import cells
+from .plans import positions
 
 #: Name of the column that holds a row's position in its table.
 POS = "__pos"
@@ -40,11 +41,14 @@ class GraphDoc:
 
 
 def with_positions(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Adds row positions: a unique column of the table, the place in its file, or the order of reading."""
+    """Adds row positions: a unique column of the table, the rows' places in their files (Parquet), or the order of
+    reading, which holds for a table that is written or cached."""
     if POS in df.columns:
         return df
     if by is not None:
         return df.withColumn(POS, F.col(by).cast("long"))
+    if positions.is_parquet_scan(df):
+        return positions.of_parquet(df, POS)
     return df.withColumn(POS, F.monotonically_increasing_id())
 
 

@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.bucketed import Buckets, arcs, count_for
 from ..plans.scratch import cut, dropped
+from . import triads
 from .graph import undirected
-from .traverse import component_labels, multi_source
+from .traverse import Seen, arms, component_labels, many_sources, source_levels, walk_many
 
 #: Nodes up to which every node is a source of path metrics; beyond, every n/600th is.
 ALL_SOURCES = 600
+#: Nodes up to which harmonic centrality starts from every node unless it is told otherwise; sources of one turn.
+EXACT_HARMONIC, TURN = 20_000, 4096
+#: Beyond, 2 ** COUNTER_BITS registers a node estimate how many are near: a standard error of 1.6 percent.
+COUNTER_BITS = 12
 
 
 def degree(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -27,66 +33,82 @@ def degree(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 100, close: float = 1e-9) -> DataFrame:
-    """id, pagerank: weighted, the rank of nodes that hand nothing on is spread evenly."""
+    """id, pagerank: weighted, the rank of nodes that hand nothing on is spread evenly. Links and ranks are dealt to the
+    same buckets once; a round exchanges summed messages only."""
+    spark = nodes.sparkSession
     out = links.groupBy(F.col("s").alias("o")).agg(F.sum("w").alias("strength"))
-    shares = cut(links.join(out, F.col("s") == F.col("o")).where("strength > 0").select("s", "t", (F.col("w") / F.col("strength")).alias("share")))
-    senders = shares.select(F.col("s").alias("id"), F.lit(True).alias("sends")).distinct()
+    shares = cut(links.join(out, F.col("s") == F.col("o")).where("strength > 0").select(F.col("s").alias("id"), "t", (F.col("w") / F.col("strength")).alias("share")))
+    senders = shares.select("id", F.lit(True).alias("sends")).distinct()
     base = cut(nodes.select("id").join(senders, "id", "left").select("id", F.coalesce("sends", F.lit(False)).alias("sends")))
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("pagerank"))
-    state = held = cut(base.withColumn("rank", F.lit(1.0 / n)))
+    m = shares.count()
+    dealt = Buckets(spark, count_for(spark, m))
+    near = arcs(dealt, shares, m)
+    state = dealt.save(base.withColumn("rank", F.lit(1.0 / n)).withColumn("was", F.lit(0.0)), "id")
     for _ in range(rounds):
         idle = state.where(~F.col("sends")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = shares.join(state.select(F.col("id").alias("s"), "rank"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = cut(state.join(got, "id", "left").select("id", "sends", ((1 - damping) / n + damping * idle / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")))
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        dropped(held)
-        held, state = new, new.drop("was")
-        if moved < close:
+        got = near.sent(state, F.col("rank") * F.col("share"))
+        new = state.join(got, "id", "left").select("id", "sends", ((1 - damping) / n + damping * idle / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
+        held, state = state, dealt.save(new, "id", dealt=True)
+        dealt.drop(held)
+        if state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < close:
             break
-    return state.select("id", F.col("rank").alias("pagerank"))
+    out = cut(state.select("id", F.col("rank").alias("pagerank")))
+    dealt.close()
+    return out
 
 
 def hits(nodes: DataFrame, links: DataFrame, rounds: int = 100, close: float = 1e-9) -> DataFrame:
-    """id, hub, authority: scaled to a maximum of 1."""
+    """id, hub, authority: scaled to a maximum of 1. Links are in buckets of either end."""
+    spark = nodes.sparkSession
     links = cut(links)
-    state = held = cut(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")))
+    m = links.count()
+    dealt = Buckets(spark, count_for(spark, m))
+    ahead = arcs(dealt, links.select(F.col("s").alias("id"), "t", "w"), m)
+    back = arcs(dealt, links.select(F.col("t").alias("id"), F.col("s").alias("t"), "w"), m)
+    state = dealt.save(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"), F.lit(0.0).alias("h0"), F.lit(0.0).alias("a0")), "id")
     for _ in range(rounds):
-        a = links.join(state.select(F.col("id").alias("s"), "hub"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("hub") * F.col("w")).alias("a"))
-        a = cut(a)
-        h = links.join(a.select(F.col("id").alias("t"), "a"), "t").groupBy(F.col("s").alias("id")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
-        raw = cut(state.join(a, "id", "left").join(h, "id", "left").na.fill(0.0, ["a", "h"]))
+        a = dealt.save(ahead.sent(state, F.col("hub") * F.col("w")).withColumnRenamed("got", "a"), "id")
+        h = back.sent(a, F.col("a") * F.col("w")).withColumnRenamed("got", "h")
+        raw = dealt.save(state.join(a, "id", "left").join(h, "id", "left").na.fill(0.0, ["a", "h"]).select("id", "hub", "authority", "a", "h"), "id", dealt=True)
         na, nh = raw.agg(F.sqrt(F.sum(F.col("a") ** 2)), F.sqrt(F.sum(F.col("h") ** 2))).first()
-        new = cut(raw.select("id", (F.col("h") / (nh or 1.0)).alias("hub"), (F.col("a") / (na or 1.0)).alias("authority"), F.col("hub").alias("h0"), F.col("authority").alias("a0")))
-        moved = new.agg(F.sum(F.abs(F.col("hub") - F.col("h0")) + F.abs(F.col("authority") - F.col("a0")))).first()[0]
-        dropped(held, a, raw)
-        held, state = new, new.select("id", "hub", "authority")
+        new = raw.select("id", (F.col("h") / (nh or 1.0)).alias("hub"), (F.col("a") / (na or 1.0)).alias("authority"), F.col("hub").alias("h0"), F.col("authority").alias("a0"))
+        held, state = state, dealt.save(new, "id", dealt=True)
+        dealt.drop(held, a, raw)
+        moved = state.agg(F.sum(F.abs(F.col("hub") - F.col("h0")) + F.abs(F.col("authority") - F.col("a0")))).first()[0]
         if moved is None or moved < close:
             break
     top = state.agg(F.max("hub"), F.max("authority")).first()
-    return state.select("id", (F.col("hub") / (top[0] or 1.0)).alias("hub"), (F.col("authority") / (top[1] or 1.0)).alias("authority"))
+    out = cut(state.select("id", (F.col("hub") / (top[0] or 1.0)).alias("hub"), (F.col("authority") / (top[1] or 1.0)).alias("authority")))
+    dealt.close()
+    return out
 
 
 def eigenvector(nodes: DataFrame, links: DataFrame, rounds: int = 100, close: float = 1e-7) -> DataFrame:
     """id, eigenvector: unweighted, undirected; scaled to a maximum of 1; zeros without links."""
-    near = cut(undirected(links).select("v", "n"))
+    spark = nodes.sparkSession
+    pairs = cut(undirected(links).select(F.col("v").alias("id"), F.col("n").alias("t")))
     n = nodes.count()
-    state = held = cut(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("x")))
+    m = pairs.count()
+    dealt = Buckets(spark, count_for(spark, m))
+    near = arcs(dealt, pairs, m)
+    state = dealt.save(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("x"), F.lit(0.0).alias("was")), "id")
     for _ in range(rounds):
-        got = near.join(state.select(F.col("id").alias("n"), "x"), "n").groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("y"))
-        raw = cut(state.join(got, "id", "left").select("id", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
+        raw = dealt.save(state.join(near.sent(state, F.col("x")), "id", "left").select("id", "x", F.coalesce("got", F.lit(0.0)).alias("y")), "id", dealt=True)
         norm = raw.agg(F.sqrt(F.sum(F.col("y") ** 2))).first()[0]
         if not norm:
-            return state.select("id", F.lit(0.0).alias("eigenvector"))
-        new = cut(raw.select("id", (F.col("y") / norm).alias("x"), F.col("x").alias("was")))
-        moved = new.agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0]
-        dropped(held, raw)
-        held, state = new, new.drop("was")
-        if moved < close:
+            dealt.close()
+            return nodes.select("id", F.lit(0.0).alias("eigenvector"))
+        held, state = state, dealt.save(raw.select("id", (F.col("y") / norm).alias("x"), F.col("x").alias("was")), "id", dealt=True)
+        dealt.drop(held, raw)
+        if state.agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] < close:
             break
     top = state.agg(F.max("x")).first()[0]
-    return state.select("id", (F.col("x") / (top or 1.0)).alias("eigenvector"))
+    out = cut(state.select("id", (F.col("x") / (top or 1.0)).alias("eigenvector")))
+    dealt.close()
+    return out
 
 
 def sources(nodes: DataFrame, most: int = ALL_SOURCES) -> DataFrame:
@@ -114,55 +136,94 @@ def betweenness(nodes: DataFrame, links: DataFrame, most: int = ALL_SOURCES) ->
     if n <= 2:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
     near = cut(undirected(links).select("v", "n"))
-    seen = cut(multi_source(links, chosen, count_paths=True))
-    deepest = seen.agg(F.max("dist")).first()[0] or 0
-    delta = cut(seen.where(F.col("dist") == deepest).select("src", "id", "dist", "sigma", F.lit(0.0).alias("delta")))
-    total = delta
-    for level in range(deepest, 0, -1):
-        upper = seen.where(F.col("dist") == level - 1)
+    levels = source_levels(links, chosen)
+    delta = cut(levels[-1].withColumn("delta", F.lit(0.0)))
+    total = Seen(delta.where("id <> src").groupBy("id").agg(F.sum("delta").alias("delta")))
+    for upper in levels[-2::-1]:
         flow = delta.join(near, delta["id"] == near["n"]).select("src", F.col("v").alias("id"), ((1 + F.col("delta")) / F.col("sigma")).alias("f")).groupBy("src", "id").agg(F.sum("f").alias("f"))
         delta = cut(upper.join(flow, ["src", "id"], "left").select("src", "id", "dist", "sigma", (F.col("sigma") * F.coalesce("f", F.lit(0.0))).alias("delta")))
-        total = total.unionByName(delta)
+        total.add(delta.where("id <> src").groupBy("id").agg(F.sum("delta").alias("delta")))
     scale = (n / chosen.count() / 2) * (2 / ((n - 1) * (n - 2)))
-    summed = total.where("id <> src").groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))
+    summed = total.rows().groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))
     return nodes.select("id").join(summed, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
+def _numbered(chosen: DataFrame) -> DataFrame:
+    """id, number: the sources from 0 on."""
+    return ranked(chosen.select("id", F.lit(0).alias("pos"))).select("id", F.col("rank").alias("number"))
+
+
+def _reached() -> Column:
+    """How many sources a row of a walk from many tells of."""
+    return F.bit_count("bits")
+
+
 def closeness(nodes: DataFrame, links: DataFrame, most: int = ALL_SOURCES) -> DataFrame:
     """id, closeness (of nodes that sources reach, with the share reached)."""
     chosen = cut(sources(nodes, most))
     k = chosen.count()
-    seen = multi_source(links, chosen)
-    per = seen.where("dist > 0").groupBy("id").agg(F.count("*").alias("reached"), F.sum("dist").alias("sum"))
+    seen = many_sources(links, _numbered(chosen))
+    per = seen.where("dist > 0").groupBy("id").agg(F.sum(_reached()).alias("reached"), F.sum(_reached() * F.col("dist")).alias("sum"))
     own = nodes.select("id").join(chosen.withColumn("own", F.lit(1)), "id", "left").join(per, "id", "left")
     among = F.lit(k) - F.coalesce("own", F.lit(0))
     value = F.when(F.coalesce("sum", F.lit(0)) > 0, (F.col("reached") / among) * (F.col("reached") / F.col("sum"))).otherwise(0.0)
     return own.select("id", value.alias("closeness"))
 
 
-def harmonic(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, harmonic: every node is a source."""
+def harmonic(nodes: DataFrame, links: DataFrame, exact: bool | None = None) -> DataFrame:
+    """id, harmonic. Exact up to EXACT_HARMONIC nodes and on request: every node is a source, in turns of TURN sources, so
+    a turn holds TURN / 64 rows a node at most. Beyond, the nodes within each distance are estimated by counters."""
     n = nodes.count()
-    seen = multi_source(links, nodes).where("dist > 0").groupBy("id").agg(F.sum(1.0 / F.col("dist")).alias("h"))
-    return nodes.select("id").join(seen, "id", "left").select("id", (F.coalesce("h", F.lit(0.0)) / max(n - 1, 1)).alias("harmonic"))
+    if not (n <= EXACT_HARMONIC if exact is None else exact):
+        return nodes.select("id").join(_counted_harmonic(nodes, links), "id", "left").select("id", (F.coalesce("h", F.lit(0.0)) / max(n - 1, 1)).alias("harmonic"))
+    numbered = cut(_numbered(nodes))
+    steps = cut(arms(links, "any"))
+    total = None
+    for turn in range(-(-n // TURN)):
+        own = numbered.where(F.floor(F.col("number") / TURN) == turn).select("id", (F.col("number") - turn * TURN).alias("number"))
+        walk = walk_many(steps, own)
+        seen = walk.rows().where("dist > 0").groupBy("id").agg(F.sum(_reached() / F.col("dist")).alias("h"))
+        held, total = total, cut(seen if total is None else seen.unionByName(total).groupBy("id").agg(F.sum("h").alias("h")))
+        dropped(*walk.parts, *([held] if held is not None else []))
+    if total is None:
+        return nodes.select("id", F.lit(0.0).alias("harmonic"))
+    return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("h", F.lit(0.0)) / max(n - 1, 1)).alias("harmonic"))
+
+
+def _counted_harmonic(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, h: each round a node's counter takes in those of its neighbours that changed; what a round adds to its
+    estimate lies at that round's distance. A round has a row a node and one a link of a changed node."""
+    steps = cut(arms(links, "any"))
+    one = nodes.select("id").distinct().groupBy("id").agg(F.hll_sketch_agg("id", COUNTER_BITS).alias("seen"))
+    state = held = cut(one.select("id", "seen", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("h"), F.lit(True).alias("changed")))
+    hop = 0
+    while True:
+        hop += 1
+        sent = steps.join(state.where("changed").select(F.col("id").alias("a"), "seen"), "a").select(F.col("b").alias("id"), "seen")
+        got = sent.groupBy("id").agg(F.hll_union_agg("seen").alias("got"))
+        both = state.join(got, "id", "left").withColumn("all", F.when(F.col("got").isNull(), F.col("seen")).otherwise(F.hll_union("seen", "got")))
+        grown = F.greatest(F.hll_sketch_estimate("all"), F.col("size"))
+        new = both.select("id", F.col("all").alias("seen"), grown.alias("size"), (F.col("h") + (grown - F.col("size")) / hop).alias("h"), (F.col("all") != F.col("seen")).alias("changed"))
+        state = cut(new)
+        dropped(held)
+        held = state
+        if state.where("changed").isEmpty():
+            return state.select("id", "h")
+
+
+def _neighbours(links: DataFrame) -> DataFrame:
+    return undirected(links.select("s", "t", F.lit(1.0).alias("w"))).select("v", "n")
 
 
-def _near_lists(links: DataFrame) -> DataFrame:
-    return undirected(links).groupBy("v").agg(F.count("*").alias("d"))
+def triangle_listing(links: DataFrame) -> DataFrame:
+    """a, b, c: all triangles, for the measures that count them (given to several, it is made once)."""
+    return triads.listing(_neighbours(links))
 
 
-def triangles(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, triangles: each pair is oriented from the lower to the higher degree, wedges are closed by a join."""
-    near = undirected(links).select("v", "n")
-    d = near.groupBy("v").agg(F.count("*").alias("d"))
-    both = near.where("v < n").join(d, "v").join(d.select(F.col("v").alias("n"), F.col("d").alias("dn")), "n")
-    low = (F.col("d") < F.col("dn")) | ((F.col("d") == F.col("dn")) & (F.col("v") < F.col("n")))
-    edge = cut(both.select(F.when(low, F.col("v")).otherwise(F.col("n")).alias("a"), F.when(low, F.col("n")).otherwise(F.col("v")).alias("b")))
-    wedge = edge.select("a", F.col("b").alias("b")).join(edge.select("a", F.col("b").alias("c")), "a").where("b < c")
-    closed = edge.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"))
-    found = wedge.join(closed, ["b", "c"])
-    per = found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
-    return nodes.select("id").join(per, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
+def triangles(nodes: DataFrame, links: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """id, triangles."""
+    per = triads.by_node(triangle_listing(links) if listed is None else listed)
+    return nodes.select("id").join(per, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("triangles"))
 
 
 def coreness(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -216,21 +277,16 @@ def counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return sizes.withColumn("average_links", average).crossJoin(component_count(nodes, links))
 
 
-def embeddedness(links: DataFrame) -> DataFrame:
+def embeddedness(links: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """s, t, embeddedness: common neighbours of a link's ends, besides themselves."""
-    near = cut(undirected(links.select("s", "t", F.lit(1.0).alias("w"))).select("v", "n"))
-    shared = links.select("s", "t").join(near.select(F.col("v").alias("s"), F.col("n").alias("x")), "s").join(near.select(F.col("v").alias("t"), F.col("n").alias("x")), ["t", "x"])
-    per = shared.groupBy("s", "t").agg(F.count("*").alias("embeddedness"))
-    return links.select("s", "t").join(per, ["s", "t"], "left").select("s", "t", F.coalesce("embeddedness", F.lit(0)).cast("long").alias("embeddedness"))
+    return triads.credited(links, triangle_listing(links) if listed is None else listed, "embeddedness")
 
 
 def simmelian(links: DataFrame) -> DataFrame:
     """s, t, simmelian: for links with a link back, third nodes tied both ways to both ends."""
     pairs = links.select("s", "t").distinct()
-    mutual = cut(pairs.join(pairs.select(F.col("t").alias("s"), F.col("s").alias("t")), ["s", "t"], "left_semi"))
-    third = mutual.join(mutual.select("s", F.col("t").alias("x")), "s").join(mutual.select(F.col("s").alias("t"), F.col("t").alias("x")), ["t", "x"])
-    per = third.groupBy("s", "t").agg(F.count("*").alias("simmelian"))
-    return pairs.join(per, ["s", "t"], "left").select("s", "t", F.coalesce("simmelian", F.lit(0)).cast("long").alias("simmelian"))
+    mutual = pairs.join(pairs.select(F.col("t").alias("s"), F.col("s").alias("t")), ["s", "t"], "left_semi")
+    return triads.credited(pairs, triads.listing(mutual.select(F.col("s").alias("v"), F.col("t").alias("n"))), "simmelian")
 
 
 def disparity(links: DataFrame) -> DataFrame:
@@ -251,6 +307,7 @@ def network(nodes: DataFrame, links: DataFrame, most: int = ALL_SOURCES, most_ne
     m = links.count()
     d = undirected(links).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("k"))
     local = triangles(nodes, links).join(d, "id").where((F.col("k") >= 2) & (F.col("k") <= most_neighbours)).agg(F.avg(2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).alias("clustering"))
-    paths = multi_source(links, sources(nodes, most)).where("dist > 0").agg(F.max("dist").cast("long").alias("diameter"), F.avg("dist").alias("average_path"))
+    seen = many_sources(links, _numbered(sources(nodes, most))).where("dist > 0")
+    paths = seen.agg(F.max("dist").cast("long").alias("diameter"), (F.sum(_reached() * F.col("dist")) / F.sum(_reached())).alias("average_path"))
     dense = F.lit(m / (n * (n - 1)) if n > 1 else None).cast("double").alias("density")
     return local.crossJoin(paths).select(dense, "clustering", "diameter", "average_path", F.lit(n > most).alias("approximate"))

@@ -146,11 +146,14 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1)), padded), "")
 
 
-def time_columns(df: DataFrame, columns: list[str], sample: int = 50) -> list[str]:
-    """Columns that read as times: years or epoch numbers, or text half of which parses."""
+def time_columns(df: DataFrame, columns: list[str], sample: int = 50, roles: dict[str, str] | None = None) -> list[str]:
+    """Columns with the role `time`, and those that read as times: years or epoch numbers, or text half of which parses."""
     head = df.orderBy(POS).limit(sample)
     out = []
     for c in columns:
+        if (roles or {}).get(c) == "time":
+            out.append(c)
+            continue
         v = head.select(cells.num(head, c).alias("n"), cells.tms(head, c).alias("t"), cells.cell_id(head, c).alias("x")).where("x IS NOT NULL")
         r = v.agg(F.count("*").alias("k"), F.count("n").alias("n"), F.count("t").alias("t"), F.min(((F.col("n") >= 1000) & (F.col("n") <= 3000) & (F.col("n") == F.floor("n"))).cast("int")).alias("years"), F.min((F.col("n") >= 1e8).cast("int")).alias("epochs")).first()
         if r["k"] and (r["n"] == r["k"] and (r["years"] or r["epochs"]) or r["n"] < r["k"] and 2 * r["t"] >= r["k"]):

@@ -17,6 +17,7 @@ from ..operators.chain import Condition, walked_rows
 from ..operators.details import Recipe, replay
 from ..operators.overlay import Overlay, merge
 from ..plans.scratch import cut
+from .directory import NodeDirectory
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,8 @@ class Selection:
     walked_only: bool = False
     predicates: tuple[Condition, ...] = ()
     edge_limit: int = 200_000
+    #: A walk that has reached more nodes than this goes no further hop.
+    budget: int | None = None
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Materialized:
 
 class DataSource:
     def __init__(self, edges: DataFrame, mapping: Mapping, pos: str | None = None):
-        self.mapping = mapping
+        self.mapping, self._given, self._directory = mapping, edges, None
         edges = with_positions(edges, pos)
         self.edges = edges.withColumn("__s", cells.cell_id(edges, mapping.source)).withColumn("__t", cells.cell_id(edges, mapping.target))
 
@@ -62,6 +65,12 @@ class DataSource:
     def bins(self, column: str, n: int = 24) -> DataFrame:
         return stats.histogram(self.edges, column, n)
 
+    def directory(self) -> NodeDirectory:
+        """The source's nodes with postings of their parts, made by the first call and kept with the source's files."""
+        if self._directory is None:
+            self._directory = NodeDirectory.of(self._given, self.mapping)
+        return self._directory
+
     def ids(self) -> DataFrame:
         return endpoints(self.edges, self.mapping).select("id").distinct()
 
@@ -70,11 +79,16 @@ class DataSource:
         return e.agg((F.count_distinct("id") if exact else F.approx_count_distinct("id")).alias("nodes"))
 
     def search(self, query: str, limit: int = 12) -> DataFrame:
-        """id: those that begin with the text, then those that contain it, by id."""
+        """id: those that begin with the text, then those that contain it, by id. Where the directory has been made, from
+        its postings."""
+        if self._directory is not None:
+            return self._directory.search(query, limit)
         return stats.search_nodes(self.ids().withColumn("label", F.col("id")), query, limit).select("id")
 
     def lookup(self, ids: list[str]) -> DataFrame:
         """id: which of the ids are there, in the order asked."""
+        if self._directory is not None:
+            return self._directory.lookup(ids)
         asked = [(k, i.strip()) for k, i in enumerate(dict.fromkeys(ids)) if i.strip()]
         wanted = self.edges.sparkSession.createDataFrame(asked, "place int, id string")
         found = endpoints(self.edges, self.mapping).select("id").join(F.broadcast(wanted.select("id")), "id", "left_semi").distinct()
@@ -93,7 +107,7 @@ class DataSource:
         links = walkable.where(good).select(F.col("__s").alias("s"), F.col("__t").alias("t"))
         seeds = self.edges.sparkSession.createDataFrame([(s.strip(),) for s in dict.fromkeys(selection.seeds)], "id string")
         known = seeds.join(endpoints(rows, self.mapping).select("id").join(F.broadcast(seeds), "id", "left_semi").distinct(), "id", "left_semi")
-        return traverse.reach(links, known, selection.depth, selection.direction)
+        return traverse.reach(links, known, selection.depth, selection.direction, selection.budget)
 
     def selected(self, selection: Selection) -> tuple[DataFrame, DataFrame]:
         """Rows and nodes (id, depth) of a neighbourhood, or the first rows in position order without seeds."""

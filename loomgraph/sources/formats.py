@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..model import POS, GraphDoc, Mapping, build_doc, guess_mapping, with_positions
 from ..operators import columns, stats
+from ..plans import positions
 
 #: Characters that a link's payload may unpack to.
 MAX_UNPACKED = 64 << 20
@@ -46,7 +47,8 @@ class Parsed:
 
 
 def read_table(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A table by its extension, with positions; cells of text formats stay text."""
+    """A table by its extension, with positions in file order; cells of text formats stay text, and their rows are
+    written once."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if not kind and os.path.isfile(path):
         with open(path, "rb") as f:
@@ -55,13 +57,13 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
         df = spark.read.parquet(path)
         if len(df.columns) < 2:
             raise ValueError("a table needs two columns at least")
-        df = df.withColumn(POS, F.monotonically_increasing_id())
+        df = with_positions(df)
     elif kind in (".csv", ".tsv", ".txt"):
-        df = with_positions(spark.read.csv(path, header=True, sep="\t" if kind == ".tsv" else ",", inferSchema=False, multiLine=True, escape='"'))
+        df = positions.of_text(spark.read.csv(path, header=True, sep="\t" if kind == ".tsv" else ",", inferSchema=False, multiLine=True, escape='"'), POS)
     elif kind in (".jsonl", ".ndjson"):
-        df = with_positions(spark.read.json(path, mode="FAILFAST"))
+        df = positions.of_text(spark.read.json(path, mode="FAILFAST"), POS)
     elif kind == ".json":
-        df = with_positions(spark.read.json(path, multiLine=True))
+        df = positions.of_text(spark.read.json(path, multiLine=True), POS)
     elif kind in (".xlsx", ".xls", ".xlsm", ".ods"):
         df = next(iter(read_sheets(spark, path).values()))
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import cells
-from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, first_rows, occurrence, reconcile
+from .model import POS, GraphDoc, Mapping, build_doc, derive_nodes, first_rows, occurrence, reconcile, with_positions
 from .operators import arrange, columns, community, details, edits, frames, graph, metrics, overlay, scripts, stats, style, transforms, traverse
 from .operators.chain import Condition, Step, apply_chain
 from .sources.datasource import DataSource, Selection
@@ -287,6 +287,20 @@ def filter_node_column(spark, d):
     return _counts(apply_chain(cn(spark, d), [Step("column", table="nodes", condition=Condition("seg", selected=("BUILDING",)))]))
 
 
+@query(f"""WITH {FG}, k AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_acctbal BETWEEN 0 AND 5000)
+SELECT (SELECT count(*) FROM k) AS nodes, (SELECT count(*) FROM fl WHERE s IN (SELECT id FROM k) AND t IN (SELECT id FROM k)) AS links, (SELECT count(*) FROM fr WHERE s <> t AND s IN (SELECT id FROM k) AND t IN (SELECT id FROM k)) AS n_rows""")
+def filter_timewindow_nodes(spark, d):
+    c = _table(spark, d, "customer")
+    doc = fg(spark, d).with_(nodes=c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("bal"), F.col("c_custkey").alias(POS)), node_id="id", nodes_declared=True)
+    return _counts(apply_chain(doc, [Step("timewindow", table="nodes", column="bal", low=0, high=5000)]))
+
+
+@query("""SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC NULLS LAST, p_partkey) - 1 AS place FROM part QUALIFY place BETWEEN 100 AND 149""")
+def table_sorted_page(spark, d):
+    rows = with_positions(_table(spark, d, "part"), "p_partkey")
+    return details.sorted_page(rows, "p_retailprice", 2, 50, descending=True).select("p_partkey", "p_name", F.col("place").cast("long").alias("place"))
+
+
 @query(f"""WITH {CN}, n AS (SELECT s AS id FROM cn UNION SELECT t FROM cn), k AS (SELECT id FROM n WHERE id NOT IN (SELECT 'C' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))
 SELECT (SELECT count(*) FROM k) AS nodes, count(*) AS links, count(*) AS n_rows FROM cn WHERE s IN (SELECT id FROM k) AND t IN (SELECT id FROM k)""")
 def filter_inverted_node_column(spark, d):
@@ -438,7 +452,7 @@ def filter_ego_many(spark, d):
 
 
 @query(f"""WITH {UU}, a AS (SELECT * FROM ug WHERE kind <> 'purchase'), d1 AS (SELECT id, count(*) AS n FROM (SELECT s AS id FROM (SELECT DISTINCT s, t FROM a) UNION ALL SELECT t FROM (SELECT DISTINCT s, t FROM a)) GROUP BY id),
-b AS (SELECT * FROM a WHERE s IN (SELECT id FROM d1 WHERE n >= 10) AND t IN (SELECT id FROM d1 WHERE n >= 10)), c AS (SELECT * FROM b WHERE epoch_ms(ts) >= 1704240000000),
+b AS (SELECT * FROM a WHERE s IN (SELECT id FROM d1 WHERE n >= 10) AND t IN (SELECT id FROM d1 WHERE n >= 10)), c AS (SELECT * FROM b WHERE epoch_us(ts) // 1000 >= 1704240000000),
 d2 AS (SELECT id, count(*) AS n FROM (SELECT s AS id FROM (SELECT DISTINCT s, t FROM c) UNION ALL SELECT t FROM (SELECT DISTINCT s, t FROM c)) GROUP BY id),
 e AS (SELECT * FROM c WHERE s NOT IN (SELECT id FROM d2 WHERE n >= 150) AND t NOT IN (SELECT id FROM d2 WHERE n >= 150)), el AS (SELECT s, t, count(*) AS n_rows FROM e GROUP BY s, t)
 SELECT x.s, x.t, x.n_rows FROM el x WHERE NOT EXISTS (SELECT 1 FROM el y WHERE x.s = y.t AND x.t = y.s)""")
@@ -675,9 +689,9 @@ def network_counts(spark, d):
     return metrics.counts(g.nodes.select("id", "pos"), g.links).select("nodes", "edges", r6("average_links"), "components")
 
 
-_FRAMES = f"""{UU}, e AS (SELECT min(epoch_ms(ts)) AS lo, max(epoch_ms(ts)) AS hi FROM uu), fb AS (SELECT unnest(generate_series(0, (hi - lo) // 86400000)) AS frame, lo, hi FROM e),
+_FRAMES = f"""{UU}, e AS (SELECT min(epoch_us(ts) // 1000) AS lo, max(epoch_us(ts) // 1000) AS hi FROM uu), fb AS (SELECT unnest(generate_series(0, (hi - lo) // 86400000)) AS frame, lo, hi FROM e),
 f AS (SELECT frame, lo + 86400000 * frame AS a, least(lo + 86400000 * frame + 259200000, hi) AS z FROM fb),
-x AS (SELECT frame, s, t FROM f JOIN uu ON epoch_ms(ts) BETWEEN a AND z), g AS (SELECT frame, s, t FROM x WHERE s <> t)"""
+x AS (SELECT frame, s, t FROM f JOIN uu ON epoch_us(ts) // 1000 BETWEEN a AND z), g AS (SELECT frame, s, t FROM x WHERE s <> t)"""
 
 
 @query(f"""WITH {_FRAMES} SELECT CAST(frame AS INTEGER) AS frame, CAST(a AS DOUBLE) AS "start", CAST(z AS DOUBLE) AS "end", (SELECT count(*) FROM x WHERE x.frame = f.frame) AS rows,
@@ -856,7 +870,7 @@ def _many_renames():
     return [*first, *[(f"G{k}", f"G{k + 1}") for k in (0, 1, 2, 3, 5, 6, 7, 8)], ("C1001", "G0"), ("N3", "N4")]
 
 
-_MANY = """CASE WHEN {0} = 'N3' THEN 'N4' WHEN {0} = 'C1001' THEN 'G0' WHEN {0} LIKE 'C%' AND CAST(substr({0}, 2) AS INT) <= 1000 THEN
+_MANY = """CASE WHEN {0} = 'N3' THEN 'N4' WHEN {0} = 'C1001' THEN 'G0' WHEN {0} LIKE 'C%' AND CAST(substr({0}, 2) AS INT) BETWEEN 1 AND 1000 THEN
 CASE WHEN CAST(substr({0}, 2) AS INT) % 10 <= 4 THEN 'G4' ELSE 'G9' END ELSE {0} END"""
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .functions import cells
 from .plans import positions
+from .plans.scratch import cut
 
 #: Name of the column that holds a row's position in its table.
 POS = "__pos"
@@ -132,7 +133,35 @@ def unique_name(name: str, taken: set[str]) -> str:
     return f"{name} {k}"
 
 
+#: Parallel rows of one pair of ends that one task numbers; where a pair has more, rows are numbered by ranges.
+HOT_PAIR = 1_000_000
+
+
 def occurrence(edges: DataFrame, mapping: Mapping) -> DataFrame:
     """__s, __t and __occ: which of the parallel rows a row is, from 0."""
     keyed = edges.withColumn("__s", cells.cell_id(edges, mapping.source)).withColumn("__t", cells.cell_id(edges, mapping.target))
+    most = keyed.groupBy("__s", "__t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) > HOT_PAIR:
+        return _occurrence_by_ranges(keyed)
     return keyed.withColumn("__occ", F.row_number().over(Window.partitionBy("__s", "__t").orderBy(POS)) - 1)
+
+
+def _occurrence_by_ranges(keyed: DataFrame) -> DataFrame:
+    """The same by range partitions of ends and place: a pair may lie in many of them. Each partition's first pair goes on
+    from the partitions before, of which the driver needs the first and the last pair and how many rows these have."""
+    order = ["__s", "__t", POS]
+    dealt = cut(keyed.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    pair = F.struct("__s", "__t")
+    ends = dealt.groupBy("__part").agg(F.min(pair).alias("first"), F.max(pair).alias("last"))
+    count = lambda end: F.sum(pair.eqNullSafe(F.col(end)).cast("long")).alias(f"n_{end}")
+    facts = dealt.join(F.broadcast(ends), "__part").groupBy("__part", "first", "last").agg(count("first"), count("last")).orderBy("__part").collect()
+    before, held, offsets = None, 0, []
+    for r in facts:
+        start = held if before is not None and before == r["first"] else 0
+        offsets.append((r["__part"], start))
+        before, held = r["last"], r["n_last"] + (start if r["first"] == r["last"] else 0)
+    lookup = keyed.sparkSession.createDataFrame(offsets, "__part int, __start long")
+    own = F.row_number().over(Window.partitionBy("__part", "__s", "__t").orderBy(POS)) - 1
+    numbered = dealt.withColumn("__occ", own).join(F.broadcast(ends.select("__part", "first").join(F.broadcast(lookup), "__part")), "__part")
+    goes_on = F.when(pair.eqNullSafe(F.col("first")), F.col("__start")).otherwise(0)
+    return numbered.withColumn("__occ", (F.col("__occ") + goes_on).cast("int")).drop("__part", "first", "__start")

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..model import POS, GraphDoc
 from ..plans.scratch import cut
-from . import community, edits, graph, metrics, style, traverse
+from . import community, edits, graph, metrics, stats, style, traverse
 
 
 def incident_rows(ends: DataFrame, ids: list[str]) -> DataFrame:
@@ -44,6 +45,14 @@ def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
     return df.orderBy(POS).offset(number * size).limit(size)
 
 
+def sorted_page(df: DataFrame, column: str, number: int, size: int = 50, descending: bool = False) -> DataFrame:
+    """Rows of one page (from 0) of the table as it is sorted by a column, with their places. Tasks keep the rows up to the
+    page's end only."""
+    head = stats.sort_rows(df, column, descending).limit((number + 1) * size)
+    order = Window.orderBy(*stats.sort_keys(df, column, descending))  # of one page's rows and those before it
+    return head.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") >= number * size)
+
+
 def forward_steps(links: DataFrame, route: list[str]) -> list[bool]:
     """For each step of a route: does a link lead that way?"""
     steps = list(zip(route, route[1:]))

@@ -108,11 +108,17 @@ def search_only(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     return df.where(hit(df, columns, query))
 
 
-def sort_rows(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Rows by a column: numbers by value, text with the digits in it by theirs; blank cells last, ties as they stood."""
+def sort_keys(df: DataFrame, column: str, descending: bool = False) -> list[Column]:
+    """What sorted tables are ordered by: numbers by value, text with the digits in it by theirs; blank cells last, ties as
+    they stood."""
     number = isinstance(df.schema[column].dataType, T.NumericType)
     key = cells.num(df, column) if number else natural_key(cells.cell_id(df, column))
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), POS)
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(POS).asc()]
+
+
+def sort_rows(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows by a column, in the order of `sort_keys`."""
+    return df.orderBy(*sort_keys(df, column, descending))
 
 
 class Remembered:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import model
 from loomgraph.model import POS, Mapping, with_positions
 from loomgraph.operators import frames, metrics, stats, traverse, triads
 from loomgraph.plans import bucketed
@@ -230,6 +231,20 @@ def test_playback_is_the_windows_one_by_one(spark):
         assert (r["start"], r["end"], r["rows"], r["links"], r["nodes"]) == (a, z, len(inside), len(links), len({e for p in links for e in p}))
 
 
+def test_rows_of_a_hot_pair_are_numbered_by_ranges(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("a", "b", k) for k in range(500)] + [(rng.choice("abc"), rng.choice(["b", "c", None]), 500 + k) for k in range(300)]
+    rng.shuffle(rows)
+    edges = spark.createDataFrame(rows, f"s string, t string, {POS} long").repartition(5)
+    want, seen = {}, {}
+    for s, t, pos in sorted(rows, key=lambda r: r[2]):
+        want[pos] = seen.get((s, t), 0)
+        seen[s, t] = want[pos] + 1
+    for hot in (1_000_000, 50):
+        monkeypatch.setattr(model, "HOT_PAIR", hot)
+        assert {r[POS]: r["__occ"] for r in model.occurrence(edges, Mapping("s", "t")).collect()} == want
+
+
 def test_times_by_their_role(spark):
     df = spark.createDataFrame([(k, f"t{k}", 2000 + k) for k in range(5)], f"{POS} long, x string, y long")
     assert stats.time_columns(df, ["x", "y"]) == ["y"] and stats.time_columns(df, ["x", "y"], roles={"x": "time"}) == ["x", "y"]

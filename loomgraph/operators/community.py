@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import cut
+from ..plans.scratch import cut, dropped
 from .graph import undirected
 from .metrics import ranked
 
@@ -165,19 +165,22 @@ def _modularity(pairs: DataFrame, labels: DataFrame, resolution: float) -> DataF
     return inside.crossJoin(per).select(F.when(F.col("total") > 0, value).otherwise(0.0).alias("modularity"))
 
 
-def _spread(ranks: DataFrame, pairs: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
-    """Label spreading: the label with the most weight among neighbours, ties to the smaller; at most `rounds` rounds.
-    The resolution only counts in the modularity that is told."""
+def _spread(ranks: DataFrame, pairs: DataFrame, resolution: float = 1.0, rounds: int = 100) -> DataFrame:
+    """Label spreading: the label with the most weight among neighbours, ties to the smaller, until no node would take
+    another. If that isn't so after `rounds` rounds, the method says so. The resolution only counts in the modularity."""
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     state = cut(ranks.select("id", "rank", F.col("rank").alias("label")))
+    settled = False
     for k in range(rounds):
         votes = both.join(state.select(F.col("rank").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
         won = votes.groupBy("a").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
         # Half of the nodes move in a round, so that two don't swap for ever.
         moves = F.pmod(F.xxhash64("rank", F.lit(k)), F.lit(2)) == 0
-        new = cut(state.join(won, state["rank"] == won["a"], "left").select("id", "rank", F.when(moves, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
-        state = new.drop("was")
-        if k and new.where("label <> was").isEmpty():
+        wish = F.coalesce("new", "label")
+        new = cut(state.join(won, state["rank"] == won["a"], "left").select("id", "rank", F.when(moves, wish).otherwise(F.col("label")).alias("label"), (wish != F.col("label")).alias("open")))
+        dropped(state)
+        state = new
+        if settled := new.where("open").isEmpty():
             break
     told = state.crossJoin(F.broadcast(_modularity(pairs, state.select("rank", "label"), resolution)))
-    return told.select("id", F.col("label").cast("string").alias("community"), F.lit(None).cast("double").alias("stability"), "modularity", F.lit("label spreading").alias("method"))
+    return told.select("id", F.col("label").cast("string").alias("community"), F.lit(None).cast("double").alias("stability"), "modularity", F.lit("label spreading" if settled else "label spreading, not settled").alias("method"))

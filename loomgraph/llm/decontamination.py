@@ -10,9 +10,9 @@ edit (under 10 characters at a tenth) have to occur exactly and as whole words.
 
 The q-grams of a block of items (`broadcast_chars` characters together at most) are indexed and broadcast. Of a larger
 benchmark all q-grams go into one bit map of fixed size first, and one scan keeps the documents that hit it as often
-as the least bound asks; the blocks then take turns on these documents, each turn writing what it found, so neither
-what is broadcast at a time nor the scans of all documents grow with the benchmark. Documents aren't shuffled: a
-document's regions are judged where it is read, so a hot source or a passage that many share is no bottleneck.
+as the least bound of any item asks; the blocks then take turns on these documents, each turn writing what it found, so
+what is broadcast at a time doesn't grow with the benchmark. That least bound keeps most documents of ordinary text, so
+a benchmark of many blocks reads them about as many times. Documents aren't shuffled: a document's regions are judged where it is read, so a hot source or a passage that many share is no bottleneck.
 
 Cases: null and empty documents have no matches, null and empty items match nothing; equal items match alike; of
 several matches of an item in a document the one with the fewest edits, then the first, is given; repeated rows are

@@ -1,0 +1 @@
+from ..plans import forests as graph_parts  # noqa: F401

@@ -33,3 +33,25 @@ def test_local_script_beyond_the_whole_graphs_limit(spark):
     nodes = links.select(F.col("s").alias("id"), "pos").unionByName(links.select(F.col("t").alias("id"), "pos").dropDuplicates(["id"]))
     got = scripts.script_values(spark, "def run(graph):\n    return {k: len(v) for k, v in graph['neighbors'].items()}", nodes, links, local=True)
     assert got.groupBy(F.length("id") > 0).agg(F.count("*"), F.sum("value")).collect()[0][1:] == (201_100, 400_200.0)
+
+
+def test_components_of_a_long_path_take_few_tables(spark, monkeypatch):
+    from loomgraph.plans import scratch
+
+    order = list(range(2000))
+    random.Random(5).shuffle(order)
+    links = spark.createDataFrame([(str(a), str(b)) for a, b in zip(order, order[1:]) if a % 10 and b % 10], "s string, t string")
+    up = {k: k for k in order}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in zip(order, order[1:]):
+        if a % 10 and b % 10 and root(a) != root(b):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    nodes, n, write = spark.range(2000).selectExpr("cast(id as string) AS id", "id AS rank"), [], scratch._write
+    monkeypatch.setattr(scratch, "_write", lambda df, path: n.append(path) or write(df, path))
+    got = {int(r["id"]): r["comp"] for r in traverse.component_labels(nodes, links).collect()}
+    assert got == {k: root(k) for k in order} and len(n) <= 3

@@ -1,11 +1,13 @@
 """Whole jobs on large graphs: scripts in parts, components by union-find, walks over dealt steps, layouts."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import scripts, traverse
+from loomgraph.operators import arrange, scripts, traverse
 
 
 def _links(spark, pairs):
@@ -55,3 +57,28 @@ def test_components_of_a_long_path_take_few_tables(spark, monkeypatch):
     monkeypatch.setattr(scratch, "_write", lambda df, path: n.append(path) or write(df, path))
     got = {int(r["id"]): r["comp"] for r in traverse.component_labels(nodes, links).collect()}
     assert got == {k: root(k) for k in order} and len(n) <= 3
+
+
+def _plain_pack(radii, gap=4.0):
+    out = np.zeros((len(radii), 2))
+    placed = []
+    for k in np.argsort(-radii, kind="stable"):
+        r, t = radii[k], 0.0
+        while True:
+            d = 0.6 * t
+            at = np.array([d * math.cos(t), d * math.sin(t)])
+            if all(((at - out[j]) ** 2).sum() >= (r + radii[j] + gap) ** 2 for j in placed):
+                break
+            t += max(0.1, min(1.0, r / (d + r)))
+        out[k] = at
+        placed.append(k)
+    return out
+
+
+def test_circles_of_one_size_go_on_along_the_spiral(monkeypatch):
+    radii = 4 + np.random.default_rng(2).integers(0, 6, 120) / 3
+    assert np.allclose(arrange.pack(radii), _plain_pack(radii), rtol=0, atol=1e-12)
+    calls, cos = [], math.cos
+    monkeypatch.setattr(arrange.math, "cos", lambda t: calls.append(t) or cos(t))
+    arrange.pack(np.full(600, 5.0))
+    assert len(calls) < 20_000

@@ -82,3 +82,26 @@ def test_circles_of_one_size_go_on_along_the_spiral(monkeypatch):
     monkeypatch.setattr(arrange.math, "cos", lambda t: calls.append(t) or cos(t))
     arrange.pack(np.full(600, 5.0))
     assert len(calls) < 20_000
+
+
+def test_forces_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    n = 150
+    pairs = rng.integers(0, n, (400, 2))
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    weights = rng.uniform(0, 2, len(pairs))
+    at = np.random.default_rng(1).uniform(-1, 1, (n, 2)) * 10 * math.sqrt(n)
+    mass = 1.0 + np.bincount(pairs.ravel(), minlength=n)
+    push = np.zeros((n, 2))
+    for i in range(n):
+        for j in range(n):
+            d = at[i] - at[j]
+            push[i] += d * 10 * mass[i] * mass[j] / ((d**2).sum() + 1e-3)
+        push[i] -= at[i] * mass[i] / (np.hypot(*at[i]) + 1e-3)
+    for (a, b), w in zip(pairs, weights):
+        push[a] += (at[b] - at[a]) * w
+        push[b] -= (at[b] - at[a]) * w
+    size = np.hypot(*push.T)
+    speed = min(1.5, (mass * size).sum() / 2 / ((mass * size).sum() + 1e-9))
+    at += push * np.minimum(speed / (1 + speed * np.sqrt(size)), 10 / (size + 1e-9))[:, None]
+    assert np.allclose(arrange.forces(n, pairs, weights, rounds=1), at, rtol=0, atol=1e-8)

@@ -248,3 +248,35 @@ def test_rows_of_a_hot_pair_are_numbered_by_ranges(spark, monkeypatch):
 def test_times_by_their_role(spark):
     df = spark.createDataFrame([(k, f"t{k}", 2000 + k) for k in range(5)], f"{POS} long, x string, y long")
     assert stats.time_columns(df, ["x", "y"]) == ["y"] and stats.time_columns(df, ["x", "y"], roles={"x": "time"}) == ["x", "y"]
+
+
+def test_counters_meet_in_blocks_as_the_whole_walk_does(spark, monkeypatch):
+    """Slices, buckets, blocks and hubs: registers and rounds are those of a walk in memory, link by link."""
+    import numpy as np
+
+    from loomgraph.operators import waves
+
+    for name, value in {"SIDE": 64, "WIDTH": 64, "PACKED": 50, "TASKS": 12}.items():
+        monkeypatch.setattr(waves, name, value)
+    rng = np.random.default_rng(3)
+    n, bits = 300, 8
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n - 5, (260, 2)) if a != b} | {(7, k) for k in range(40, 200)}
+    links = sorted(pairs | {(b, a) for a, b in pairs})
+    hashes = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+    numbered = spark.createDataFrame([(f"n{k}", k, int(h)) for k, h in enumerate(hashes)], "id string, number long, hash long")
+    steps = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links], "a string, b string")
+    cells = waves.hashed(bits)(numbered.toArrow(), n)
+    powers = np.append(0.0, np.ldexp(1.0, -np.arange(1, 256)))
+    a, b = np.array(links).T
+    told = 0
+    for tallies in waves.rounds(steps, numbered, n, ["hash"], waves.hashed(bits), waves.registers(bits)):
+        got = np.zeros((n, 2))
+        for r in tallies.collect():
+            got[r["b"] * 64 : r["b"] * 64 + 64] += np.frombuffer(r["tally"]).reshape(-1, 2)
+        assert np.allclose(got, np.stack((powers[cells].sum(1), (cells == 0).sum(1)), 1))
+        new = cells.copy()
+        np.maximum.at(new, b, cells[a])
+        last, cells, told = (new == cells).all(), new, told + 1
+    assert last and told > 3
+    many = waves.hashed(12)(spark.range(50_000).selectExpr("xxhash64(id) AS hash").toArrow(), 50_000).max(0)
+    assert waves.estimates(np.array([[powers[many].sum(), (many == 0).sum()]]), 12)[0] == pytest.approx(50_000, rel=0.05)

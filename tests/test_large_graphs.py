@@ -105,3 +105,61 @@ def test_forces_are_those_of_all_pairs():
     speed = min(1.5, (mass * size).sum() / 2 / ((mass * size).sum() + 1e-9))
     at += push * np.minimum(speed / (1 + speed * np.sqrt(size)), 10 / (size + 1e-9))[:, None]
     assert np.allclose(arrange.forces(n, pairs, weights, rounds=1), at, rtol=0, atol=1e-8)
+
+
+def _sampled_paths(near, ids, step):
+    """For every n/600th node as a source: distances, path counts and dependencies, by plain walks."""
+    reached, between = {i: [] for i in ids}, dict.fromkeys(ids, 0.0)
+    for s in ids[::step]:
+        dist, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in near[v]:
+                if u not in dist:
+                    dist[u], sigma[u] = dist[v] + 1, 0.0
+                    order.append(u)
+                if dist[u] == dist[v] + 1:
+                    sigma[u] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            for v in near[u]:
+                if dist[v] == dist[u] - 1:
+                    delta[v] += sigma[v] / sigma[u] * (1 + delta[u])
+            if u != s:
+                between[u] += delta[u]
+                reached[u].append(dist[u])
+    return reached, between
+
+
+def test_path_metrics_keep_no_row_for_a_source_and_node(spark, monkeypatch):
+    from loomgraph.operators import metrics, waves
+    from loomgraph.plans import scratch
+
+    rng = random.Random(8)
+    ids = [f"n{k}" for k in range(300)]
+    pairs = sorted({(ids[a], ids[b]) for a, b in ((rng.randrange(290), rng.randrange(290)) for _ in range(450)) if a != b} | {("n1", f"n{k}") for k in range(30, 80)})
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    nodes, links = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, pos long"), _links(spark, pairs).withColumn("w", F.lit(1.0))
+    for name, value in {"SIDE": 64, "WIDTH": 16, "PACKED": 200, "TASKS": 6, "COUNTED": 64}.items():
+        monkeypatch.setattr(waves, name, value)
+    written, write = [], scratch._write
+
+    def counted(df, path, *more):
+        out = write(df, path, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "_write", counted)
+    most = 150
+    reached, between = _sampled_paths(near, ids, 2)
+    got = {r["id"]: r["betweenness"] for r in metrics.betweenness(nodes, links, most).collect()}
+    assert got == pytest.approx({i: x * 300 / 150 / 2 * 2 / (299 * 298) for i, x in between.items()})
+    close = {r["id"]: r["closeness"] for r in metrics.closeness(nodes, links, most).collect()}
+    among = {i: most - (k % 2 == 0) for k, i in enumerate(ids)}
+    assert close == pytest.approx({i: len(d) / among[i] * len(d) / sum(d) if d else 0.0 for i, d in reached.items()})
+    row = metrics.network(nodes, links, most).first()
+    every = [d for x in reached.values() for d in x]
+    assert row["diameter"] == max(every) and row["average_path"] == pytest.approx(sum(every) / len(every)) and row["approximate"]
+    assert max(written) <= 2 * len(pairs)

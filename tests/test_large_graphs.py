@@ -163,3 +163,16 @@ def test_path_metrics_keep_no_row_for_a_source_and_node(spark, monkeypatch):
     every = [d for x in reached.values() for d in x]
     assert row["diameter"] == max(every) and row["average_path"] == pytest.approx(sum(every) / len(every)) and row["approximate"]
     assert max(written) <= 2 * len(pairs)
+
+
+def test_coreness_broadcasts_no_values(spark, monkeypatch):
+    from loomgraph.operators import metrics
+    from loomgraph.plans import bucketed
+
+    plans, save = [], bucketed.Buckets.save
+    monkeypatch.setattr(bucketed.Buckets, "save", lambda self, df, *more, **how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df, *more, **how))
+    pairs = [(a, b) for a in "abcd" for b in "abcd" if a < b] + [("d", "e"), ("e", "f"), ("f", "d"), ("f", "g")]
+    nodes = spark.createDataFrame([(i, k) for k, i in enumerate("abcdefgh")], "id string, pos long")
+    got = metrics.coreness(nodes, _links(spark, pairs).withColumn("w", F.lit(1.0)))
+    assert {r["id"]: r["coreness"] for r in got.collect()} == {"a": 3, "b": 3, "c": 3, "d": 3, "e": 2, "f": 2, "g": 1, "h": 0}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)

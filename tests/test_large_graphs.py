@@ -165,6 +165,17 @@ def test_path_metrics_keep_no_row_for_a_source_and_node(spark, monkeypatch):
     assert max(written) <= 2 * len(pairs)
 
 
+def test_triangles_meet_as_lists_of_numbers(spark, monkeypatch):
+    from loomgraph.operators import triads
+
+    pairs = [(a, b) for a in "abcde" for b in "abcde" if a < b] + [("e", "f")]
+    both = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "v string, n string")
+    tables, cut = [], triads.cut
+    monkeypatch.setattr(triads, "cut", lambda df, *more: tables.append(dict(df.dtypes)) or cut(df, *more))
+    assert {frozenset(r) for r in triads.listing(both).collect()} == {frozenset((a, b, c)) for a in "abcde" for b in "abcde" for c in "abcde" if a < b < c}
+    assert {"a": "int", "b": "int", "c": "int"} in tables and tables[-1] == {"a": "string", "b": "string", "c": "string"}
+
+
 def test_coreness_broadcasts_no_values(spark, monkeypatch):
     from loomgraph.operators import metrics
     from loomgraph.plans import bucketed

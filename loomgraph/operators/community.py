@@ -7,18 +7,21 @@ method and is named so in the result."""
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import cut, dropped
+from ..plans.bucketed import Buckets, arcs, count_for
+from ..plans.scratch import cut
 from .graph import undirected
 from .metrics import ranked
 
 #: Distinct pairs that one task works on.
 MOST_PAIRS = 2_000_000
+#: Nodes whose labels are sent to every task in a round of label spreading; more are joined by shuffling.
+MOST_TOLD = 4_000_000
 _LEAST_GAIN = 1e-12
 
 
@@ -155,32 +158,56 @@ def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, sta
     return whole.groupBy("g").applyInPandas(run, "id string, community string, stability double, modularity double, method string")
 
 
-def _modularity(pairs: DataFrame, labels: DataFrame, resolution: float) -> DataFrame:
-    """One row: modularity of labels (rank, label) over pairs (a, b, w)."""
+def _modularity(pairs: DataFrame, labels: DataFrame, resolution: float, n: int | None = None) -> DataFrame:
+    """One row: modularity of labels (rank, label) over pairs (a, b, w). n: how many labels, where that is known."""
+    named = _told(labels, n) if n is not None else labels
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rank"), "w").groupBy("rank").agg(F.sum("w").alias("strength"))
     per = ends.join(labels, "rank").groupBy("label").agg(F.sum("strength").alias("x")).agg(F.sum(F.col("x") ** 2).alias("squares"))
-    both = pairs.join(labels.select(F.col("rank").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rank").alias("b"), F.col("label").alias("lb")), "b")
+    both = pairs.join(named.select(F.col("rank").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("rank").alias("b"), F.col("label").alias("lb")), "b")
     inside = both.agg(F.sum("w").alias("total"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inside"))
     value = F.col("inside") / F.col("total") - resolution * F.col("squares") / (4 * F.col("total") ** 2)
     return inside.crossJoin(per).select(F.when(F.col("total") > 0, value).otherwise(0.0).alias("modularity"))
 
 
+def _told(labels: DataFrame, n: int) -> DataFrame:
+    """Labels for a join with links: to every task, while they are few."""
+    return F.broadcast(labels) if n <= MOST_TOLD else labels
+
+
 def _spread(ranks: DataFrame, pairs: DataFrame, resolution: float = 1.0, rounds: int = 100) -> DataFrame:
     """Label spreading: the label with the most weight among neighbours, ties to the smaller, until no node would take
-    another. If that isn't so after `rounds` rounds, the method says so. The resolution only counts in the modularity."""
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    state = cut(ranks.select("id", "rank", F.col("rank").alias("label")))
+    another. If that isn't so after `rounds` rounds, the method says so. The resolution only counts in the modularity.
+
+    Links lie in buckets of the node that is told, which has its votes counted where they lie: a round exchanges labels
+    only, not votes. The votes of nodes that don't move in a round are counted only when none that may does."""
+    spark, links = ranks.sparkSession, pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    n, n_links = ranks.count(), 2 * pairs.count()
+    dealt = Buckets(spark, count_for(spark, n_links))
+    near = arcs(dealt, links.select(F.col("a").alias("id"), F.col("b").alias("t"), "w"), n_links)
+    state = dealt.save(ranks.select("rank", F.col("rank").alias("label")), "rank")
+    parts = [near.light] if near.heavy is None else [near.light, near.heavy]
+
+    def wished(who: Callable[[Column], Column]) -> DataFrame:
+        """rank, label and the label that each node would take (wish); of those that `who` (of rank) is true for."""
+        labels, won = _told(state.select(F.col("rank").alias("t"), "label"), n), []
+        for part in parts:
+            votes = part.where(who(F.col("id"))).join(labels, "t").groupBy("id", "label").agg(F.sum("w").alias("w"))
+            won.append(votes.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new")))
+        both = won[0] if len(won) == 1 else won[0].unionByName(won[1])
+        return state.join(both, state["rank"] == both["id"], "left").select("rank", "label", F.coalesce("new", "label").alias("wish"))
+
     settled = False
     for k in range(rounds):
-        votes = both.join(state.select(F.col("rank").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        won = votes.groupBy("a").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
         # Half of the nodes move in a round, so that two don't swap for ever.
-        moves = F.pmod(F.xxhash64("rank", F.lit(k)), F.lit(2)) == 0
-        wish = F.coalesce("new", "label")
-        new = cut(state.join(won, state["rank"] == won["a"], "left").select("id", "rank", F.when(moves, wish).otherwise(F.col("label")).alias("label"), (wish != F.col("label")).alias("open")))
-        dropped(state)
-        state = new
-        if settled := new.where("open").isEmpty():
+        moves = lambda rank, k=k: F.pmod(F.xxhash64(rank, F.lit(k)), F.lit(2)) == 0
+        new = dealt.save(wished(moves).select("rank", F.col("wish").alias("label"), (F.col("wish") != F.col("label")).alias("open")), "rank", near.heavy is None)
+        # The rest's votes are of the labels before the round, which are those after it if nothing moved.
+        still = new.where("open").isEmpty()
+        if settled := still and wished(lambda rank: ~moves(rank)).where("wish <> label").isEmpty():
             break
-    told = state.crossJoin(F.broadcast(_modularity(pairs, state.select("rank", "label"), resolution)))
+        dealt.drop(state)
+        state = new
+    labels = cut(state.select("rank", "label"))
+    dealt.close()
+    told = ranks.join(labels, "rank").crossJoin(F.broadcast(_modularity(pairs, labels, resolution, n)))
     return told.select("id", F.col("label").cast("string").alias("community"), F.lit(None).cast("double").alias("stability"), "modularity", F.lit("label spreading" if settled else "label spreading, not settled").alias("method"))

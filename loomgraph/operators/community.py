@@ -1,15 +1,18 @@
 """Communities by modularity, and how stable they are.
 
-Greedy moves depend on the order of visits, so the exact method runs in one task over the graph's distinct pairs, up
-to `most_pairs` of them (checked); beyond, communities come from distributed label spreading, which is another
-method and is named so in the result."""
+Greedy moves depend on the order of visits, so the exact method runs in one task over the graph's distinct pairs, as
+arrays of numbers without ids, up to `most_pairs` of them (checked); beyond, communities come from distributed label
+spreading, which is another method and is named so in the result. Runs in other orders, which tell the stability, are
+tasks of their own."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,33 +21,62 @@ from ..plans.scratch import cut
 from .graph import undirected
 from .metrics import ranked
 
-#: Distinct pairs that one task works on.
-MOST_PAIRS = 2_000_000
+#: Distinct pairs that one task works on; where only the exact method will do (stability), and its arrays still fit.
+MOST_PAIRS, MOST_STABLE_PAIRS = 2_000_000, 12_000_000
 #: Nodes whose labels are sent to every task in a round of label spreading; more are joined by shuffling.
 MOST_TOLD = 4_000_000
+#: Runs in other orders, and the tasks that they are dealt to, each of which holds the arrays of one run at a time.
+RUNS, RUN_TASKS = 8, 3
 _LEAST_GAIN = 1e-12
 
 
-def _one_level(near: list[dict[int, float]], loops: list[float], order: list[int], resolution: float, sweeps: int = 50) -> list[int]:
+class _Links:
+    """Neighbours of n nodes in flat arrays: those of v are to[start[v]:start[v + 1]], in the order in which they came
+    first, with the sums of their weights."""
+
+    def __init__(self, n: int, v: np.ndarray, u: np.ndarray, w: np.ndarray):
+        key = v.astype(np.int64) * n + u
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool))
+        if len(fresh) < len(key):
+            # bincount adds in the order of coming, as one weight after the other would.
+            w = np.bincount(np.repeat(np.arange(len(fresh)), np.diff(np.r_[fresh, len(key)])), w[order], len(fresh))
+        else:
+            w = w[order]
+        first = order[fresh]
+        del key, order, fresh
+        came = np.lexsort((first, v[first]))
+        first = first[came]
+        self.w = array("d", w[came].tobytes())
+        self.to = array("i", u[first].astype(np.int32).tobytes())
+        self.start = array("q", np.r_[0, np.cumsum(np.bincount(v[first], minlength=n))].astype(np.int64).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+
+def _one_level(near: _Links, loops: Sequence[float], order: Sequence[int], resolution: float, sweeps: int = 50) -> array:
     """Moves nodes between communities, in order, while modularity rises."""
-    n = len(near)
-    strength = [sum(x.values()) + 2 * loops[v] for v, x in enumerate(near)]
+    n, start, to, ws = len(near), near.start, near.to, near.w
+    strength = array("d", (sum(ws[start[v] : start[v + 1]]) + 2 * loops[v] for v in range(n)))
     total = sum(strength)
-    own, weight = list(range(n)), strength[:]
+    own, weight = array("i", range(n)), strength[:]
     if not total:
         return own
     for _ in range(sweeps):
         moved = False
         for v in order:
             ties: dict[int, float] = {}
-            for u, w in near[v].items():
-                ties[own[u]] = ties.get(own[u], 0.0) + w
+            for k in range(start[v], start[v + 1]):
+                c = own[to[k]]
+                ties[c] = ties.get(c, 0.0) + ws[k]
             here = own[v]
             weight[here] -= strength[v]
-            worth = lambda c: ties.get(c, 0.0) - resolution * strength[v] * weight[c] / total  # noqa: E731, B023
-            best, most = here, worth(here)
-            for c in ties:
-                if (value := worth(c)) > most + _LEAST_GAIN:
+            pull = resolution * strength[v]
+            best, most = here, ties.get(here, 0.0) - pull * weight[here] / total
+            for c, tie in ties.items():
+                if (value := tie - pull * weight[c] / total) > most + _LEAST_GAIN:
                     best, most = c, value
             own[v] = best
             weight[best] += strength[v]
@@ -54,38 +86,49 @@ def _one_level(near: list[dict[int, float]], loops: list[float], order: list[int
     return own
 
 
-def louvain_labels(n: int, pairs: list[tuple[int, int, float]], resolution: float = 1.0, order: list[int] | None = None) -> list[int]:
-    """A community number for each of n nodes: 0 is the largest, ties by the first node."""
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in pairs:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    loops, member = [0.0] * n, list(range(n))
-    visit = order or list(range(n))
+def _named(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 in the order in which the names come first, and how many there are."""
+    _, first, flat = np.unique(own, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int32)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return rank[flat], len(first)
+
+
+def _merged(near: _Links, loops: np.ndarray, own: np.ndarray, n: int) -> tuple[_Links, np.ndarray]:
+    """Communities as nodes (own: their numbers, n of them). Sums go along the nodes and their neighbours."""
+    count = np.diff(np.frombuffer(near.start, np.int64))
+    a, b, w = np.repeat(own, count), own[np.frombuffer(near.to, np.int32)], np.frombuffer(near.w, np.float64)
+    same = a == b
+    before = np.r_[0, np.cumsum(same)][np.frombuffer(near.start, np.int64)[:-1]]
+    inner = np.bincount(np.insert(a[same], before, own), np.insert(w[same] / 2, before, loops), n)
+    apart = ~same
+    return _Links(n, a[apart], b[apart], w[apart]), inner
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, order: Sequence[int] | None = None) -> np.ndarray:
+    near = _Links(n, np.column_stack((a, b)).ravel(), np.column_stack((b, a)).ravel(), np.repeat(w, 2))
+    loops, member, visit = np.zeros(n), np.arange(n, dtype=np.int32), range(n) if order is None else order
     while True:
-        own = _one_level(near, loops, visit, resolution)
-        names = {c: k for k, c in enumerate(dict.fromkeys(own))}
-        if len(names) == len(near):
+        own, k = _named(np.frombuffer(_one_level(near, array("d", loops.tobytes()), visit, resolution), np.int32))
+        if k == len(near):
             break
-        member = [names[own[m]] for m in member]
-        merged: list[dict[int, float]] = [{} for _ in names]
-        inner = [0.0] * len(names)
-        for v, x in enumerate(near):
-            a = names[own[v]]
-            inner[a] += loops[v]
-            for u, w in x.items():
-                b = names[own[u]]
-                if a == b:
-                    inner[a] += w / 2
-                else:
-                    merged[a][b] = merged[a].get(b, 0.0) + w
-        near, loops, visit = merged, inner, list(range(len(merged)))
-    sizes = Counter(member)
-    first: dict[int, int] = {}
-    for v, c in enumerate(member):
-        first.setdefault(c, v)
-    rank = {c: k for k, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], first[c])))}
-    return [rank[c] for c in member]
+        member = own[member]
+        near, loops = _merged(near, loops, own, k)
+        visit = range(k)
+    # `member` is in the order of the first nodes: of equal sizes the lesser number comes first.
+    member, k = _named(member)
+    rank = np.empty(k, np.int32)
+    rank[np.argsort(-np.bincount(member, minlength=k), kind="stable")] = np.arange(k)
+    return rank[member]
+
+
+def _columns(pairs: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.array([p[k] for p in pairs], kind) for k, kind in enumerate((np.int32, np.int32, np.float64)))
+
+
+def louvain_labels(n: int, pairs: list[tuple[int, int, float]], resolution: float = 1.0, order: list[int] | None = None) -> list[int]:
+    """A community number for each of n nodes: 0 is the largest, ties by the first node."""
+    return _labels(n, *_columns(pairs), resolution, order).tolist() if n else []
 
 
 def modularity(n: int, pairs: list[tuple[int, int, float]], labels: list[int], resolution: float = 1.0) -> float:
@@ -103,59 +146,93 @@ def modularity(n: int, pairs: list[tuple[int, int, float]], labels: list[int], r
     return inside / total - resolution * sum(x * x for x in per.values()) / (4 * total * total)
 
 
-def _permutations(n: int, runs: int) -> Iterator[list[int]]:
-    """Orders of visits by a fixed linear congruential generator."""
-    state = 0x9E3779B9
-    for _ in range(runs):
-        order = list(range(n))
-        for k in range(n - 1, 0, -1):
-            state = (state * 1664525 + 1013904223) % (1 << 32)
-            j = state % (k + 1)
-            order[k], order[j] = order[j], order[k]
-        yield order
+def _permutation(n: int, run: int) -> array:
+    """The order of visits of a run, by a fixed linear congruential generator that goes on from run to run."""
+    state, steps, by, plus = 0x9E3779B9, run * max(0, n - 1), 1664525, 1013904223
+    while steps:  # the generator's step, doubled
+        if steps & 1:
+            state = (state * by + plus) % (1 << 32)
+        by, plus, steps = by * by % (1 << 32), plus * (by + 1) % (1 << 32), steps >> 1
+    order = array("i", range(n))
+    for k in range(n - 1, 0, -1):
+        state = (state * 1664525 + 1013904223) % (1 << 32)
+        j = state % (k + 1)
+        order[k], order[j] = order[j], order[k]
+    return order
+
 
+def _agreeing(base: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which nodes the community of `other` that matches theirs has: matches go by the most nodes, then by number."""
+    width = int(other.max()) + 1
+    both, n = np.unique(base.astype(np.int64) * width + other, return_counts=True)
+    match, taken = np.full(int(base.max()) + 1, -1, np.int64), np.zeros(width, bool)
+    for k in np.argsort(-n, kind="stable"):
+        a, b = divmod(int(both[k]), width)
+        if match[a] < 0 and not taken[b]:
+            match[a], taken[b] = b, True
+    return match[base] == other
 
-def stability(n: int, pairs: list[tuple[int, int, float]], base: list[int], resolution: float = 1.0, runs: int = 8) -> list[float]:
+
+def stability(n: int, pairs: list[tuple[int, int, float]], base: list[int], resolution: float = 1.0, runs: int = RUNS) -> list[float]:
     """For each node, the share of runs in other orders whose matching community still has it."""
-    agree = [0] * n
-    for order in _permutations(n, runs):
-        other = louvain_labels(n, pairs, resolution, order)
-        overlap = Counter(zip(base, other))
-        match: dict[int, int] = {}
-        taken: set[int] = set()
-        for (a, b), _ in sorted(overlap.items(), key=lambda x: (-x[1], x[0])):
-            if a not in match and b not in taken:
-                match[a] = b
-                taken.add(b)
-        for v in range(n):
-            agree[v] += match.get(base[v]) == other[v]
-    return [a / runs for a in agree]
-
-
-def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, stable: bool = False, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    if not n:
+        return []
+    held, at = _columns(pairs), np.array(base)
+    return (sum(_agreeing(at, _labels(n, *held, resolution, _permutation(n, k))).astype(int) for k in range(runs)) / runs).tolist()
+
+
+def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, stable: bool = False, most_pairs: int | None = None) -> DataFrame:
     """id, community (text), stability (null unless asked for), modularity, method."""
     near = undirected(links).where("v < n")
     ranks = ranked(nodes)
     pairs = cut(near.join(ranks.select(F.col("id").alias("v"), F.col("rank").alias("a")), "v").join(ranks.select(F.col("id").alias("n"), F.col("rank").alias("b")), "n").select("a", "b", "w"))
+    most_pairs = most_pairs if most_pairs is not None else MOST_STABLE_PAIRS if stable else MOST_PAIRS
     if pairs.count() > most_pairs:
         if stable:
             raise ValueError(f"stability needs the exact method, which takes up to {most_pairs} pairs")
         return _spread(ranks, pairs, resolution)
-    whole = pairs.select(F.lit(0).alias("g"), F.lit(None).cast("string").alias("id"), "a", "b", "w").unionByName(ranks.select(F.lit(0).alias("g"), "id", F.col("rank").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w")))
+    n = ranks.count()
+    held = pairs.select(F.least("a", "b").cast("int").alias("a"), F.greatest("a", "b").cast("int").alias("b"), "w")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        named = rows[rows["id"].notna()].sort_values("a")
-        got = rows[rows["id"].isna()]
+    def sorted_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # Neighbours in the order of their places: ties between equal gains go to the first.
-        held = sorted((int(min(a, b)), int(max(a, b)), float(w)) for a, b, w in zip(got["a"], got["b"], got["w"]))
-        n = len(named)
-        labels = louvain_labels(n, held, resolution)
-        return pd.DataFrame({
-            "id": named["id"].to_numpy(), "community": [str(x) for x in labels], "stability": stability(n, held, labels, resolution) if stable else [None] * n,
-            "modularity": modularity(n, held, labels, resolution), "method": "louvain",
-        })
-
-    return whole.groupBy("g").applyInPandas(run, "id string, community string, stability double, modularity double, method string")
+        a, b, w = (table[c].to_numpy() for c in ("a", "b", "w"))
+        order = np.lexsort((w, b, a))
+        return a[order], b[order], w[order]
+
+    def base(table: pa.Table) -> pa.Table:
+        return pa.table({"rank": pa.array(np.arange(n)), "label": pa.array(_labels(n, *sorted_pairs(table.filter(table["w"].is_valid())), resolution))})
+
+    # A row without a pair, so that a graph without links has a group too.
+    none = held.sparkSession.range(1).select(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(None).cast("double").alias("w")) if n else held.limit(0)
+    labels = cut(held.unionByName(none).groupBy(F.lit(0).alias("g")).applyInArrow(base, "rank long, label int"))
+    out = ranks.join(labels, "rank")
+    if stable:
+        out = out.join(_stability(held.unionByName(none), labels, n, resolution, sorted_pairs), "rank")
+    else:
+        out = out.withColumn("stability", F.lit(None).cast("double"))
+    told = out.crossJoin(F.broadcast(_modularity(pairs, labels, resolution, n)))
+    return told.select("id", F.col("label").cast("string").alias("community"), "stability", F.coalesce("modularity", F.lit(0.0)).alias("modularity"), F.lit("louvain").alias("method"))
+
+
+def _stability(held: DataFrame, labels: DataFrame, n: int, resolution: float, sorted_pairs) -> DataFrame:
+    """rank, stability: runs in other orders, a few a task. Each task gets the pairs and the labels, without ids."""
+    tasks = F.explode(F.sequence(F.lit(0), F.lit(RUN_TASKS - 1))).alias("task")
+    rows = held.select("a", "b", "w", F.lit(None).cast("int").alias("label")).unionByName(labels.select(F.col("rank").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(None).cast("double").alias("w"), "label"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        named = table.filter(table["label"].is_valid())
+        at = np.empty(n, np.int32)
+        at[named["a"].to_numpy()] = named["label"].to_numpy()
+        pairs = sorted_pairs(table.filter(table["w"].is_valid()))
+        del table, named
+        agree = np.zeros(n, np.int32)
+        for k in range(key[0].as_py(), RUNS, RUN_TASKS):
+            agree += _agreeing(at, _labels(n, *pairs, resolution, _permutation(n, k)))
+        return pa.table({"rank": pa.array(np.arange(n)), "agree": pa.array(agree)})
+
+    agreed = rows.select("*", tasks).groupBy("task").applyInArrow(run, "rank long, agree int")
+    return cut(agreed.groupBy("rank").agg((F.sum("agree") / RUNS).alias("stability")))
 
 
 def _modularity(pairs: DataFrame, labels: DataFrame, resolution: float, n: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Communities on larger graphs: label spreading exchanges labels, not votes."""
+"""Communities on larger graphs: label spreading exchanges labels, not votes; the exact method holds arrays, not ids."""
 
 import random
 import re
@@ -54,3 +54,24 @@ def test_label_spreading_exchanges_no_votes(spark, monkeypatch, most_told, a_buc
     if a_bucket > 90:
         rounds = [p for p in plans if "max_by" in p]
         assert rounds and not any(re.search(r"Exchange hashpartitioning", p) for p in rounds)
+
+
+def test_stability_runs_in_tasks_of_numbers(spark, monkeypatch):
+    pairs, nodes, links = _graph(spark, 120, 300, 6)
+    tasks, run = [], community._stability
+    monkeypatch.setattr(community, "_stability", lambda held, *more: tasks.append(dict(held.dtypes)) or run(held, *more))
+    got = {r["id"]: r for r in community.communities(nodes, links, stable=True).collect()}
+    base = community.louvain_labels(120, pairs)
+    share = community.stability(120, pairs, base)
+    assert [got[f"n{k:04d}"]["community"] for k in range(120)] == [str(c) for c in base]
+    assert [got[f"n{k:04d}"]["stability"] for k in range(120)] == share and min(share) < 1
+    assert got["n0000"]["modularity"] == pytest.approx(community.modularity(120, pairs, base))
+    assert tasks == [{"a": "int", "b": "int", "w": "double"}]
+
+
+def test_communities_without_links(spark):
+    nodes = spark.createDataFrame([("a", 0), ("b", 1)], "id string, pos long")
+    links = spark.createDataFrame([], "s string, t string, w double")
+    got = sorted(map(tuple, community.communities(nodes, links, stable=True).collect()))
+    assert got == [("a", "0", 1.0, 0.0, "louvain"), ("b", "1", 1.0, 0.0, "louvain")]
+    assert community.communities(nodes.limit(0), links).count() == 0

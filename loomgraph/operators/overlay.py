@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..model import POS, GraphDoc, first_rows, occurrence, reconcile
-from ..plans.scratch import cut
+from ..plans.scratch import cut, dealt
 from . import columns, edits
 
 KEY = ["tbl", "k1", "k2", "occ"]
@@ -115,16 +115,16 @@ def _row_changes(a: DataFrame, b: DataFrame, compared: dict[str, str]) -> tuple[
     return dirty, both.where("b_ IS NULL").select(*KEY), both.where("a_ IS NULL").select(*KEY)
 
 
-def _held(doc: GraphDoc) -> GraphDoc:
-    """The document with its tables written once, for all that is to be read off it."""
+def held(doc: GraphDoc) -> GraphDoc:
+    """The document with its tables written once, dealt evenly, for all that is to be read off it."""
     if hasattr(doc.edges, "_cut_path") and hasattr(doc.nodes, "_cut_path"):
         return doc
-    return doc.with_(edges=cut(doc.edges), nodes=cut(doc.nodes))
+    return doc.with_(edges=cut(dealt(doc.edges, POS)), nodes=cut(dealt(doc.nodes, POS)))
 
 
 def diff(before: GraphDoc, after: GraphDoc) -> Overlay:
     """The overlay of one edit, from the versions before and after it."""
-    before, after = _held(before), _held(after)
+    before, after = held(before), held(after)
     node_ops, node_names = _column_changes("nodes", before.nodes, after.nodes, _own(before.nodes, before), _own(after.nodes, after))
     edge_ops, edge_names = _column_changes("edges", before.edges, after.edges, _own(before.edges, before), _own(after.edges, after))
     renames = _renames(before, after)
@@ -198,10 +198,10 @@ def merge(current: GraphDoc, overlay: Overlay, incoming: GraphDoc) -> tuple[Grap
     if len(overlay.renames) > MOST_RENAMES:
         raise ValueError(f"more than {MOST_RENAMES} renames in one overlay")
     staged = edits.rename_series(incoming, overlay.renames)
-    current = _held(current)
+    current = held(current)
     for op, table, *what in overlay.column_ops:
         staged = {"add": columns.add, "rename": columns.rename, "delete": columns.delete, "retype": columns.retype}[op](staged, table, *what)
-    staged = staged.with_(nodes=cut(staged.nodes), edges=cut(staged.edges))
+    staged = held(staged)
     node_names, edge_names = ([c for c in df.columns if c != POS] for df in (staged.nodes, staged.edges))
     nodes, node_counts = _laid(_node_keys(staged.nodes, staged.node_id), _node_keys(first_rows(current.nodes, current.node_id).drop("__id"), current.node_id), overlay, node_names)
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells
 from ..model import POS, GraphDoc
-from ..plans.scratch import cut
+from ..plans.scratch import cut, dealt
 from .graph import BaseGraph, category_attribute, first_number_attribute, labels, numeric_attribute, weighted_links
 from .metrics import ranked
 
@@ -129,6 +129,7 @@ def layout_layers(depths: DataFrame, links: DataFrame | None = None, row: float
     With links (s, t), a layer is ordered by the mean place of its nodes' parents in the layer before it, without
     parents there by half of that layer's size, ties by id; the first layer, and all without links, by pos. Empty
     depths take no line."""
+    depths = cut(dealt(depths.select("id", "depth", "pos"), "id"))
     layers = {d: (k, n) for k, (d, n) in enumerate(sorted((r["depth"], r["n"]) for r in depths.groupBy("depth").agg(F.count("*").alias("n")).limit(MOST_LAYERS + 1).collect()))}
     if len(layers) > MOST_LAYERS:
         raise ValueError(f"more than {MOST_LAYERS} layers")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import catalog
 from loomgraph.model import POS, GraphDoc, Mapping, first_rows
-from loomgraph.operators import overlay
+from loomgraph.operators import overlay, style
 
 
 def _tasks(df):
@@ -28,3 +28,13 @@ def test_first_rows_are_found_without_a_join(spark):
     got = first_rows(rows, "id")
     assert sorted((r["__id"], r["v"]) for r in got.collect()) == [("a", "y"), ("b", "z")]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.columns == ["id", POS, "v", "__id"]
+
+
+def test_layers_read_written_depths(spark, monkeypatch):
+    depths = spark.createDataFrame([("a", 0, 0), ("b", 0, 1), ("c", 1, 2), ("d", 2, 3)], "id string, depth int, pos long")
+    links = spark.createDataFrame([("a", "c"), ("b", "c"), ("c", "d")], "s string, t string")
+    read, ranked = [], style.ranked
+    monkeypatch.setattr(style, "ranked", lambda df, *order: read.append("LocalTableScan" in df._jdf.queryExecution().executedPlan().toString() or not df.inputFiles()) or ranked(df, *order))
+    at = {r["id"]: (r["x"], r["y"]) for r in style.layout_layers(depths, links).collect()}
+    assert at == {"a": (-75.0, -130.0), "b": (75.0, -130.0), "c": (0.0, 0.0), "d": (0.0, 130.0)}
+    assert read == [False, False, False]

@@ -165,6 +165,28 @@ def test_path_metrics_keep_no_row_for_a_source_and_node(spark, monkeypatch):
     assert max(written) <= 2 * len(pairs)
 
 
+def _beyond_samples(spark):
+    """A graph of more nodes than a sample has sources: ids, nodes, links, and what walks from every node tell."""
+    rng = random.Random(5)
+    ids = [f"n{k}" for k in range(640)]
+    pairs = sorted({(ids[a], ids[b]) for a, b in ((rng.randrange(630), rng.randrange(630)) for _ in range(800)) if a != b})
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    nodes = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, pos long")
+    return ids, nodes, _links(spark, pairs).withColumn("w", F.lit(1.0)), _sampled_paths(near, ids, 1)
+
+
+def test_betweenness_starts_from_every_node(spark, monkeypatch):
+    from loomgraph.operators import metrics
+
+    ids, nodes, links, (_, between) = _beyond_samples(spark)
+    monkeypatch.setattr(metrics, "TURN_BYTES", 8 * 640 * 256)
+    got = {r["id"]: r["betweenness"] for r in metrics.betweenness(nodes, links).collect()}
+    assert got == pytest.approx({i: x / 2 * 2 / (639 * 638) for i, x in between.items()})
+
+
 def test_triangles_meet_as_lists_of_numbers(spark, monkeypatch):
     from loomgraph.operators import triads
 

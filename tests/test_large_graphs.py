@@ -187,6 +187,27 @@ def test_betweenness_starts_from_every_node(spark, monkeypatch):
     assert got == pytest.approx({i: x / 2 * 2 / (639 * 638) for i, x in between.items()})
 
 
+def test_path_lengths_start_from_every_node(spark, monkeypatch):
+    from loomgraph.operators import metrics
+
+    ids, nodes, links, (reached, _) = _beyond_samples(spark)
+    monkeypatch.setattr(metrics, "TURN", 256)
+    monkeypatch.setattr(metrics, "TURN_BYTES", 0)
+    close = {r["id"]: r["closeness"] for r in metrics.closeness(nodes, links).collect()}
+    assert close == pytest.approx({i: len(d) / 639 * len(d) / sum(d) if d else 0.0 for i, d in reached.items()})
+    row, every = metrics.network(nodes, links).first(), [d for x in reached.values() for d in x]
+    assert row["diameter"] == max(every) and row["average_path"] == pytest.approx(sum(every) / len(every)) and not row["approximate"]
+
+
+def test_harmonic_is_exact_at_any_size(spark, monkeypatch):
+    from loomgraph.operators import metrics
+
+    ids, nodes, links, (reached, _) = _beyond_samples(spark)
+    monkeypatch.setattr(metrics, "EXACT_HARMONIC", 10, raising=False)
+    got = {r["id"]: r["harmonic"] for r in metrics.harmonic(nodes, links).collect()}
+    assert got == pytest.approx({i: sum(1 / d for d in x) / 639 for i, x in reached.items()}, rel=1e-9)
+
+
 def test_triangles_meet_as_lists_of_numbers(spark, monkeypatch):
     from loomgraph.operators import triads
 

@@ -84,6 +84,23 @@ def test_circles_of_one_size_go_on_along_the_spiral(monkeypatch):
     assert len(calls) < 20_000
 
 
+def test_circles_have_no_limit_and_are_packed_by_group(spark, monkeypatch):
+    import numpy as np
+
+    from loomgraph.operators import arrange
+
+    monkeypatch.setattr(arrange, "MOST_MARKS", 20)
+    rows = [(f"n{k:03d}", [None, "a", "b", "c"][k * k % 7 % 4], 4.0 + k % 5) for k in range(90)]
+    got = {r["id"]: (r["x"], r["y"]) for r in arrange.layout(spark.createDataFrame(rows, "id string, group string, radius double"), "circlepack").collect()}
+    members = {}
+    for i, g, r in rows:
+        members.setdefault(g, []).append((i, r))
+    inner = {g: arrange.pack(np.array([r for _, r in m])) for g, m in members.items()}
+    centres = arrange.pack(np.array([(np.hypot(*inner[g].T) + [r for _, r in m]).max() + 12 for g, m in members.items()]))
+    want = {i: tuple(at + c) for (g, m), c in zip(members.items(), centres) for (i, _), at in zip(m, inner[g])}
+    assert len(members) > 2 and got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_forces_are_those_of_all_pairs():
     rng = np.random.default_rng(4)
     n = 150
@@ -230,3 +247,30 @@ def test_coreness_broadcasts_no_values(spark, monkeypatch):
     got = metrics.coreness(nodes, _links(spark, pairs).withColumn("w", F.lit(1.0)))
     assert {r["id"]: r["coreness"] for r in got.collect()} == {"a": 3, "b": 3, "c": 3, "d": 3, "e": 2, "f": 2, "g": 1, "h": 0}
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("a_bucket", [2_000_000, 60])
+def test_coreness_of_a_long_path_takes_few_rounds(spark, monkeypatch, a_bucket):
+    from loomgraph.operators import metrics
+    from loomgraph.plans import bucketed
+
+    rng = random.Random(4)
+    pairs = [(f"p{k:03d}", f"p{k + 1:03d}") for k in range(79)]
+    if a_bucket < 1000:
+        pairs = sorted({(f"n{rng.randrange(40)}", f"m{rng.randrange(40)}") for _ in range(130)}) + pairs[:9]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    value = {i: len(x) for i, x in near.items()}
+    while True:
+        new = {i: max(k for k in range(len(near[i]) + 1) if sum(value[j] >= k for j in near[i]) >= k) for i in near}
+        if new == value:
+            break
+        value = new
+    saved, save = [], bucketed.Buckets.save
+    monkeypatch.setattr(bucketed.Buckets, "save", lambda self, *more, **how: saved.append(1) or save(self, *more, **how))
+    monkeypatch.setattr(metrics, "ROWS_A_BUCKET", a_bucket, raising=False)
+    nodes = spark.createDataFrame([(i, k) for k, i in enumerate(sorted(near))], "id string, pos long")
+    got = {r["id"]: r["coreness"] for r in metrics.coreness(nodes, _links(spark, pairs).withColumn("w", F.lit(1.0))).collect()}
+    assert got == value and (len(saved) == 3 if a_bucket > 1000 else len(saved) > 3)

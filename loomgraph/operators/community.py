@@ -1,8 +1,8 @@
 """Communities by modularity, and how stable they are.
 
 Greedy moves depend on the order of visits, so the exact method runs in one task over the graph's distinct pairs, as
-arrays of numbers without ids, up to `most_pairs` of them (checked); beyond, communities come from distributed label
-spreading, which is another method and is named so in the result. Runs in other orders, which tell the stability, are
+arrays of numbers without ids, whatever their number. Only where `most_pairs` asks for it, graphs of more pairs get
+distributed label spreading, which is another method and is named so in the result. Runs in other orders, which tell the stability, are
 tasks of their own."""
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ..plans.scratch import cut
 from .graph import undirected
 from .metrics import ranked
 
-#: Distinct pairs that one task works on; where only the exact method will do (stability), and its arrays still fit.
-MOST_PAIRS, MOST_STABLE_PAIRS = 2_000_000, 12_000_000
+#: Distinct pairs up to which stability is told: its runs are several times the exact method's arrays.
+MOST_STABLE_PAIRS = 12_000_000
 #: Nodes whose labels are sent to every task in a round of label spreading; more are joined by shuffling.
 MOST_TOLD = 4_000_000
 #: Runs in other orders, and the tasks that they are dealt to, each of which holds the arrays of one run at a time.
@@ -182,12 +182,13 @@ def stability(n: int, pairs: list[tuple[int, int, float]], base: list[int], reso
 
 
 def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, stable: bool = False, most_pairs: int | None = None) -> DataFrame:
-    """id, community (text), stability (null unless asked for), modularity, method."""
+    """id, community (text), stability (null unless asked for), modularity, method: the exact one, unless there are more
+    than `most_pairs`, where that is given."""
     near = undirected(links).where("v < n")
     ranks = ranked(nodes)
     pairs = cut(near.join(ranks.select(F.col("id").alias("v"), F.col("rank").alias("a")), "v").join(ranks.select(F.col("id").alias("n"), F.col("rank").alias("b")), "n").select("a", "b", "w"))
-    most_pairs = most_pairs if most_pairs is not None else MOST_STABLE_PAIRS if stable else MOST_PAIRS
-    if pairs.count() > most_pairs:
+    most_pairs = MOST_STABLE_PAIRS if stable and most_pairs is None else most_pairs
+    if most_pairs is not None and pairs.count() > most_pairs:
         if stable:
             raise ValueError(f"stability needs the exact method, which takes up to {most_pairs} pairs")
         return _spread(ranks, pairs, resolution)

@@ -75,3 +75,11 @@ def test_communities_without_links(spark):
     got = sorted(map(tuple, community.communities(nodes, links, stable=True).collect()))
     assert got == [("a", "0", 1.0, 0.0, "louvain"), ("b", "1", 1.0, 0.0, "louvain")]
     assert community.communities(nodes.limit(0), links).count() == 0
+
+
+def test_communities_are_exact_at_any_size(spark, monkeypatch):
+    pairs, nodes, links = _graph(spark, 120, 300, 6)
+    monkeypatch.setattr(community, "MOST_PAIRS", 10, raising=False)
+    got = {r["id"]: r for r in community.communities(nodes, links).collect()}
+    assert [got[f"n{k:04d}"]["community"] for k in range(120)] == [str(c) for c in community.louvain_labels(120, pairs)]
+    assert {r["method"] for r in got.values()} == {"louvain"}

@@ -124,6 +124,22 @@ def test_forces_are_those_of_all_pairs():
     assert np.allclose(arrange.forces(n, pairs, weights, rounds=1), at, rtol=0, atol=1e-8)
 
 
+def test_forces_in_tasks_have_no_limit_and_are_those_of_one_task(spark, monkeypatch):
+    from loomgraph.operators import arrange
+
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(f"n{k:03d}", None, 6.0) for k in range(150)], "id string, group string, radius double")
+    pairs = sorted({(f"n{a:03d}", f"n{b:03d}") for a, b in ((rng.randrange(140), rng.randrange(140)) for _ in range(300)) if a != b})
+    links = _links(spark, pairs).withColumn("w", F.lit(0.5))
+    monkeypatch.setattr(arrange, "ROUNDS", 4, raising=False)
+    want = {r["id"]: (r["x"], r["y"]) for r in arrange.layout(nodes, "force", links).collect()}
+    monkeypatch.setattr(arrange, "MOST_MARKS", 20)
+    monkeypatch.setattr(arrange, "MOST_LINKS", 20)
+    monkeypatch.setattr(arrange, "ONE_TASK_MARKS", 20, raising=False)
+    got = {r["id"]: (r["x"], r["y"]) for r in arrange.layout(nodes, "force", links).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
 def _sampled_paths(near, ids, step):
     """For every n/600th node as a source: distances, path counts and dependencies, by plain walks."""
     reached, between = {i: [] for i in ids}, dict.fromkeys(ids, 0.0)
